@@ -1,0 +1,134 @@
+"""CSV sources: header-routed loading, labelled URLs, numeric baselines."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType, StructType
+
+from netsight.sources.schemas import CSV_LAYOUTS, LABELLED_URLS
+from netsight.sources.tables import append
+
+NULL_TEXT = "NaN"
+_BAD = "_bad_record"
+_HEADER_BYTES = 65_536
+
+LOADED, SKIPPED, REJECTED, UNREADABLE = "loaded", "skipped", "rejected", "unreadable"
+
+
+def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Header line of each file; reads the start of the file only, in the task that holds its path."""
+    from pyarrow import fs
+
+    for batch in batches:
+        heads = []
+        for path in batch["path"]:
+            try:
+                store, inner = fs.FileSystem.from_uri(path)
+                with store.open_input_stream(inner) as stream:
+                    data = b""
+                    while b"\n" not in data:
+                        more = stream.read(_HEADER_BYTES)
+                        if not more:
+                            break
+                        data += more
+                heads.append(data.split(b"\n", 1)[0].decode("utf-8-sig").strip())
+            except (OSError, UnicodeDecodeError, ValueError):
+                heads.append(None)
+        yield pd.DataFrame({"path": batch["path"], "header": heads})
+
+
+def route_files(spark: SparkSession, folder: str) -> DataFrame:
+    """One row per CSV file: path, table and layout number (NULL when no layout has that header)."""
+    files = (
+        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", "length")
+    )
+    heads = files.select("path").mapInPandas(_first_lines, "path string, header string")
+    layout = F.lit(None).cast("int")
+    for number, (_, schema) in reversed(list(enumerate(CSV_LAYOUTS))):
+        layout = F.when(F.col("header") == ",".join(schema.names), F.lit(number)).otherwise(layout)
+    table = F.element_at(F.array(*[F.lit(t) for t, _ in CSV_LAYOUTS]), F.col("layout") + 1)
+    return heads.withColumn("layout", layout).withColumn("table", table)
+
+
+def read_layout(spark: SparkSession, paths: list[str], schema: StructType, *, strict: bool = True) -> DataFrame:
+    """CSV files of one layout. Strict: a malformed row or a wrong header fails the job."""
+    reader = (
+        spark.read.option("header", True)
+        .option("enforceSchema", False)
+        .option("nanValue", NULL_TEXT)
+        .option("escape", '"')
+    )
+    if strict:
+        return clean_nulls(reader.schema(schema).option("mode", "FAILFAST").csv(paths))
+    with_bad = StructType(schema.fields).add(_BAD, StringType())
+    return clean_nulls(
+        reader.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).csv(paths)
+    )
+
+
+def clean_nulls(df: DataFrame) -> DataFrame:
+    """NaN numbers and the text forms of a missing value become NULL."""
+    out = []
+    for f in df.schema.fields:
+        c = F.col(f.name)
+        if isinstance(f.dataType, DoubleType | FloatType):
+            c = F.when(~F.isnan(c), c)
+        elif isinstance(f.dataType, StringType) and f.name != _BAD:
+            c = F.when(~c.isin("", "NaN", "NaT"), c)
+        out.append(c.alias(f.name))
+    return df.select(*out)
+
+
+def load_folder(spark: SparkSession, folder: str, root: str) -> DataFrame:
+    """Load every CSV file of a folder into the table its header names.
+
+    A file goes in whole or not at all: files with a malformed row are rejected before anything is
+    written, and each table's append commits as one job. Returns file, table, status, n_rows.
+    """
+    routed = route_files(spark, folder).select("path", "header", "layout", "table").collect()
+    report = [
+        (r.path, None, UNREADABLE if r.header is None else SKIPPED, 0) for r in routed if r.layout is None
+    ]
+    for number, (table, schema) in enumerate(CSV_LAYOUTS):
+        paths = [r.path for r in routed if r.layout == number]
+        if not paths:
+            continue
+        checked = (
+            read_layout(spark, paths, schema, strict=False)
+            .groupBy(F.col("_metadata.file_path").alias("path"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count(_BAD).alias("bad"))
+            .collect()
+        )
+        counts = {r.path: (r.n, r.bad) for r in checked}
+        good = [p for p in paths if counts.get(p, (0, 0))[1] == 0]
+        if good:
+            append(read_layout(spark, good, schema), table, root)
+        for p in paths:
+            n, bad = counts.get(p, (0, 0))
+            report.append((p, table, REJECTED if bad else LOADED, 0 if bad else n))
+    return spark.createDataFrame(report, "path string, table string, status string, n_rows bigint").select(
+        F.element_at(F.split("path", "/"), -1).alias("file"), "table", "status", "n_rows"
+    )
+
+
+def labelled_urls(spark: SparkSession, path: str) -> DataFrame:
+    return read_layout(spark, [path], LABELLED_URLS)
+
+
+def numeric_columns(df: DataFrame) -> list[str]:
+    """Numeric columns in file order."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType)]
+
+
+def numeric_baseline(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    df = read_layout(spark, [path], schema)
+    return df.select(*numeric_columns(df))
+
+
+def coerce_timestamps(df: DataFrame, *columns: str) -> DataFrame:
+    """Text columns in ISO form -> timestamps; other text becomes NULL."""
+    return df.withColumns({c: F.try_to_timestamp(F.col(c)).cast("timestamp_ntz") for c in columns})

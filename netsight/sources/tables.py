@@ -1,0 +1,90 @@
+"""Stored tables: append rows, scan them, and the optional JDBC connector."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from netsight.sources.schemas import EVENT_TIME, TABLES
+
+DAY = "event_date"
+
+
+def conform(rows: DataFrame, table: str) -> DataFrame:
+    """Rows in the table's column order and types; columns the input lacks are NULL."""
+    have = set(rows.columns)
+    return rows.select(
+        *[
+            (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in TABLES[table].fields
+        ]
+    )
+
+
+def append(rows: DataFrame, table: str, root: str) -> None:
+    """Append rows to root/table, one folder per day so that time filters prune whole folders.
+
+    A rebalance by day gives each day files of even size: a hot day is split, small days are merged.
+    """
+    out = conform(rows, table).withColumn(DAY, F.to_date(EVENT_TIME[table]))
+    out.hint("rebalance", DAY).write.mode("append").partitionBy(DAY).parquet(f"{root}/{table}")
+
+
+def insert_packets(rows: DataFrame, root: str) -> None:
+    append(rows, "packets", root)
+
+
+def insert_alerts(rows: DataFrame, root: str) -> None:
+    append(rows, "alerts", root)
+
+
+def insert_host_stats(rows: DataFrame, root: str) -> None:
+    append(rows, "host_stats", root)
+
+
+def scan(spark: SparkSession, table: str, root: str, since=None) -> DataFrame:
+    """The stored table; `since` (a datetime) skips day folders as well as row groups."""
+    df = spark.read.parquet(f"{root}/{table}")
+    if since is not None:
+        df = df.filter((F.col(DAY) >= F.lit(since.date())) & (F.col(EVENT_TIME[table]) >= F.lit(since)))
+    return df.drop(DAY)
+
+
+def read_jdbc(
+    spark: SparkSession,
+    url: str,
+    table: str,
+    *,
+    partition_column: str | None = None,
+    bounds: tuple[str, str] | None = None,
+    partitions: int = 64,
+    options: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """A database table, read in parallel ranges of `partition_column`. Needs the driver's jar."""
+    reader = spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**(options or {}))
+    if partition_column and bounds:
+        reader = (
+            reader.option("partitionColumn", partition_column)
+            .option("lowerBound", bounds[0])
+            .option("upperBound", bounds[1])
+            .option("numPartitions", partitions)
+        )
+    return reader.load()
+
+
+def write_jdbc(
+    rows: DataFrame, url: str, table: str, *, connections: int = 16, options: Mapping[str, str] | None = None
+) -> None:
+    """Append rows to a database table over a bounded number of connections."""
+    (
+        rows.write.format("jdbc")
+        .option("url", url)
+        .option("dbtable", table)
+        .option("numPartitions", connections)
+        .option("batchsize", 10_000)
+        .options(**(options or {}))
+        .mode("append")
+        .save()
+    )
