@@ -131,13 +131,17 @@ def class_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raw_packets_of(table(spark, sf_dir, "lineitem"))
+
+
+def raw_packets_of(lineitem: DataFrame) -> DataFrame:
     """Dissected packet fields as text, with the gaps and oddities of a capture: from lineitem."""
     order, line, part, supp = (F.col(x) for x in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     n = order * 7 + line * 3 + part
     host = F.concat(F.lit("h"), (supp % 50).cast("string"), F.lit(".example.com"))
     path = F.concat(F.lit("/p/"), (part % 100).cast("string"))
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return table(spark, sf_dir, "lineitem").select(
+    return lineitem.select(
         (start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (order * 61 + line * 17) % 259200)).alias("ts"),
         pick(n % 4, "TCP", "UDP").alias("transport_layer"),
         pick(n % 5, "TLS", "HTTP", "ARP", "ICMP").alias("highest_layer"),
@@ -158,3 +162,27 @@ def raw_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(n % 5 < 3, path).alias("http_uri"),
         F.when(n % 3 == 1, host).alias("tls_sni"),
     )
+
+
+def url_packets_of(pages: DataFrame) -> DataFrame:
+    """One web packet per page; every tenth carries no URL."""
+    page = F.col("page_id")
+    start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
+    return pages.select(
+        (start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), page * 37 % 86400)).alias("ts"),
+        ip("10.0.0.", page % 20).alias("src_ip"),
+        ip("10.0.1.", page % 7).alias("dst_ip"),
+        pick(page % 4, "0x0018", "0x0010", "0x0002", "0x0011").alias("tcp_flags"),
+        (40 + page * 13 % 1461).cast("int").alias("pkt_len"),
+        F.when(page % 10 != 9, F.col("url")).alias("full_url"),
+    )
+
+
+def url_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_packets_of(table(spark, sf_dir, "pages"))
+
+
+def stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A test table as a file stream."""
+    schema = table(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf_dir)

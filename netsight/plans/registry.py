@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from netsight.functions import derive
+from netsight.ml import anomaly, evaluate, registry, split, urls
 from netsight.operators import alerts as A
 from netsight.operators import detect as S
 from netsight.operators import hosts as H
 from netsight.operators import packets as P
 from netsight.operators import rollup, throttle
 from netsight.plans import driver_tables as T
+from netsight.session import scratch_path, ship_package
+from netsight.sources import csv, exports, generate, tables
+from netsight.sources.schemas import ALERTS
+from netsight.sources.tables import DAY
+from netsight.streaming import core, pipeline
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -94,5 +102,371 @@ def batch_queries() -> dict[str, Query]:
     }
 
 
+
+
+# Row-level derivations ------------------------------------------------------------------------------
+
+
+def _detector_urls(raw: DataFrame) -> DataFrame:
+    c = F.col
+    fields = (c("has_http"), c("http_host"), c("http_full_uri"), c("http_uri"), c("tls_sni"))
+    return raw.select(
+        "ts", derive.full_url(*fields).alias("capture_url"), derive.full_url(*fields, any_case=True).alias("detector_url")
+    )
+
+
+def _alert_texts(alerts: DataFrame) -> DataFrame:
+    return alerts.select(
+        "alert_id",
+        derive.alert_type_of(F.col("details")).alias("first_word"),
+        derive.packet_count_of(F.col("details")).alias("packet_count"),
+        derive.syn_flood_message(F.col("src_ip")).alias("syn_message"),
+        derive.url_message(F.col("alert_type"), F.col("dst_ip")).alias("url_message"),
+        derive.behaviour_message(F.col("model_name")).alias("behaviour_message"),
+    )
+
+
+def _ratios(stats: DataFrame) -> DataFrame:
+    value = derive.ratio(F.col("outgoing_packets"), F.col("incoming_packets"))
+    return stats.select("interval_start", "host_ip", value.alias("out_in_ratio"))
+
+
+def _clamped(suppliers: DataFrame) -> DataFrame:
+    return suppliers.select("s_suppkey", derive.at_least(F.col("s_acctbal"), 0.0).alias("clamped"))
+
+
+def _coerced(alerts: DataFrame) -> DataFrame:
+    text = F.when(F.col("alert_id") % 5 == 0, "n/a").otherwise(F.col("ts").cast("string"))
+    return csv.coerce_timestamps(alerts.select("alert_id", text.alias("at")), "at")
+
+
+def derivation_queries() -> dict[str, Query]:
+    raw = T.raw_packets
+    return {
+        "dissect_packets": on(raw, derive.dissect),
+        "full_url_forms": on(raw, _detector_urls),
+        "valid_ip_filter": on(raw, lambda d: derive.valid_ip_rows(d).select("ts", "src_ip", "dst_ip")),
+        "alert_texts": on(T.alerts, _alert_texts),
+        "numeric_clamp": lambda s, d: _clamped(T.table(s, d, "supplier")),
+        "ratio_null_safe": on(T.host_stats, _ratios),
+        "iso_timestamp_coerce": on(T.alerts, _coerced),
+    }
+
+
+# Sources and sinks: written to the shared folder and read back ---------------------------------------
+
+
+def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
+    """CSV files of three known layouts and one unknown, in the shared folder."""
+    folder = scratch_path(spark, "csv")
+    made = {
+        "alerts": T.alerts(spark, sf_dir).select(*ALERTS.names),
+        "packets": T.packets(spark, sf_dir),
+        "host_stats": T.host_stats(spark, sf_dir),
+        "blocklist": T.blocklist(spark, sf_dir),
+    }
+    for name, df in made.items():
+        exports.write_csv(df, f"{folder}/{name}")
+    return folder
+
+
+def _csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = csv.load_folder(spark, f"{_csv_folder(spark, sf_dir)}/*", scratch_path(spark, "tables"))
+    return report.groupBy("table", "status").agg(F.sum("n_rows").alias("n_rows"))
+
+
+def _csv_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "tables")
+    csv.load_folder(spark, f"{_csv_folder(spark, sf_dir)}/*", root)
+    return tables.scan(spark, "packets", root)
+
+
+def _stored(table: str, source: Callable[..., DataFrame]) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        root = scratch_path(spark, "tables")
+        tables.append(source(spark, sf_dir), table, root)
+        return tables.scan(spark, table, root)
+
+    return run
+
+
+def _burst_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "export")
+    exports.burst_csv(A.scan_bursts(T.alerts(spark, sf_dir), gap_seconds=7200), path)
+    names = exports.BURST_HEADER
+    schema = f"`{names[0]}` string, `{names[1]}` timestamp_ntz, `{names[2]}` timestamp_ntz, `{names[3]}` bigint"
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
+def _url_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "urls")
+    exports.write_csv(T.labelled_urls(spark, sf_dir).select("url", "type"), path)
+    return csv.labelled_urls(spark, path)
+
+
+def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
+    suppliers = T.table(spark, sf_dir, "supplier")
+    return suppliers.select(*csv.numeric_columns(suppliers))
+
+
+def source_queries() -> dict[str, Query]:
+    return {
+        "csv_route_report": _csv_report,
+        "csv_route_load": _csv_loaded,
+        "insert_packets": _stored("packets", T.packets),
+        "insert_alerts": _stored("alerts", T.alerts),
+        "insert_host_stats": _stored("host_stats", T.host_stats),
+        "csv_export": _burst_export,
+        "json_rows": on(T.alerts, lambda d: exports.json_rows(A.top_sources(d))),
+        "labelled_url_source": _url_csv,
+        "numeric_baseline_columns": _numeric,
+    }
+
+
+# Detection with models ------------------------------------------------------------------------------
+
+
+def _by_rule(rows: DataFrame) -> DataFrame:
+    """A stand-in classifier that needs no training."""
+    label = F.when(F.col("url").contains("?"), "phishing").when(F.col("url").contains("#"), "defacement")
+    return rows.withColumn("prediction_label", label.otherwise("Benign"))
+
+
+def _long_packets(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("prediction", F.when(F.col("pkt_len") > 1400, -1).otherwise(1))
+
+
+def _detectors() -> list[S.Detector]:
+    return [
+        lambda p: S.syn_flood_alerts(p, window_seconds=3600, threshold=1),
+        lambda p: S.url_alerts(p, _by_rule, "DecisionTree"),
+        lambda p: S.behaviour_alerts(p, _long_packets, "IsolationForest"),
+    ]
+
+
+FEATURES = ("packet_rate", "unique_port_count", "avg_pkt_size")
+
+
+def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.traffic_features(T.packets(spark, sf_dir), seconds=T.STATS_SECONDS)
+
+
+def _scored(name: str, **params) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _features(spark, sf_dir)
+        return registry.train_behaviour(name, rows, FEATURES, **params).score(rows)
+
+    return run
+
+
+def _split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _features(spark, sf_dir)
+    return anomaly.split_table(registry.train_behaviour("IsolationForest", rows, FEATURES), rows)
+
+
+def _behaviour(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _features(spark, sf_dir).select(
+        F.col("interval_start").alias("ts"), "src_ip", F.lit(None).cast("string").alias("dst_ip"), *FEATURES
+    )
+    model = registry.train_behaviour("IsolationForest", rows, FEATURES)
+    return S.behaviour_alerts(rows, model.score, "IsolationForest")
+
+
+def _standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _features(spark, sf_dir)
+    scaled = anomaly.Scaler.fit(rows, FEATURES).transform(rows)
+    return scaled.select("interval_start", "src_ip", *[F.round(c, 6).alias(c) for c in FEATURES])
+
+
+# URL models -----------------------------------------------------------------------------------------
+
+
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train, test = split.stratified_split(T.labelled_urls(spark, sf_dir))
+    return train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+
+
+def _grams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = urls.gram_weights(T.labelled_urls(spark, sf_dir), "page_id")
+    return weights.withColumn("weight", F.round("weight", 9))
+
+
+def _classified(name: str, **params) -> Query:
+    """Trained on the training part, applied to the rest."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        train, test = split.stratified_split(T.learnable_urls(spark, sf_dir))
+        model = registry.train_urls(name, train, **params)
+        scored = urls.score(model, test).withColumn("scores", urls.rounded(F.col("scores")))
+        return scored.select("page_id", "type", "prediction_label", F.to_json("scores").alias("scores"))
+
+    return run
+
+
+def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train, store, choose, load the chosen model, predict."""
+    root = scratch_path(spark, "models")
+    rows = T.learnable_urls(spark, sf_dir)
+    registry.save(spark, root, "DecisionTree", registry.train_urls("DecisionTree", rows))
+    registry.choose(spark, root, "DecisionTree")
+    model = registry.load(spark, root, registry.current(spark, root))
+    return urls.score(model, rows).select("page_id", "type", "prediction_label")
+
+
+def _url_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = registry.train_urls("DecisionTree", T.learnable_urls(spark, sf_dir))
+    return S.url_alerts(T.url_packets(spark, sf_dir), lambda d: urls.score(model, d), "DecisionTree")
+
+
+def _binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return T.scores(spark, sf_dir).select(
+        F.col("toxic").cast("string").alias("label"),
+        F.create_map(F.lit("0"), 1 - F.col("score"), F.lit("1"), F.col("score")).alias("scores"),
+    )
+
+
+def _points(df: DataFrame) -> DataFrame:
+    finite = F.when(F.col("threshold") != float("inf"), F.col("threshold"))
+    return evaluate.roc_curve(df).withColumn("threshold", finite)
+
+
+def _report(df: DataFrame) -> DataFrame:
+    three = {c: F.round(c, 9) for c in ("precision", "recall", "f1_score")}
+    return evaluate.classification_report(df).withColumns(three)
+
+
+def ml_queries() -> dict[str, Query]:
+    return {
+        "url_rule_alerts": on(T.url_packets, S.url_alerts, classify=_by_rule, model_name="DecisionTree"),
+        "behaviour_rule_alerts": on(T.packets, S.behaviour_alerts, score=_long_packets, model_name="IsolationForest"),
+        "detector_union": on(T.url_packets, S.run_detectors, detectors=_detectors()),
+        "char_ngram_tfidf": _grams,
+        "stratified_split": _split,
+        "confusion_matrix": on(T.class_scores, evaluate.confusion_matrix),
+        "roc_curve": on(T.class_scores, _points),
+        "roc_curve_binary": on(_binary, _points),
+        "auc": on(T.class_scores, evaluate.auc),
+        "auc_binary": on(_binary, evaluate.auc),
+        "classification_report": on(T.class_scores, _report),
+        "standardise": _standardised,
+        "decision_tree_url": _classified("DecisionTree"),
+        "random_forest_url": _classified("RandomForest"),
+        "linear_svm_url": _classified("LinearSVM"),
+        "predict_label_proba": _classified("DecisionTree", maxDepth=5),
+        "model_registry": _registered,
+        "url_model_alerts": _url_alerts,
+        "isolation_forest": _scored("IsolationForest"),
+        "one_class_svm": _scored("OneClassSVM"),
+        "autoencoder": _scored("Autoencoder"),
+        "anomaly_split_table": _split_table,
+        "behaviour_alerts": _behaviour,
+    }
+
+
+# Streams over the tables, run until their input is used up -------------------------------------------
+
+
+def _streamed(start: Callable, source: str, shape: Callable[[DataFrame], DataFrame], *, state: bool = False,
+              keys: tuple[str, ...] = (), plain: bool = False, **params) -> Query:
+    """Run a stream over one test table and return what it wrote."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = scratch_path(spark, start.__name__)
+        places = [f"{base}/out", *([f"{base}/state"] if state else []), f"{base}/checkpoint"]
+        query = start(shape(T.stream(spark, sf_dir, source)), *places, available_now=True, **params)
+        query.awaitTermination()
+        if keys:
+            return core.newest_rows(spark, f"{base}/out", *keys)
+        return spark.read.parquet(f"{base}/out").drop(DAY) if plain else core.read_batches(spark, f"{base}/out")
+
+    return run
+
+
+def _scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch_path(spark, "scored")
+    model = registry.train_urls("DecisionTree", T.learnable_urls(spark, sf_dir))
+    packets = T.url_packets_of(T.stream(spark, sf_dir, "pages"))
+    pipeline.scored_urls(packets, model, f"{base}/out", f"{base}/checkpoint", available_now=True).awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("ts", "src_ip", "dst_ip", "url", "prediction_label")
+
+
+def _fan_out(which: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = scratch_path(spark, "fanout")
+        registry.save(spark, f"{base}/models", "DecisionTree",
+                      registry.train_urls("DecisionTree", T.learnable_urls(spark, sf_dir)))
+        registry.choose(spark, f"{base}/models", "DecisionTree")
+        packets = T.url_packets_of(T.stream(spark, sf_dir, "pages"))
+        pipeline.url_alerts(
+            packets, f"{base}/models", f"{base}/alerts", f"{base}/sent", f"{base}/state", f"{base}/checkpoint",
+            available_now=True,
+        ).awaitTermination()
+        return core.read_batches(spark, f"{base}/{which}")
+
+    return run
+
+
+def streaming_queries() -> dict[str, Query]:
+    al, pk = T.alerts_of, T.packets_of
+    return {
+        "ingest_stream": _streamed(pipeline.ingest, "lineitem", T.raw_packets_of, plain=True),
+        "host_stats_stream": _streamed(pipeline.host_stats, "lineitem", pk),
+        "syn_flood_stream": _streamed(pipeline.syn_flood_windows, "lineitem", pk, plain=True,
+                                      window_seconds=60, threshold=2),
+        "syn_flood_alert_stream": _streamed(pipeline.syn_flood_alerts, "lineitem", pk, state=True,
+                                            window_seconds=60, threshold=2),
+        "throttle_stream": _streamed(pipeline.notifications, "events", al, state=True),
+        "burst_stream": _streamed(pipeline.scan_bursts, "events", al, plain=True, gap_seconds=7200),
+        "dashboard_hours_stream": _streamed(pipeline.dashboard_hours, "events", al, keys=("hour_bucket", "alert_type")),
+        "dashboard_minutes_stream": _streamed(pipeline.dashboard_minutes, "events", al, keys=("minute_bucket",)),
+        "dashboard_sources_stream": _streamed(pipeline.dashboard_sources, "events", al, keys=("src_ip",)),
+        "model_score_stream": _scored_stream,
+        "alert_fanout_alerts": _fan_out("alerts"),
+        "alert_fanout_sent": _fan_out("sent"),
+    }
+
+
+# Generators, drawing one row per key of a table ------------------------------------------------------
+
+START, END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3)
+
+
+def _ids(name: str, key: str) -> Callable[..., DataFrame]:
+    return lambda spark, sf_dir: T.table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("id"))
+
+
+def _round_baseline(ids: DataFrame) -> DataFrame:
+    rows = generate.baseline(ids, START)
+    return rows.withColumns({c: F.round(c, 6) for c in FEATURES})
+
+
+def generator_queries() -> dict[str, Query]:
+    events = _ids("events", "event_id")
+    return {
+        "gen_alerts": on(events, generate.alerts, start=START, end=END),
+        "gen_host_stats": on(events, generate.host_stats, start=START, end=END + dt.timedelta(days=60)),
+        "gen_packets": on(events, generate.packets, start=START, end=END),
+        "gen_baseline": on(events, _round_baseline),
+    }
+
+
+def _shipping(query: Query) -> Query:
+    """Python workers need the package, wherever the driver was started."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
 def queries() -> dict[str, Query]:
-    return batch_queries()
+    every = {
+        **batch_queries(),
+        **derivation_queries(),
+        **source_queries(),
+        **ml_queries(),
+        **streaming_queries(),
+        **generator_queries(),
+    }
+    return {name: _shipping(query) for name, query in every.items()}

@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType, StructType
+from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType, StructField, StructType
 
 from netsight.sources.schemas import CSV_LAYOUTS, LABELLED_URLS
 from netsight.sources.tables import append
@@ -64,9 +64,14 @@ def read_layout(spark: SparkSession, paths: list[str], schema: StructType, *, st
     )
     if strict:
         return clean_nulls(reader.schema(schema).option("mode", "FAILFAST").csv(paths))
-    with_bad = StructType(schema.fields).add(_BAD, StringType())
-    return clean_nulls(
-        reader.schema(with_bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", _BAD).csv(paths)
+    # Without column pruning every value of a row is parsed, so that a bad one anywhere shows.
+    with_bad = StructType([*schema.fields, StructField(_BAD, StringType())])
+    return (
+        reader.schema(with_bad)
+        .option("mode", "PERMISSIVE")
+        .option("columnNameOfCorruptRecord", _BAD)
+        .option("columnPruning", False)
+        .csv(paths)
     )
 
 
@@ -77,7 +82,7 @@ def clean_nulls(df: DataFrame) -> DataFrame:
         c = F.col(f.name)
         if isinstance(f.dataType, DoubleType | FloatType):
             c = F.when(~F.isnan(c), c)
-        elif isinstance(f.dataType, StringType) and f.name != _BAD:
+        elif isinstance(f.dataType, StringType):
             c = F.when(~c.isin("", "NaN", "NaT"), c)
         out.append(c.alias(f.name))
     return df.select(*out)
@@ -97,10 +102,12 @@ def load_folder(spark: SparkSession, folder: str, root: str) -> DataFrame:
         paths = [r.path for r in routed if r.layout == number]
         if not paths:
             continue
+        # The first column only has to be named: Spark refuses to read a bad-record column alone.
+        broken = F.col(_BAD).isNotNull() & F.coalesce(F.col(schema.names[0]).cast("string") != "\0", F.lit(True))
         checked = (
             read_layout(spark, paths, schema, strict=False)
             .groupBy(F.col("_metadata.file_path").alias("path"))
-            .agg(F.count(F.lit(1)).alias("n"), F.count(_BAD).alias("bad"))
+            .agg(F.count(F.lit(1)).alias("n"), F.count_if(broken).alias("bad"))
             .collect()
         )
         counts = {r.path: (r.n, r.bad) for r in checked}

@@ -8,11 +8,18 @@ from pyspark.sql import functions as F
 # Header line of the burst export.
 BURST_HEADER = ("Source IP", "Burst Start", "Burst End", "Scans in Burst")
 
+# The default format would cut microseconds.
+TIME_FORMAT = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
 
 def burst_csv(bursts: DataFrame, path: str) -> None:
     """Scan bursts as CSV with the export's header; values are quoted where needed."""
     rows = bursts.select("src_ip", "burst_start", "burst_end", "scans_in_burst").toDF(*BURST_HEADER)
-    rows.write.mode("overwrite").option("header", True).csv(path)
+    write_csv(rows, path)
+
+
+def write_csv(rows: DataFrame, path: str) -> None:
+    rows.write.mode("overwrite").option("header", True).option("timestampNTZFormat", TIME_FORMAT).csv(path)
 
 
 def json_rows(df: DataFrame) -> DataFrame:

@@ -1,0 +1,166 @@
+"""Synthetic tables, computed from a column of row numbers: any size, same rows for the same seed.
+
+`ids` is a DataFrame with a bigint `id`, for instance spark.range(n) or the keys of a table. Draws come
+from an md5 of row number, purpose and seed, so they depend on nothing else.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from netsight.functions.derive import at_least
+from netsight.functions.timefn import ntz_literal
+
+# Domains and ranges of the generated columns.
+ALERT_TYPES = ("Port Scan", "DDoS", "DoS", "SYN Flood")
+MODEL_NAMES = ("Random Forest", "Decision Tree", "Linear SVM")
+ALERT_TARGET = "192.168.1.109"
+PROTOCOLS = ("TCP", "UDP", "TLS", "HTTP", "HTTPS", "RDP")
+TCP_FLAGS = ("0x0018", "0x0010", "0x0002", "0x0011")
+COMMON_PORTS = (80, 443, 8080)
+WEB_PROTOCOLS = ("HTTP", "HTTPS")
+
+Time = dt.datetime
+
+
+def draw(purpose: str, seed: int, row: Column | None = None) -> Column:
+    """A whole number from 0 to 2^32 - 1 for this row and purpose."""
+    row = F.col("id") if row is None else row
+    text = F.concat_ws("|", row.cast("string"), F.lit(purpose), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")
+
+
+def between(purpose: str, seed: int, lo: int, hi: int, row: Column | None = None) -> Column:
+    return F.lit(lo) + F.pmod(draw(purpose, seed, row), F.lit(hi - lo + 1))
+
+
+def one_of(purpose: str, seed: int, values: tuple) -> Column:
+    options = F.array(*[F.lit(v) for v in values])
+    return F.element_at(options, (between(purpose, seed, 1, len(values))).cast("int"))
+
+
+def address(pool: str, number: Column, seed: int) -> Column:
+    """Address `number` of a pool: public ones start with 11 to 120, private ones with 10.
+
+    The last two octets come from the number itself, so that addresses of a pool differ.
+    """
+    first = F.lit(10) if pool == "private" else between(f"{pool}-a", seed, 11, 120, number)
+    return F.concat_ws(
+        ".", first, between(f"{pool}-b", seed, 0, 255, number), F.floor(number / 254) % 256, number % 254 + 1
+    )
+
+
+def _when(start: Time, end: Time, seed: int) -> Column:
+    """A whole second from start to end."""
+    seconds = int((end - start).total_seconds())
+    return ntz_literal(start) + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), between("ts", seed, 0, seconds))
+
+
+def alerts(ids: DataFrame, start: Time, end: Time, *, sources: int = 10, seed: int = 42) -> DataFrame:
+    """One alert per id at a random second, with a details text that fits its type."""
+
+    def n(purpose: str, lo: int, hi: int) -> Column:
+        return between(purpose, seed, lo, hi).cast("string")
+
+    src, dst, kind = F.col("src_ip"), F.lit(ALERT_TARGET), F.col("alert_type")
+    texts = {
+        "Port Scan": F.concat(src, F.lit(" scanned "), n("ports", 50, 150), F.lit(" ports in "), n("secs", 1, 10), F.lit(" s")),
+        "DDoS": F.concat(n("srcs", 20, 100), F.lit(" sources, "), n("pkts", 1000, 5000), F.lit(" packets → "), dst,
+                         F.lit(" in "), n("secs", 5, 20), F.lit(" s")),
+        "DoS": F.concat(src, F.lit(" sent "), n("pkts", 500, 2000), F.lit(" packets to "), dst, F.lit(" in "),
+                        n("secs", 5, 20), F.lit(" s")),
+    }
+    syn = F.concat(F.lit("SYN flood from "), src, F.lit(", "), n("pkts", 500, 1500), F.lit(" SYN packets in "),
+                   n("secs", 1, 10), F.lit(" s"))
+    details = syn
+    for name, text in texts.items():
+        details = F.when(kind == name, text).otherwise(details)
+    return (
+        ids.withColumns({
+            "ts": _when(start, end, seed),
+            "alert_type": one_of("type", seed, ALERT_TYPES),
+            "src_ip": address("public", between("src", seed, 0, sources - 1), seed),
+            "dst_ip": dst,
+        })
+        .withColumns({"details": details, "model_name": one_of("model", seed, MODEL_NAMES)})
+        .select("ts", "alert_type", "src_ip", "dst_ip", "details", "model_name")
+    )
+
+
+def host_stats(
+    ids: DataFrame, start: Time, end: Time, *, minutes: int = 30, hosts: int = 5, limit: int | None = None, seed: int = 42
+) -> DataFrame:
+    """Row id = interval number * hosts + host number, for intervals that begin before `end`."""
+    interval, host = F.floor(F.col("id") / hosts), F.col("id") % hosts
+    width = F.make_dt_interval(F.lit(0), F.lit(0), F.lit(minutes))
+    rows = ids if limit is None else ids.filter(F.col("id") < limit)
+    begin = ntz_literal(start) + F.make_dt_interval(F.lit(0), F.lit(0), (interval * minutes).cast("int"))
+    return (
+        rows.withColumn("interval_start", begin)
+        .filter(F.col("interval_start") < ntz_literal(end))
+        .withColumns({
+            "interval_end": F.col("interval_start") + width,
+            "host_ip": address("private", host, seed),
+            "total_packets": between("total", seed, 1, 500),
+        })
+        .withColumn("incoming_packets", F.pmod(draw("in", seed), F.col("total_packets") + 1))
+        .withColumns({
+            "outgoing_packets": F.col("total_packets") - F.col("incoming_packets"),
+            "unique_src_ips": between("srcs", seed, 1, 20),
+            "unique_dst_ports": between("ports", seed, 0, 20),
+            "total_packets_size": between("size", seed, 100, 15000),
+        })
+        .drop("id")
+    )
+
+
+def packets(ids: DataFrame, start: Time, end: Time, *, addresses: int = 10, seed: int = 42) -> DataFrame:
+    """One packet per id between two different addresses; only HTTP and HTTPS packets have a URL."""
+    src = between("src", seed, 0, addresses - 1)
+    dst = F.pmod(F.col("_src") + between("dst", seed, 1, addresses - 1), F.lit(addresses))
+    high = between("high", seed, 1024, 65535)
+    which = between("port", seed, 0, len(COMMON_PORTS))
+    port = high
+    for i, p in enumerate(COMMON_PORTS):
+        port = F.when(which == i, F.lit(p)).otherwise(port)
+    url = F.concat(
+        one_of("scheme", seed, ("http", "https")), F.lit("://site"), between("site", seed, 1, 999).cast("string"),
+        F.lit(".example/"), one_of("path", seed, ("app", "blog", "list", "search", "tag")),
+    )
+    return (
+        ids.withColumn("_src", src)
+        .withColumns({"_dst": dst, "protocol": one_of("protocol", seed, PROTOCOLS)})
+        .select(
+            _when(start, end, seed).alias("ts"),
+            address("public", F.col("_src"), seed).alias("src_ip"),
+            between("sport", seed, 1024, 65535).cast("int").alias("src_port"),
+            address("public", F.col("_dst"), seed).alias("dst_ip"),
+            port.cast("int").alias("dst_port"),
+            "protocol",
+            between("len", seed, 40, 1500).cast("int").alias("pkt_len"),
+            one_of("flags", seed, TCP_FLAGS).alias("tcp_flags"),
+            F.upper(F.md5(F.concat_ws("|", F.col("id").cast("string"), F.lit("raw"), F.lit(str(seed))))).alias("raw_data"),
+            F.when(F.col("protocol").isin(*WEB_PROTOCOLS), url).otherwise("").alias("full_url"),
+        )
+    )
+
+
+def _normal(purpose: str, seed: int, mean: float, spread: float) -> Column:
+    """Box-Muller from two draws."""
+    u = (draw(f"{purpose}-u", seed) + 1) / F.lit(4294967297.0)
+    v = draw(f"{purpose}-v", seed) / F.lit(4294967296.0)
+    return F.lit(mean) + F.lit(spread) * F.sqrt(F.log(u) * -2) * F.cos(v * (2 * 3.141592653589793))
+
+
+def baseline(ids: DataFrame, generated_at: Time, *, seed: int = 42) -> DataFrame:
+    """Normal traffic per source: rate, ports and size around 100, 10 and 500, clipped from below."""
+    return ids.select(
+        F.concat(F.lit("192.168.0."), (F.col("id") % 255).cast("string")).alias("src_ip"),
+        at_least(_normal("rate", seed, 100.0, 20.0), 0.0).alias("packet_rate"),
+        at_least(_normal("ports", seed, 10.0, 3.0), 1.0).alias("unique_port_count"),
+        at_least(_normal("size", seed, 500.0, 50.0), 64.0).alias("avg_pkt_size"),
+        ntz_literal(generated_at).alias("generated_at"),
+    )

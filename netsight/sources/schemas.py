@@ -2,25 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
-
-PACKETS = StructType.fromDDL(
-    "ts timestamp_ntz, src_ip string, src_port int, dst_ip string, dst_port int, protocol string, "
-    "pkt_len int, tcp_flags string, raw_data string, full_url string"
+from pyspark.sql.types import (
+    DoubleType,
+    IntegerType,
+    LongType,
+    StringType,
+    StructField,
+    StructType,
+    TimestampNTZType,
 )
-ALERTS = StructType.fromDDL(
-    "ts timestamp_ntz, alert_type string, src_ip string, dst_ip string, details string, model_name string"
+
+_TYPES = {
+    "text": StringType(),
+    "int": IntegerType(),
+    "bigint": LongType(),
+    "double": DoubleType(),
+    "time": TimestampNTZType(),
+}
+
+
+def _schema(**columns: str) -> StructType:
+    return StructType([StructField(name, _TYPES[kind]) for name, kind in columns.items()])
+
+
+PACKETS = _schema(
+    ts="time", src_ip="text", src_port="int", dst_ip="text", dst_port="int", protocol="text", pkt_len="int",
+    tcp_flags="text", raw_data="text", full_url="text",
 )
-HOST_STATS = StructType.fromDDL(
-    "interval_start timestamp_ntz, interval_end timestamp_ntz, host_ip string, total_packets bigint, "
-    "incoming_packets bigint, outgoing_packets bigint, unique_src_ips bigint, unique_dst_ports bigint, "
-    "total_packets_size bigint"
+ALERTS = _schema(ts="time", alert_type="text", src_ip="text", dst_ip="text", details="text", model_name="text")
+HOST_STATS = _schema(
+    interval_start="time", interval_end="time", host_ip="text", total_packets="bigint", incoming_packets="bigint",
+    outgoing_packets="bigint", unique_src_ips="bigint", unique_dst_ports="bigint", total_packets_size="bigint",
 )
-LABELLED_URLS = StructType.fromDDL("url string, type string")
-BASELINE = StructType.fromDDL(
-    "src_ip string, packet_rate double, unique_port_count double, avg_pkt_size double, generated_at timestamp_ntz"
+LABELLED_URLS = _schema(url="text", type="text")
+BASELINE = _schema(
+    src_ip="text", packet_rate="double", unique_port_count="double", avg_pkt_size="double", generated_at="time"
 )
-BLOCKLIST = StructType.fromDDL("ip_address string")
+BLOCKLIST = _schema(ip_address="text")
 
 # Column that dates a row: tables are partitioned by its day.
 EVENT_TIME = {"packets": "ts", "alerts": "ts", "host_stats": "interval_start"}
