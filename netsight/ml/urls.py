@@ -93,8 +93,12 @@ def random_forest(**over) -> Classifier:
 
 
 def linear_svm(rows: int, *, c: float = 1.0, **over) -> OneVsRest:
-    """One against the rest; the penalty C on summed losses is a regularisation of 1 / (C n) on their mean."""
-    svc = LinearSVC(**{"regParam": 1.0 / (c * max(rows, 1)), "maxIter": 100, "weightCol": "weight", **over})
+    """One against the rest, on the unit-length features as they are; the penalty C on summed losses
+    is a regularisation of 1 / (C n) on their mean."""
+    svc = LinearSVC(**{
+        "regParam": 1.0 / (c * max(rows, 1)), "standardization": False, "tol": 1e-4, "maxIter": 100,
+        "weightCol": "weight", **over,
+    })
     return OneVsRest(classifier=svc, weightCol="weight", parallelism=4)
 
 

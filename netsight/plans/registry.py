@@ -351,7 +351,7 @@ def ml_queries() -> dict[str, Query]:
         "standardise": _standardised,
         "decision_tree_url": _classified("DecisionTree"),
         "random_forest_url": _classified("RandomForest"),
-        "linear_svm_url": _classified("LinearSVM"),
+        "linear_svm_url": _classified("LinearSVM", maxIter=20),
         "predict_label_proba": _classified("DecisionTree", maxDepth=5),
         "model_registry": _registered,
         "url_model_alerts": _url_alerts,

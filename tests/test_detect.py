@@ -1,0 +1,113 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from netsight.operators import detect, rollup, throttle
+
+PACKET = "src_ip string, dst_ip string, dst_port int, pkt_len int, tcp_flags string"
+
+
+def syn(second, src="10.0.0.1", dst="10.0.0.9", flags="0x0002"):
+    return (second, src, dst, 80, 60, flags)
+
+
+def test_the_sixth_syn_in_a_window_alerts(at):
+    five = at([syn(0.1 * i) for i in range(5)], PACKET)
+    six = at([syn(0.1 * i) for i in range(6)], PACKET)
+    assert detect.syn_flood_alerts(five).count() == 0
+    rows = detect.syn_flood_alerts(six).collect()
+    assert [(r.alert_type, r.details, r.model_name) for r in rows] == [("SYN", "SYN flood from 10.0.0.1", "SynFlood")]
+    assert at.seconds(rows[0].ts) == 0.5
+
+
+def test_syns_of_two_windows_or_with_other_flags_do_not_add_up(at):
+    rows = [syn(0.5 + 0.1 * i) for i in range(8)] + [syn(0.9, flags="0x0012") for _ in range(9)]
+    assert detect.syn_flood_alerts(at(rows, PACKET)).count() == 0
+    assert detect.syn_flood_windows(at(rows, PACKET)).count() == 0
+
+
+@pytest.mark.parametrize("threshold", [0, 2, 5])
+def test_flood_alerts_by_definition(at, threshold):
+    rng = random.Random(threshold)
+    rows = [syn(rng.randrange(40) / 10, src=rng.choice("abc"), dst=rng.choice("xyz")) for _ in range(200)]
+    rows += [syn(1.5, src="busy", dst="x")] * 300  # equal packets of one busy source
+    got = detect.syn_flood_alerts(at(rows, PACKET), threshold=threshold).collect()
+    want = []
+    for src in {r[1] for r in rows}:
+        for window in range(4):
+            inside = sorted((r[0], r[2]) for r in rows if r[1] == src and int(r[0]) == window)
+            want += [(s, src, d) for s, d in inside[threshold:]]
+    assert sorted((at.seconds(r.ts), r.src_ip, r.dst_ip) for r in got) == sorted(want)
+
+
+def test_rollup_counts_both_sides(at):
+    rows = [
+        (0, "a", "b", 80, 100, None),
+        (59.9, "a", "b", 443, 50, None),
+        (60, "c", "b", 80, 7, None),
+        (10, "a", "a", 0, 5, None),  # with itself, no port: both sides
+        (11, None, "b", 80, 9, None),
+        (12, "a", "", 80, 9, None),
+    ]
+    got = {
+        (at.seconds(r.interval_start), r.host_ip): (
+            r.total_packets, r.incoming_packets, r.outgoing_packets, r.unique_src_ips, r.unique_dst_ports, r.total_packets_size)
+        for r in rollup.host_stats(at(rows, PACKET)).collect()
+    }
+    assert got == {
+        (0, "a"): (4, 1, 3, 1, 2, 160),
+        (0, "b"): (2, 2, 0, 1, 2, 150),
+        (60, "c"): (1, 0, 1, 1, 1, 7),
+        (60, "b"): (1, 1, 0, 1, 1, 7),
+    }
+
+
+def passing(seconds, width):
+    out = []
+    for s in sorted(set(seconds)):
+        if not out or s - out[-1] >= width:
+            out.append(s)
+    return out
+
+
+def test_throttle_example(at):
+    df = at([(s, "x") for s in (0, 100, 299, 300, 500, 599, 600, 950)], "k string")
+    got = throttle.throttle(df, keys=["k"]).collect()
+    assert sorted(at.seconds(r.ts) for r in got) == [0, 300, 600, 950]
+    assert throttle.throttle(df.limit(0), keys=["k"]).count() == 0
+
+
+@pytest.mark.parametrize(("seed", "span"), [(1, 3000), (2, 40000), (3, 400000)])
+def test_throttle_by_definition(at, seed, span):
+    rng = random.Random(seed)
+    rows = [(rng.randrange(span * 10) / 10, rng.choice(["a", "a", "b", None]), i) for i, _ in enumerate(range(1500))]
+    got = throttle.throttle(at(rows, "k string, i int"), keys=["k"], ties=["i"]).collect()
+    want = sorted((s, str(k)) for k in ("a", "b", None) for s in passing([r[0] for r in rows if r[1] == k], 300))
+    assert sorted((at.seconds(r.ts), str(r.k)) for r in got) == want
+    one_line = throttle.throttle(at(rows, "k string, i int"), keys=throttle.SINGLE_KEY)
+    assert sorted(at.seconds(r.ts) for r in one_line.collect()) == passing([r[0] for r in rows], 300)
+
+
+def test_throttle_goes_on_from_what_was_sent(at):
+    df = at([(100, "x"), (299, "x"), (301, "x"), (100, "y")], "k string")
+    sent = at([(0, "x")], "k string").withColumnRenamed("ts", "last_ts")
+    got = throttle.throttle(df, keys=["k"], last_sent=sent).collect()
+    assert sorted((r.k, at.seconds(r.ts)) for r in got) == [("x", 301), ("y", 100)]
+
+
+def test_blocklist_splits_the_packets(at):
+    packets = at([syn(0, src="a"), syn(1, src="b"), syn(2, src="a")], PACKET)
+    listed = packets.sparkSession.createDataFrame([("a",), ("a",), ("z",)], "ip_address string")
+    assert detect.on_blocklist(packets, listed).count() == 2
+    assert [r.src_ip for r in detect.on_blocklist(packets, listed, listed=False).collect()] == ["b"]
+
+
+def test_behaviour_labels_that_flag(at):
+    packets = at([(i, "a", "b", label) for i, label in enumerate(["-1", "1", "Anomaly", "attack", "normal"])],
+                 "src_ip string, dst_ip string, label string")
+    got = detect.behaviour_alerts(packets, lambda d: d.withColumn("prediction", F.col("label")), "Autoencoder")
+    assert got.count() == 3
+    assert {(r.alert_type, r.details) for r in got.collect()} == {
+        ("Anomalous", "Anomalous behaviour detected (model=Autoencoder)")
+    }
