@@ -10,8 +10,8 @@ PORT_PROTOCOLS = ("TCP", "UDP")
 SYN_ONLY = "0x0002"
 UNKNOWN_PROTOCOL = "UNKNOWN"
 
-_OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-_IPV4 = rf"{_OCTET}(\.{_OCTET}){{3}}"
+_OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_IPV4 = rf"{_OCTET}(?:\.{_OCTET}){{3}}"
 _HEXTET = "[0-9A-Fa-f]{1,4}"
 
 
@@ -50,24 +50,20 @@ def length(raw: Column) -> Column:
     return F.coalesce(raw.try_cast("int"), F.lit(0))
 
 
-def is_ipv4(ip: Column) -> Column:
-    return F.coalesce(ip.rlike(rf"^{_IPV4}\z"), F.lit(False))
-
-
-def is_ipv6(ip: Column) -> Column:
-    """Text form of an IPv6 address: at most one '::', dotted quad allowed at the end, zone allowed."""
-    zone_ok = ~ip.contains("%") | ip.rlike(r"^[^%]*%[^%]+\z")
-    body = F.regexp_replace(ip, r"(?s)%.*\z", "")
-    # A trailing dotted quad stands for two hextets.
-    body = F.regexp_replace(body, rf"(?<=:){_IPV4}\z", "0:0")
-    plain = body.rlike(rf"^({_HEXTET}:){{7}}{_HEXTET}\z")
-    squeezed = body.rlike(rf"^(({_HEXTET}:)*{_HEXTET})?::(({_HEXTET}:)*{_HEXTET})?\z")
-    hextets = F.size(F.regexp_extract_all(body, F.lit(f"({_HEXTET})"), F.lit(1)))
-    return F.coalesce(zone_ok & (plain | (squeezed & (hextets <= 7))), F.lit(False))
+def _ip_pattern() -> str:
+    """IPv4, or IPv6 with at most one '::', an optional dotted quad at the end and an optional zone."""
+    quad = rf"{_IPV4}(?=%|\z)"
+    hextet = rf"{_HEXTET}(?=[:%]|\z)"
+    plain = rf"(?:{_HEXTET}:){{6}}(?:{_HEXTET}:{_HEXTET}|{_IPV4})"
+    # '::' stands for at least one hextet, so at most seven are written out; a quad counts as two.
+    eight = rf"(?::{{0,2}}{hextet}){{8}}|(?::{{0,2}}{hextet}){{6,}}:{{1,2}}{quad}"
+    squeezed = rf"(?!{eight})(?:(?:{_HEXTET}:)*{_HEXTET})?::(?:(?:{_HEXTET}:)*(?:{_HEXTET}|{_IPV4}))?"
+    return rf"^(?:{_IPV4}|(?:{plain}|{squeezed})(?:%[^%]+)?)\z"
 
 
 def is_ip(ip: Column) -> Column:
-    return is_ipv4(ip) | is_ipv6(ip)
+    """Whether the text is a well-formed address; one pattern, so that `ip` is computed once."""
+    return F.coalesce(ip.rlike(_ip_pattern()), F.lit(False))
 
 
 def valid_ip_rows(packets: DataFrame) -> DataFrame:

@@ -87,8 +87,8 @@ def _share(part: Column, whole: Column) -> Column:
 def roc_curve(scored: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
     """Points (curve, threshold, fpr, tpr): one per distinct score, plus the origin at +infinity."""
     counted, totals = _counted(scored, classes)
-    # One row per class in `totals`: bounded, and the optimizer broadcasts it by its own measure.
-    points = counted.join(totals, "curve").select(
+    # `totals` has one row per class, whatever the number of rows.
+    points = counted.join(F.broadcast(totals), "curve").select(
         "curve",
         F.col("score").alias("threshold"),
         _share(F.col("cum_neg"), F.col("all_neg")).alias("fpr"),

@@ -24,7 +24,7 @@ SYN_MODEL = "SynFlood"
 BENIGN = "benign"
 ANOMALY_LABELS = ("-1", "-1.0", "anomaly", "attack")
 
-_SALTS = 32
+_SALTS = 64
 
 Detector = Callable[[DataFrame], DataFrame]
 
@@ -72,12 +72,15 @@ def syn_flood_alerts(
         floods = counted.join(prior.withColumnRenamed("syn_count", "seen"), ["w", "src_ip"], "left").fillna(0, ["seen"])
     floods = floods.filter(F.col("n") + F.col("seen") > threshold).select("w", "src_ip", "seen")
 
-    key, order = ["w", "src_ip"], ["ts", "dst_ip"]
+    key, order, salt = ["w", "src_ip"], ["ts", "dst_ip"], F.pmod(F.xxhash64("ts", "dst_ip"), F.lit(_SALTS))
+    # The salt is part of the join key too: a join on the window alone would bring all of a busy
+    # window to one task, and the ranking would then stay there.
+    every_salt = floods.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("bigint"))
     ranked = (
-        syn.join(floods, key)
-        .groupBy(*key, *order, "seen")
+        syn.select(*key, *order, salt.alias("_salt"))
+        .join(every_salt, [*key, "_salt"])
+        .groupBy(*key, *order, "seen", "_salt")
         .agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(_SALTS)))
     )
     left = F.greatest(F.lit(threshold) - F.col("seen"), F.lit(0))
     in_part = Window.partitionBy(*key, "_salt").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

@@ -98,8 +98,8 @@ def rolling_packets(
     """Packets per host over the minutes up to each interval's end, one row per interval."""
     recent = since(stats, "interval_end", as_of, dt.timedelta(hours=hours))
     totals = timeline.rolling_total(recent, "interval_end", minutes * 60, F.col("total_packets"), ["host_ip"])
-    rows = timeline.repeat_rows(totals, timeline.COPIES).withColumnRenamed("total", "pkts_last_30m")
-    return rows.orderBy("host_ip", "interval_end") if ordered else rows
+    rows = timeline.repeat_rows(totals, timeline.COPIES, number="_n").withColumnRenamed("total", "pkts_last_30m")
+    return (rows.orderBy("host_ip", "interval_end", "_n") if ordered else rows).drop("_n")
 
 
 def hourly_heatmap(stats: DataFrame) -> DataFrame:

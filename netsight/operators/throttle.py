@@ -6,13 +6,15 @@ from which rows are allowed; the passing row's own offset is the one allowed fro
 (0 if none passes). A block is therefore a step function on offsets, and after an empty block
 everything is allowed again, so every run of non-empty blocks stands alone. Inside a run, step
 functions of neighbours compose pairwise, level by level (up); then the offset each block starts from
-is handed back down (a parallel prefix scan). Every step is a window over two neighbours.
+is handed back down (a parallel prefix scan). Every step is a window over two neighbours; once few steps
+are left, each run's are simply followed in order.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,7 +23,14 @@ from netsight.session import cut_lineage
 
 SINGLE_KEY: tuple[str, ...] = ()
 
-_RUN = ["_key", "_run"]
+# Every third level is stored: plans stay short, and few levels are computed twice.
+_STORED = 3
+_SALTS = 16
+
+# Up to this many steps in all are followed in order.
+FEW = 500_000
+
+_RUN = ["_key", "_run", "_len"]
 _PAIR = [*_RUN, "_pair"]
 
 
@@ -61,17 +70,35 @@ def _hand_down(steps: DataFrame, entries: DataFrame, size: int) -> DataFrame:
     )
     given = entries.select(
         *_RUN, F.col("_idx").alias("_pair"), F.col("entry").alias("pos"),
-        F.lit(None).cast("bigint").alias("value"), F.lit(True).alias("probe"), "_len",
+        F.lit(None).cast("bigint").alias("value"), F.lit(True).alias("probe"),
     )
-    both = first.unionByName(given, allowMissingColumns=True).withColumn("after", _looked_up()).filter("probe")
+    both = first.unionByName(given).withColumn("after", _looked_up()).filter("probe")
     halves = F.array(
         F.struct((F.col("_pair") * 2).alias("_idx"), F.col("pos").alias("entry")),
         F.struct((F.col("_pair") * 2 + 1).alias("_idx"), F.col("after").alias("entry")),
     )
-    found = both.select(*_RUN, "_len", F.explode(halves).alias("half")).select(*_RUN, "_len", "half.*")
+    found = both.select(*_RUN, F.explode(halves).alias("half")).select(*_RUN, "half.*")
     return found.filter(F.col("_idx") * size < F.col("_len"))
 
 
+def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted steps of whole runs -> entry offset of each block. Holds one row's worth of state."""
+    run, idx, entry, leave = None, None, 0, None
+    for batch in batches:
+        found = []
+        for key, first, size, i, upto, out in batch.itertuples(index=False, name=None):
+            if (key, first) != run:
+                run, entry, leave = (key, first), 0, None
+                found.append((key, first, size, i, entry))
+            elif i != idx:
+                entry, leave = leave or 0, None
+                found.append((key, first, size, i, entry))
+            idx = i
+            if leave is None and upto >= entry:
+                leave = out
+        yield pd.DataFrame(found, columns=[*_RUN, "_idx", "entry"])
+
+
 def _run_entries(events: DataFrame, blocks: DataFrame, longest: int, width: int) -> DataFrame:
     """Offset from which each block of the runs of several blocks allows a row."""
     runs = blocks.filter(F.col("_len") > 1)
@@ -79,12 +106,18 @@ def _run_entries(events: DataFrame, blocks: DataFrame, longest: int, width: int)
     steps = events.join(runs, ["_key", "_block"]).select(*_RUN, index, F.col("_off").alias("upto"), F.col("_off").alias("out"))
     ends = runs.select(*_RUN, index, F.lit(width).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("out"))
     levels = [cut_lineage(steps.unionByName(ends))]
-    while 2 ** len(levels) < longest:
-        levels.append(cut_lineage(_compose(levels[-1])))
-    zero = F.lit(0).cast("bigint")
-    entries = runs.filter(F.col("_block") == F.col("_run")).select(*_RUN, "_len", zero.alias("_idx"), zero.alias("entry"))
+    while 2 ** (len(levels) - 1) < longest:
+        stored = (len(levels) - 1) % _STORED == 0
+        if stored and levels[-1].count() <= FEW:
+            break
+        level = _compose(levels[-1])
+        levels.append(cut_lineage(level) if len(levels) % _STORED == 0 else level)
+    top = levels.pop().repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_idx", "upto")
+    entries = top.mapInPandas(_follow, "_key string, _run bigint, _len bigint, _idx bigint, entry bigint")
     for level in reversed(range(len(levels))):
         entries = _hand_down(levels[level], entries, 2**level)
+        if level % _STORED == 0:
+            entries = cut_lineage(entries)
     return entries.select("_key", (F.col("_run") + F.col("_idx")).alias("_block"), "entry")
 
 
@@ -112,7 +145,8 @@ def throttle(
         open_again = F.col("_sent").isNull() | (F.col("_us") - F.col("_sent") >= width)
         timed = timed.join(sent, "_key", "left").filter(open_again).drop("_sent")
     block = floor_div(F.col("_us"), width)
-    events = (
+    # Stored, because several passes below read these narrow rows.
+    events = cut_lineage(
         timed.select("_key", "_us").distinct()
         .select("_key", "_us", block.alias("_block"), (F.col("_us") - block * width).alias("_off"))
     )
@@ -137,9 +171,15 @@ def throttle(
         .groupBy("_key", "_block")
         .agg(F.min("_us").alias("_us"))
     )
+    # Rows with the same key and time are spread over salts, in the join as in the choice among them.
+    first = F.struct(*(ties or columns))
+    every_salt = passing.select("_key", "_us", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("bigint").alias("_salt"))
     return (
-        timed.join(passing.select("_key", "_us"), ["_key", "_us"])
+        timed.withColumn("_salt", F.pmod(F.xxhash64(*(ties or columns)), F.lit(_SALTS)))
+        .join(every_salt, ["_key", "_us", "_salt"])
+        .groupBy("_key", "_us", "_salt")
+        .agg(F.min_by(F.struct(*columns), first).alias("row"), F.min(first).alias("_first"))
         .groupBy("_key", "_us")
-        .agg(F.min_by(F.struct(*columns), F.struct(*(ties or columns))).alias("row"))
+        .agg(F.min_by("row", "_first").alias("row"))
         .select("row.*")
     )

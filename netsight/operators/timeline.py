@@ -18,20 +18,25 @@ COPIES = "_copies"
 CHUNK = 65_536
 
 
-def repeat_rows(df: DataFrame, copies: str) -> DataFrame:
-    """Each row `copies` times. A row with very many copies is spread over the cluster in chunks."""
-    few = df.filter(F.col(copies) <= CHUNK).withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col(copies).cast("int"))))
+def repeat_rows(df: DataFrame, copies: str, *, number: str | None = None) -> DataFrame:
+    """Each row `copies` times. A row with very many copies is spread over the cluster in chunks.
+
+    `number` names a column for the number of the copy, which tells the copies apart in a sort.
+    """
+    kept = [c for c in df.columns if c != copies]
+    few = df.filter(F.col(copies) <= CHUNK).select(
+        *kept, F.lit(0).cast("bigint").alias("_at"), F.posexplode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))
+    )
     chunks = F.sequence(F.lit(0).cast("bigint"), floor_div(F.col(copies) - 1, CHUNK))
     many = (
         df.filter(F.col(copies) > CHUNK)
-        .withColumn("_chunk", F.explode(chunks))
-        .withColumn("_len", F.least(F.lit(CHUNK).cast("bigint"), F.col(copies) - F.col("_chunk") * CHUNK))
-        .drop("_chunk")
+        .withColumn("_at", F.explode(chunks) * CHUNK)
+        .withColumn("_len", F.least(F.lit(CHUNK).cast("bigint"), F.col(copies) - F.col("_at")))
         .hint("rebalance")
-        .withColumn("_i", F.explode(F.array_repeat(F.lit(0), F.col("_len").cast("int"))))
-        .drop("_len")
+        .select(*kept, "_at", F.posexplode(F.array_repeat(F.lit(0), F.col("_len").cast("int"))))
     )
-    return few.unionByName(many).drop("_i", copies)
+    rows = few.unionByName(many)
+    return rows.select(*kept, *([(F.col("_at") + F.col("pos")).alias(number)] if number else []))
 
 
 def rolling_total(df: DataFrame, ts: str, frame_seconds: int, value: Column, keys: Sequence[str] = ()) -> DataFrame:
@@ -56,19 +61,27 @@ def rolling_total(df: DataFrame, ts: str, frame_seconds: int, value: Column, key
     slot = floor_div(F.col("_us"), MICROS)
     line = [*keys, "_slot", "_us", "_phase", "v", "m", ts, COPIES]
 
-    enter = per_ts.withColumns({"_slot": slot, "_phase": F.lit(1)}).select(*line)
-    no_row = {ts: F.lit(None).cast(per_ts.schema[ts].dataType), COPIES: F.lit(None).cast("bigint")}
-    leave = (
-        per_ts.filter(F.col("m") > 0)
-        .withColumn("_us", F.col("_us") + frame_seconds * MICROS)
-        .withColumns({"_slot": slot, "_phase": F.lit(2), "v": -F.col("v"), "m": -F.col("m"), **no_row})
+    def step(phase: int, us: Column, sign: int) -> Column:
+        return F.struct(
+            F.lit(phase).alias("_phase"), us.alias("_us"), (F.col("v") * sign).alias("v"), (F.col("m") * sign).alias("m")
+        )
+
+    steps = F.array(step(1, F.col("_us"), 1), step(2, F.col("_us") + frame_seconds * MICROS, -1))
+    moves = (
+        per_ts.select(*keys, ts, COPIES, F.explode(steps).alias("s"))
+        .select(*keys, ts, COPIES, "s.*")
+        .filter((F.col("_phase") == 1) | (F.col("m") != 0))
+        .withColumn("_slot", slot)
         .select(*line)
     )
 
     # Base of a second: total of the `frame` whole seconds before it. Spans of several frames are
     # worked on alone, each with a copy of the last frame of the span before.
     span = 8 * frame_seconds
-    per_slot = per_ts.withColumn("_slot", slot).groupBy(*keys, "_slot").agg(F.sum("v").alias("v"), F.sum("m").alias("m"))
+    # The same columns as above are read, though not all are needed: so both use one shuffle.
+    per_slot = per_ts.withColumn("_slot", slot).groupBy(*keys, "_slot").agg(
+        F.sum("v").alias("v"), F.sum("m").alias("m"), F.max(ts).alias(ts), F.max(COPIES).alias(COPIES)
+    )
     home = floor_div(F.col("_slot"), span)
     into_next = floor_div(F.col("_slot") + frame_seconds, span)
     before = Window.partitionBy(*keys, "_span").orderBy("_slot").rangeBetween(-frame_seconds, -1)
@@ -77,14 +90,13 @@ def rolling_total(df: DataFrame, ts: str, frame_seconds: int, value: Column, key
         .withColumn("_span", F.explode(F.array_distinct(F.array(home, into_next))))
         .withColumns({"v": F.sum("v").over(before), "m": F.sum("m").over(before)})
         .filter((F.col("_span") == F.col("_home")) & F.col("v").isNotNull())
-        .withColumns({"_us": F.col("_slot") * MICROS, "_phase": F.lit(0), **no_row})
+        .withColumns({"_us": F.col("_slot") * MICROS, "_phase": F.lit(0)})
         .select(*line)
     )
 
     running = Window.partitionBy(*keys, "_slot").orderBy("_us", "_phase").rowsBetween(Window.unboundedPreceding, 0)
     return (
-        enter.unionByName(leave)
-        .unionByName(base)
+        moves.unionByName(base)
         .withColumns({"total": F.sum("v").over(running), "_m": F.sum("m").over(running)})
         .filter(F.col("_phase") == 1)
         .select(*keys, ts, F.when(F.col("_m") > 0, F.col("total")).alias("total"), COPIES)

@@ -5,6 +5,8 @@ Integer arithmetic only, so that Spark here and the SQL in `oracle.py` see the s
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,12 @@ def host_stats(spark: SparkSession, sf_dir: str, seconds: int = STATS_SECONDS) -
     return rollup.host_stats(packets(spark, sf_dir), seconds=seconds)
 
 
+def stats_as_of(spark: SparkSession, sf_dir: str, seconds: int = STATS_SECONDS) -> dt.datetime:
+    """End of the newest host_stats interval, from the packets' times alone."""
+    newest = packets(spark, sf_dir).agg(F.max(F.window("ts", f"{seconds} seconds")["end"])).first()[0]
+    return newest
+
+
 def labelled_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     kind = F.col("page_id") % 10
     return table(spark, sf_dir, "pages").select(

@@ -30,6 +30,11 @@ def on(source: Callable[..., DataFrame], op: Callable[..., DataFrame], **kw) ->
     return lambda spark, sf_dir: op(source(spark, sf_dir), **kw)
 
 
+def on_stats(op: Callable[..., DataFrame], **kw) -> Query:
+    """The operator over host_stats as of its newest interval."""
+    return lambda spark, sf_dir: op(T.host_stats(spark, sf_dir), as_of=T.stats_as_of(spark, sf_dir), **kw)
+
+
 def _pairs(alerts: DataFrame) -> DataFrame:
     return A.top_attack_pairs(alerts).withColumn("types_seen", F.array_join("types_seen", ","))
 
@@ -65,13 +70,13 @@ def batch_queries() -> dict[str, Query]:
         "quiet_periods": on(al, A.quiet_periods),
         "top_attack_pairs": on(al, _pairs),
         "recent_alerts": on(al, A.recent_alerts),
-        "top_bandwidth": on(hs, H.top_bandwidth),
+        "top_bandwidth": on_stats(H.top_bandwidth),
         "avg_pkt_size": on(hs, H.avg_packet_size),
-        "heavy_outgoing": on(hs, H.heavy_outgoing),
-        "heavy_outgoing_2x": on(hs, H.heavy_outgoing, factor=2, null_ratio_as_zero=False),
-        "port_fan_out": on(hs, H.port_fan_out),
-        "new_source_spike": on(hs, H.new_source_spike),
-        "rolling_30m_packets": on(hs, H.rolling_packets),
+        "heavy_outgoing": on_stats(H.heavy_outgoing),
+        "heavy_outgoing_2x": on_stats(H.heavy_outgoing, factor=2, null_ratio_as_zero=False),
+        "port_fan_out": on_stats(H.port_fan_out),
+        "new_source_spike": on_stats(H.new_source_spike),
+        "rolling_30m_packets": on_stats(H.rolling_packets),
         "hourly_heatmap": on(hs, H.hourly_heatmap),
         "packets_total": on(pk, P.packets_total),
         "packets_by_protocol": on(pk, P.packets_by_protocol),
@@ -84,8 +89,10 @@ def batch_queries() -> dict[str, Query]:
         "top_pairs": on(pk, P.top_pairs),
         "longest_packets": on(pk, P.longest_packets),
         "alerts_by_hour_pivot": on(al, _hour_map),
-        "port_fanout_top10": on(hs, lambda d: H.port_fan_out_top(H.port_fan_out(d))),
-        "rolling_total_all_hosts": on(hs, lambda d: H.rolling_total_all_hosts(H.rolling_packets(d, ordered=False))),
+        "port_fanout_top10": on_stats(lambda d, as_of: H.port_fan_out_top(H.port_fan_out(d, as_of=as_of))),
+        "rolling_total_all_hosts": on_stats(
+            lambda d, as_of: H.rolling_total_all_hosts(H.rolling_packets(d, as_of=as_of, ordered=False))
+        ),
         "hourly_type_series": on(al, lambda d: A.hourly_type_series(A.alerts_by_hour(d), types)),
         "type_totals": on(al, lambda d: A.type_totals(A.alerts_by_hour(d), types)),
         "host_stats_rollup": on(pk, rollup.host_stats, seconds=60),

@@ -78,8 +78,10 @@ def test_throttle_example(at):
     assert throttle.throttle(df.limit(0), keys=["k"]).count() == 0
 
 
-@pytest.mark.parametrize(("seed", "span"), [(1, 3000), (2, 40000), (3, 400000)])
-def test_throttle_by_definition(at, seed, span):
+@pytest.mark.parametrize(("seed", "span", "few"), [(1, 3000, None), (2, 40000, None), (2, 40000, 0), (3, 400000, 50)])
+def test_throttle_by_definition(at, monkeypatch, seed, span, few):
+    if few is not None:  # the way of large inputs, on a small one
+        monkeypatch.setattr(throttle, "FEW", few)
     rng = random.Random(seed)
     rows = [(rng.randrange(span * 10) / 10, rng.choice(["a", "a", "b", None]), i) for i, _ in enumerate(range(1500))]
     got = throttle.throttle(at(rows, "k string, i int"), keys=["k"], ties=["i"]).collect()
