@@ -75,7 +75,7 @@ def syn_flood_alerts(
     key, order, salt = ["w", "src_ip"], ["ts", "dst_ip"], F.pmod(F.xxhash64("ts", "dst_ip"), F.lit(_SALTS))
     # The salt is part of the join key too: a join on the window alone would bring all of a busy
     # window to one task, and the ranking would then stay there.
-    every_salt = floods.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("bigint"))
+    every_salt = floods.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(_SALTS)])))
     ranked = (
         syn.select(*key, *order, salt.alias("_salt"))
         .join(every_salt, [*key, "_salt"])

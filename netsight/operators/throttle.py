@@ -173,7 +173,7 @@ def throttle(
     )
     # Rows with the same key and time are spread over salts, in the join as in the choice among them.
     first = F.struct(*(ties or columns))
-    every_salt = passing.select("_key", "_us", F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("bigint").alias("_salt"))
+    every_salt = passing.select("_key", "_us", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(_SALTS)])).alias("_salt"))
     return (
         timed.withColumn("_salt", F.pmod(F.xxhash64(*(ties or columns)), F.lit(_SALTS)))
         .join(every_salt, ["_key", "_us", "_salt"])

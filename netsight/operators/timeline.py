@@ -27,10 +27,10 @@ def repeat_rows(df: DataFrame, copies: str, *, number: str | None = None) -> Dat
     few = df.filter(F.col(copies) <= CHUNK).select(
         *kept, F.lit(0).cast("bigint").alias("_at"), F.posexplode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))
     )
-    chunks = F.sequence(F.lit(0).cast("bigint"), floor_div(F.col(copies) - 1, CHUNK))
+    chunks = F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1, F.lit(CHUNK).cast("bigint"))
     many = (
         df.filter(F.col(copies) > CHUNK)
-        .withColumn("_at", F.explode(chunks) * CHUNK)
+        .withColumn("_at", F.explode(chunks))
         .withColumn("_len", F.least(F.lit(CHUNK).cast("bigint"), F.col(copies) - F.col("_at")))
         .hint("rebalance")
         .select(*kept, "_at", F.posexplode(F.array_repeat(F.lit(0), F.col("_len").cast("int"))))
