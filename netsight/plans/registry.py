@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsight.functions import derive
-from netsight.ml import anomaly, evaluate, registry, split, urls
+from netsight.ml import anomaly, evaluate, registry, split, training, urls
 from netsight.operators import alerts as A
 from netsight.operators import detect as S
 from netsight.operators import hosts as H
@@ -58,6 +58,7 @@ def batch_queries() -> dict[str, Query]:
         "driver_packets": on(pk, _same),
         "driver_alerts": on(al, _same),
         "alerts_by_hour": on(al, A.alerts_by_hour),
+        "alerts_by_hour_36h": on(al, A.alerts_by_hour, hours=36, newest_first=True),
         "alert_counts_multi_horizon": on(al, A.alert_counts_by_horizon),
         "top_sources": on(al, A.top_sources),
         "most_attacked_dst": on(al, A.most_attacked),
@@ -71,11 +72,16 @@ def batch_queries() -> dict[str, Query]:
         "top_attack_pairs": on(al, _pairs),
         "recent_alerts": on(al, A.recent_alerts),
         "top_bandwidth": on_stats(H.top_bandwidth),
+        "top_bandwidth_1000min": on_stats(H.top_bandwidth, minutes=1000),
         "avg_pkt_size": on(hs, H.avg_packet_size),
         "heavy_outgoing": on_stats(H.heavy_outgoing),
         "heavy_outgoing_2x": on_stats(H.heavy_outgoing, factor=2, null_ratio_as_zero=False),
+        "heavy_outgoing_1h_2x": on_stats(H.heavy_outgoing, hours=1, factor=2, null_ratio_as_zero=False),
+        "heavy_outgoing_20h": on_stats(H.heavy_outgoing, hours=20),
         "port_fan_out": on_stats(H.port_fan_out),
+        "port_fan_out_12h": on_stats(H.port_fan_out, hours=12),
         "new_source_spike": on_stats(H.new_source_spike),
+        "new_source_spike_10": on_stats(H.new_source_spike, min_jump=10),
         "rolling_30m_packets": on_stats(H.rolling_packets),
         "hourly_heatmap": on(hs, H.hourly_heatmap),
         "packets_total": on(pk, P.packets_total),
@@ -310,6 +316,10 @@ def _classified(name: str, **params) -> Query:
     return run
 
 
+def _trained_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return training.train_and_evaluate("DecisionTree", T.learnable_urls(spark, sf_dir)).report
+
+
 def _registered(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Train, store, choose, load the chosen model, predict."""
     root = scratch_path(spark, "models")
@@ -361,6 +371,7 @@ def ml_queries() -> dict[str, Query]:
         "linear_svm_url": _classified("LinearSVM", maxIter=20),
         "predict_label_proba": _classified("DecisionTree", maxDepth=5),
         "model_registry": _registered,
+        "train_evaluate_report": _trained_report,
         "url_model_alerts": _url_alerts,
         "isolation_forest": _scored("IsolationForest"),
         "one_class_svm": _scored("OneClassSVM"),

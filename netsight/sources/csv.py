@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -49,7 +49,8 @@ def route_files(spark: SparkSession, folder: str) -> DataFrame:
     heads = files.select("path").mapInPandas(_first_lines, "path string, header string")
     layout = F.lit(None).cast("int")
     for number, (_, schema) in reversed(list(enumerate(CSV_LAYOUTS))):
-        layout = F.when(F.col("header") == ",".join(schema.names), F.lit(number)).otherwise(layout)
+        header = F.regexp_replace("header", '"', "")
+        layout = F.when(header == ",".join(schema.names), F.lit(number)).otherwise(layout)
     table = F.element_at(F.array(*[F.lit(t) for t, _ in CSV_LAYOUTS]), F.col("layout") + 1)
     return heads.withColumn("layout", layout).withColumn("table", table)
 
@@ -88,18 +89,17 @@ def clean_nulls(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def load_folder(spark: SparkSession, folder: str, root: str) -> DataFrame:
-    """Load every CSV file of a folder into the table its header names.
+def load_folder(spark: SparkSession, folder: str, root: str, *, only: Collection[str] | None = None) -> DataFrame:
+    """Load every CSV file of a folder into the table its header names (`only`: of these tables).
 
     A file goes in whole or not at all: files with a malformed row are rejected before anything is
     written, and each table's append commits as one job. Returns file, table, status, n_rows.
     """
     routed = route_files(spark, folder).select("path", "header", "layout", "table").collect()
-    report = [
-        (r.path, None, UNREADABLE if r.header is None else SKIPPED, 0) for r in routed if r.layout is None
-    ]
+    wanted = [r for r in routed if r.layout is not None and (only is None or r.table in only)]
+    report = [(r.path, None, UNREADABLE if r.header is None else SKIPPED, 0) for r in routed if r not in wanted]
     for number, (table, schema) in enumerate(CSV_LAYOUTS):
-        paths = [r.path for r in routed if r.layout == number]
+        paths = [r.path for r in wanted if r.layout == number]
         if not paths:
             continue
         # The first column only has to be named: Spark refuses to read a bad-record column alone.
