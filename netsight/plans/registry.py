@@ -20,7 +20,7 @@ from netsight.session import scratch_path, ship_package
 from netsight.sources import csv, exports, generate, tables
 from netsight.sources.schemas import ALERTS
 from netsight.sources.tables import DAY
-from netsight.streaming import core, pipeline
+from netsight.streaming import core, live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -404,7 +404,7 @@ def _scored_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = scratch_path(spark, "scored")
     model = registry.train_urls("DecisionTree", T.learnable_urls(spark, sf_dir))
     packets = T.url_packets_of(T.stream(spark, sf_dir, "pages"))
-    pipeline.scored_urls(packets, model, f"{base}/out", f"{base}/checkpoint", available_now=True).awaitTermination()
+    live.scored_urls(packets, model, f"{base}/out", f"{base}/checkpoint", available_now=True).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("ts", "src_ip", "dst_ip", "url", "prediction_label")
 
 
@@ -415,7 +415,7 @@ def _fan_out(which: str) -> Query:
                       registry.train_urls("DecisionTree", T.learnable_urls(spark, sf_dir)))
         registry.choose(spark, f"{base}/models", "DecisionTree")
         packets = T.url_packets_of(T.stream(spark, sf_dir, "pages"))
-        pipeline.url_alerts(
+        live.url_alerts(
             packets, f"{base}/models", f"{base}/alerts", f"{base}/sent", f"{base}/state", f"{base}/checkpoint",
             available_now=True,
         ).awaitTermination()
@@ -427,17 +427,17 @@ def _fan_out(which: str) -> Query:
 def streaming_queries() -> dict[str, Query]:
     al, pk = T.alerts_of, T.packets_of
     return {
-        "ingest_stream": _streamed(pipeline.ingest, "lineitem", T.raw_packets_of, plain=True),
-        "host_stats_stream": _streamed(pipeline.host_stats, "lineitem", pk),
-        "syn_flood_stream": _streamed(pipeline.syn_flood_windows, "lineitem", pk, plain=True,
+        "ingest_stream": _streamed(live.ingest, "lineitem", T.raw_packets_of, plain=True),
+        "host_stats_stream": _streamed(live.host_stats, "lineitem", pk),
+        "syn_flood_stream": _streamed(live.syn_flood_windows, "lineitem", pk, plain=True,
                                       window_seconds=60, threshold=2),
-        "syn_flood_alert_stream": _streamed(pipeline.syn_flood_alerts, "lineitem", pk, state=True,
+        "syn_flood_alert_stream": _streamed(live.syn_flood_alerts, "lineitem", pk, state=True,
                                             window_seconds=60, threshold=2),
-        "throttle_stream": _streamed(pipeline.notifications, "events", al, state=True),
-        "burst_stream": _streamed(pipeline.scan_bursts, "events", al, plain=True, gap_seconds=7200),
-        "dashboard_hours_stream": _streamed(pipeline.dashboard_hours, "events", al, keys=("hour_bucket", "alert_type")),
-        "dashboard_minutes_stream": _streamed(pipeline.dashboard_minutes, "events", al, keys=("minute_bucket",)),
-        "dashboard_sources_stream": _streamed(pipeline.dashboard_sources, "events", al, keys=("src_ip",)),
+        "throttle_stream": _streamed(live.notifications, "events", al, state=True),
+        "burst_stream": _streamed(live.scan_bursts, "events", al, plain=True, gap_seconds=7200),
+        "dashboard_hours_stream": _streamed(live.dashboard_hours, "events", al, keys=("hour_bucket", "alert_type")),
+        "dashboard_minutes_stream": _streamed(live.dashboard_minutes, "events", al, keys=("minute_bucket",)),
+        "dashboard_sources_stream": _streamed(live.dashboard_sources, "events", al, keys=("src_ip",)),
         "model_score_stream": _scored_stream,
         "alert_fanout_alerts": _fan_out("alerts"),
         "alert_fanout_sent": _fan_out("sent"),

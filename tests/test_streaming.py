@@ -10,7 +10,7 @@ from netsight.ml import registry
 from netsight.operators import alerts as A
 from netsight.operators import detect, rollup, throttle
 from netsight.sources.tables import conform
-from netsight.streaming import core, pipeline
+from netsight.streaming import core, live
 
 PACKET = "src_ip string, dst_ip string, dst_port int, pkt_len int, tcp_flags string, full_url string"
 ALERT = "alert_type string, src_ip string, dst_ip string, details string"
@@ -48,7 +48,7 @@ def test_host_stats_with_a_closing_row(at, streamed):
     df = packets(at)
     done = df.unionByName(at([(100000, "z", "z", 1, 1, None, None)], PACKET))  # moves the watermark past all
     stream, (out, _, check) = streamed(done, 4)
-    pipeline.host_stats(stream, out, check, available_now=True).awaitTermination()
+    live.host_stats(stream, out, check, available_now=True).awaitTermination()
     assert rows_of(core.read_batches(df.sparkSession, out)) == rows_of(rollup.host_stats(df))
 
 
@@ -56,7 +56,7 @@ def test_syn_windows(at, streamed):
     df = packets(at, seconds=60)
     done = df.unionByName(at([(100000, "z", "z", 1, 1, "0x0002", None)], PACKET))
     stream, (out, _, check) = streamed(done, 3)
-    pipeline.syn_flood_windows(stream, out, check, available_now=True).awaitTermination()
+    live.syn_flood_windows(stream, out, check, available_now=True).awaitTermination()
     assert rows_of(df.sparkSession.read.parquet(out)) == rows_of(detect.syn_flood_windows(df))
 
 
@@ -70,7 +70,7 @@ def test_syn_alerts_count_on_across_batches(spark, at, tmp_path):
         part.coalesce(1).write.mode("append").parquet(src)
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
     out = str(tmp_path / "out")
-    pipeline.syn_flood_alerts(stream, out, str(tmp_path / "state"), str(tmp_path / "check"), available_now=True).awaitTermination()
+    live.syn_flood_alerts(stream, out, str(tmp_path / "state"), str(tmp_path / "check"), available_now=True).awaitTermination()
     got, want = core.read_batches(spark, out), detect.syn_flood_alerts(df)
     # Which packet of a window comes first differs with arrival; how many alert does not.
     key = [F.window("ts", "1 second").alias("w"), "src_ip"]
@@ -81,14 +81,14 @@ def test_throttle_goes_on_across_batches(at, streamed):
     rng = random.Random(5)
     df = at([(rng.randrange(6000), rng.choice(["DDoS", "DoS"]), rng.choice("ab"), "d", "x") for _ in range(300)], ALERT)
     stream, (out, state, check) = streamed(df, 5)
-    pipeline.notifications(stream, out, state, check, available_now=True).awaitTermination()
+    live.notifications(stream, out, state, check, available_now=True).awaitTermination()
     assert rows_of(core.read_batches(df.sparkSession, out)) == rows_of(throttle.throttle(df))
 
 
 def test_throttle_of_all_alerts_as_one_line(at, streamed):
     df = at([(s, "DoS", "a", "d", "x") for s in (0, 100, 299, 300, 500, 599, 600, 950)], ALERT)
     stream, (out, state, check) = streamed(df, 3)
-    pipeline.notifications(stream, out, state, check, keys=throttle.SINGLE_KEY, available_now=True).awaitTermination()
+    live.notifications(stream, out, state, check, keys=throttle.SINGLE_KEY, available_now=True).awaitTermination()
     assert sorted(at.seconds(r.ts) for r in core.read_batches(df.sparkSession, out).collect()) == [0, 300, 600, 950]
 
 
@@ -97,7 +97,7 @@ def test_bursts(at, streamed):
     df = at([(rng.randrange(4000), "Port Scan", rng.choice("ab"), "d", "x") for _ in range(200)], ALERT)
     done = df.unionByName(at([(100000, "Port Scan", "z", "d", "x")], ALERT))
     stream, (out, _, check) = streamed(done, 4)
-    pipeline.scan_bursts(stream, out, check, available_now=True).awaitTermination()
+    live.scan_bursts(stream, out, check, available_now=True).awaitTermination()
     assert rows_of(df.sparkSession.read.parquet(out)) == rows_of(A.scan_bursts(df))
 
 
@@ -106,9 +106,9 @@ def test_dashboards(spark, at, streamed, tmp_path):
     df = at([(rng.randrange(9000), rng.choice(["DDoS", "Port Scan"]), rng.choice("abc"), "d", "x") for _ in range(200)], ALERT)
     stream, _ = streamed(df, 3)
     for start, want, keys in [
-        (pipeline.dashboard_hours, A.alerts_by_hour(df, hours=99), ("hour_bucket", "alert_type")),
-        (pipeline.dashboard_minutes, A.alerts_per_minute(df), ("minute_bucket",)),
-        (pipeline.dashboard_sources, A.top_sources(df), ("src_ip",)),
+        (live.dashboard_hours, A.alerts_by_hour(df, hours=99), ("hour_bucket", "alert_type")),
+        (live.dashboard_minutes, A.alerts_per_minute(df), ("minute_bucket",)),
+        (live.dashboard_sources, A.top_sources(df), ("src_ip",)),
     ]:
         place = str(tmp_path / start.__name__)
         start(stream, f"{place}/out", f"{place}/check", available_now=True).awaitTermination()
@@ -122,7 +122,7 @@ def test_ingest(spark, at, streamed):
             "length string, tcp_flags string, has_http boolean, http_host string, http_full_uri string, http_uri string, tls_sni string")
     raw = at(rows, cols)
     stream, (out, _, check) = streamed(raw, 2)
-    pipeline.ingest(stream, out, check, available_now=True).awaitTermination()
+    live.ingest(stream, out, check, available_now=True).awaitTermination()
     got = spark.read.parquet(out).drop("event_date")
     assert rows_of(got) == rows_of(conform(valid_ip_rows(dissect(raw)), "packets")) and got.count() == 20
 
@@ -135,7 +135,7 @@ def test_alerts_of_the_chosen_model(spark, at, streamed, tmp_path):
     df = packets(at, n=60)
     stream, (out, state, check) = streamed(df, 2)
     sent = str(tmp_path / "sent")
-    pipeline.url_alerts(stream, models, out, sent, state, check, available_now=True).awaitTermination()
+    live.url_alerts(stream, models, out, sent, state, check, available_now=True).awaitTermination()
     got = core.read_batches(spark, out)
     assert got.count() == df.filter("full_url like '%?%'").count() > 0
     assert {(r.alert_type, r.model_name) for r in got.collect()} == {("phishing", "DecisionTree")}
