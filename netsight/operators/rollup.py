@@ -32,12 +32,14 @@ def flows(packets: DataFrame, *, seconds: int = 60) -> DataFrame:
     )
 
 
-def host_stats_of_flows(flow_rows: DataFrame) -> DataFrame:
+def host_stats_of_flows(flow_rows: DataFrame, *, approximate: bool = False) -> DataFrame:
     """Each flow counts for its source as outgoing and for its target as incoming traffic.
 
     Both hosts note the flow's source address and target port, so a sender is one of its own
-    sources, and traffic of a host with itself counts on both sides.
+    sources, and traffic of a host with itself counts on both sides. `approximate` trades the exact
+    distinct counts, and the shuffle they need, for sketches.
     """
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     sides = F.array(
         F.struct(F.col("src_ip").alias("host"), F.lit(0).alias("inc"), F.lit(1).alias("out")),
         F.struct(F.col("dst_ip").alias("host"), F.lit(1).alias("inc"), F.lit(0).alias("out")),
@@ -50,16 +52,16 @@ def host_stats_of_flows(flow_rows: DataFrame) -> DataFrame:
             F.sum("n").alias("total_packets"),
             F.sum(F.col("n") * side["inc"]).alias("incoming_packets"),
             F.sum(F.col("n") * side["out"]).alias("outgoing_packets"),
-            F.count_distinct("src_ip").alias("unique_src_ips"),
-            F.count_distinct("dst_port").alias("unique_dst_ports"),
+            distinct("src_ip").alias("unique_src_ips"),
+            distinct("dst_port").alias("unique_dst_ports"),
             F.sum("bytes").alias("total_packets_size"),
         )
     )
 
 
-def host_stats(packets: DataFrame, *, seconds: int = 60) -> DataFrame:
+def host_stats(packets: DataFrame, *, seconds: int = 60, approximate: bool = False) -> DataFrame:
     """Statistics per (interval, host)."""
-    return host_stats_of_flows(flows(packets, seconds=seconds))
+    return host_stats_of_flows(flows(packets, seconds=seconds), approximate=approximate)
 
 
 def traffic_features(packets: DataFrame, *, seconds: int = 60) -> DataFrame:

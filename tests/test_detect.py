@@ -61,6 +61,8 @@ def test_rollup_counts_both_sides(at):
         (60, "c"): (1, 0, 1, 1, 1, 7),
         (60, "b"): (1, 1, 0, 1, 1, 7),
     }
+    sketched = rollup.host_stats(at(rows, PACKET), approximate=True)  # exact for so few values
+    assert sorted(map(tuple, sketched.collect())) == sorted(map(tuple, rollup.host_stats(at(rows, PACKET)).collect()))
 
 
 def passing(seconds, width):
