@@ -53,8 +53,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     left = F.sum("source_size").over(everything.partitionBy()) - F.coalesce(F.sum("cap").over(before), F.lit(0))
     level = left / F.sum("weight").over(rest)
     stepped = ranked.withColumn("level", level).withColumn("capped", F.col("cap") <= F.col("level") * F.col("weight"))
-    uncapped = F.min(F.when(~F.col("capped"), F.struct(F.col("cap") / F.col("weight"), F.col("level").alias("level"))))
-    common = uncapped.over(everything.partitionBy())["level"]
+    # The first uncapped source has the level of all that follow; theirs, reckoned as if it were capped, are lower.
+    common = F.max(F.when(~F.col("capped"), F.col("level"))).over(everything.partitionBy())
     target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * common)
     return stepped.select("source", "source_size", target.alias("target"))
 

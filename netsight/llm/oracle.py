@@ -89,7 +89,7 @@ levels AS (
 capped AS (SELECT *, cap <= level * weight AS at_cap FROM levels),
 targets AS (
   SELECT source, source_size, CASE WHEN at_cap THEN cap::double
-    ELSE weight * (SELECT arg_min(level, cap::double / weight) FROM capped WHERE NOT at_cap) END AS target
+    ELSE weight * (SELECT max(level) FROM capped WHERE NOT at_cap) END AS target
   FROM capped
 ),
 budgets AS (

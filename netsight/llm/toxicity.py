@@ -106,7 +106,7 @@ def _quoted(text: str, first: int, last: int) -> bool:
         return True
     before, after = text[max(0, first - 60) : first], text[last : last + 60]
     return any(before.count(q) % 2 == 1 and q in after for q in '"`') or any(
-        before.rfind(a) > before.rfind(b) and b in after for a, b in ("“”", "„“", "«»", "‹›")
+        before.rfind(a) > before.rfind(b) and b in after for a, b in ("“”", "„“", "«»", "»«", "‹›", "›‹")
     )
 
 
@@ -252,6 +252,7 @@ def toxicity(
     lexicon = learn_lexicon(labelled)
     counted = cut_lineage(features(docs, key, text, lexicon))
     own = counted.withColumnRenamed("key", "of").join(taught, "of").dropDuplicates().select("toxic", *_inputs()).toPandas().to_numpy(float)
+    own = own[np.lexsort(own.T)]  # sums of floats depend on their order
     if len(own) and 0 < own[:, 0].sum() < len(own):
         w = regression(own[:, 1:], own[:, 0]).tolist()
     else:

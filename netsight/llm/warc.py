@@ -11,7 +11,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterator
-from urllib.parse import quote
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs
@@ -76,7 +76,10 @@ def record(key, url: str | None, payload: bytes, digest: str, kind: str, refers_
     if key is not None:
         fields.append(f"Netsight-Key: {quote(str(key))}")
     if url is not None:
-        fields.append(f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}")
+        uri = quote(url, safe=":/?#[]@!$&()*+,;=%~'")
+        fields.append(f"WARC-Target-URI: {uri}")
+        if uri != url:  # what the page's table has, to the letter
+            fields.append(f"Netsight-URL: {quote(url, safe='')}")
     if kind == "revisit":
         fields += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: {_record_id(f'page:{refers_to}')}"]
         fields.append(f"Netsight-Refers-To-Key: {quote(str(refers_to))}")
@@ -168,10 +171,15 @@ def records_in(stream) -> Iterator[tuple[dict[str, str], bytes]]:
         rest = rest[size:]
 
 
+def _text(fields: dict[str, str], name: str) -> str | None:
+    return unquote(fields[name]) if name in fields else None
+
+
 def read_archives(spark: SparkSession, archives: DataFrame, key_type: str) -> DataFrame:
     """(key, url, payload_bytes, payload_digest, record_type, refers_to, intact) of every record.
 
-    intact: a response's payload has the length and the digest that its fields give.
+    intact: a response's payload has the length and the digest that its fields give. An archive that
+    ends early, or has not the number of records it was written with, is an error.
     """
     ship_package(spark)
     fields_of = {
@@ -181,7 +189,7 @@ def read_archives(spark: SparkSession, archives: DataFrame, key_type: str) -> Da
     schema = "key string, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to string, intact boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (path,) in rows_of(batches, "path"):
+        for path, records in rows_of(batches, "path", "records"):
             files, at = _file_system(path)
             rows = []
             with files.open_input_file(at) as stream:
@@ -191,16 +199,14 @@ def read_archives(spark: SparkSession, archives: DataFrame, key_type: str) -> Da
                     whole = len(payload) == size and hashlib.sha256(payload).hexdigest() == digest
                     kind = fields["WARC-Type"]
                     rows.append(
-                        (fields.get("Netsight-Key"), fields.get("WARC-Target-URI"), size, digest, kind,
-                         fields.get("Netsight-Refers-To-Key"), whole if kind == "response" else None)
+                        (_text(fields, "Netsight-Key"), _text(fields, "Netsight-URL") or fields.get("WARC-Target-URI"), size, digest, kind,
+                         _text(fields, "Netsight-Refers-To-Key"), whole if kind == "response" else None)
                     )
+            if len(rows) != records:
+                raise ValueError(f"{path} has {len(rows)} of {records} records")
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), fields_of.values(), strict=True)]
             yield pa.RecordBatch.from_arrays(columns, list(fields_of))
 
     # The list is short and would be one task: deal the archives out.
-    read = archives.select("path").repartition(F.col("path")).mapInArrow(run, schema)
-    decoded = lambda c: F.url_decode(F.replace(F.col(c), F.lit("+"), F.lit("%2B")))
-    return read.select(
-        decoded("key").cast(key_type).alias("key"), decoded("url").alias("url"), "payload_bytes", "payload_digest",
-        "record_type", decoded("refers_to").cast(key_type).alias("refers_to"), "intact",
-    )
+    read = archives.select("path", "records").repartition(F.col("path")).mapInArrow(run, schema)
+    return read.withColumns({c: F.col(c).cast(key_type) for c in ("key", "refers_to")})

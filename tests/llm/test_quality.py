@@ -1,0 +1,91 @@
+import random
+import re
+from collections import Counter
+
+from netsight.llm import quality
+
+
+def counts(text):
+    text = text or ""
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    often = Counter(windows)
+    held = {k for i, w in enumerate(windows) if often[w] > 1 for k in (i, i + 1, i + 2)}
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    symbols = sum(text.count(c) for c in "#*$%&|<>")
+    return len(words), sum(map(len, words)), symbols, len(lines) - len(set(lines)), len(held)
+
+
+def plain_fit(votes, rounds):
+    """The same estimation, text by text instead of pattern by pattern."""
+    import math
+
+    belief = [0.9 if -1 not in v else 0.9 / 2 ** (1 + v.count(-1)) for v in votes]
+    for _ in range(rounds):
+        good, total = sum(belief), len(votes)
+        prior = math.log((good + 10) / (total - good + 10))
+        odds = []
+        for r in range(len(votes[0])):
+            a = {k: x + sum(b for b, v in zip(belief, votes, strict=True) if v[r] == k) for k, x in ((-1, 0.5), (0, 1.5), (1, 8))}
+            z = {k: x + sum(1 - b for b, v in zip(belief, votes, strict=True) if v[r] == k) for k, x in ((-1, 5), (0, 2), (1, 3))}
+            odds.append({k: math.log(a[k] / (good + 10)) - math.log(z[k] / (total - good + 10)) for k in a})
+        score = [prior + sum(o[x] for o, x in zip(odds, v, strict=True)) for v in votes]
+        belief = [1 / (1 + math.exp(-s)) for s in score]
+    return belief
+
+
+def junk(prose, i):
+    text = prose(120 + i, i)
+    kind = i % 4
+    if kind == 0:
+        return " ".join(w + random.Random(i).choice(["%%%", "&&&", "$$$"]) for w in text.split())
+    if kind == 1:
+        return " ".join(w.upper() + "!!" for w in text.split())
+    return " | ".join(text.split()) if kind == 2 else "\n".join([prose(9, i)] * 3 + [text + " "] * 2)
+
+
+def clean(prose, i):
+    text = prose(150 + i, i).split()
+    return " ".join(w if k % 4 else "the" for k, w in enumerate(text)) + "."
+
+
+def test_counts_and_base(documents, nasty, prose):
+    rows = nasty + [(20 + i, junk(prose, i), "a") for i in range(8)] + [(40, "a b c a b c a b c", "a"), (41, "a a a a", "a")]
+    found = quality.judged(documents(rows)).collect()
+    expected = []
+    for i, text, _ in rows:
+        n = counts(text)
+        expected.append((i, *n, n[0] < 50 or 100 * n[4] > 50 * n[0]))
+    ours = [(r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in found]
+    assert sorted(map(str, ours)) == sorted(map(str, expected))
+    assert not any(r.kept for r in found if r.base_failed)
+
+
+def test_junk_goes_and_clean_text_stays_without_labels(documents, prose):
+    rows = [(i, clean(prose, i), "a") for i in range(60)] + [(100 + i, junk(prose, i), "a") for i in range(12)]
+    found = {r.doc_id: r.kept for r in quality.judged(documents(rows)).collect()}
+    assert all(found[i] for i in range(60))
+    assert not any(found[100 + i] for i in range(12))
+
+
+def test_fit_by_pattern_is_fit_by_text():
+    r = random.Random(4)
+    votes = [tuple(r.choice([-1, 0, 1]) if r.random() < 0.4 else good for _ in range(4)) for good in [1] * 70 + [-1] * 20]
+    prior, odds = quality.expectation_maximisation(sorted(Counter(votes).items()), 4, 20)
+    import math
+
+    ours = [1 / (1 + math.exp(-prior - sum(o[x] for o, x in zip(odds, v, strict=True)))) for v in votes]
+    assert max(abs(a - b) for a, b in zip(ours, plain_fit(votes, 20), strict=True)) < 1e-9
+
+
+def test_empty_table_and_same_on_one_partition(documents, prose):
+    assert quality.judged(documents([])).count() == 0
+    rows = [(i, clean(prose, i), "a") for i in range(10)]
+    docs = documents(rows)
+    a, b = (sorted(map(str, quality.judged(d).collect())) for d in (docs, docs.coalesce(1)))
+    assert a == b
+
+
+def test_native(documents, nasty):
+    plan = quality.features(documents(nasty), "text", ["doc_id"])._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan

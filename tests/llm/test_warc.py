@@ -1,0 +1,89 @@
+import hashlib
+import io
+import random
+
+import pytest
+
+from netsight.llm import warc
+from netsight.session import scratch_path
+
+LONG = "<p>" + "lorem ipsum " * 20
+
+
+def plainly(pages):
+    first = {}
+    for key, _, html in pages:
+        body = (html or "").encode()
+        if len(body) >= 100 and key is not None:
+            first[body] = min(key, first.get(body, key))
+    out = []
+    for key, _, html in pages:
+        body = (html or "").encode()
+        origin = first.get(body)
+        again = origin is not None and key != origin
+        out.append((key, len(body), hashlib.sha256(body).hexdigest(), "revisit" if again else "response", origin if again else None))
+    return sorted(map(str, out))
+
+
+def round_trip(spark, pages, date="2024-01-01T00:00:00Z"):
+    table = spark.createDataFrame([(*p, 1, "s") for p in pages], "page_id long, url string, html string, payload int, salt string")
+    archives = warc.write_archives(warc.marked(table, "page_id", "url", "html"), scratch_path(spark, "warc"), date)
+    return archives, warc.read_archives(spark, archives, "bigint")
+
+
+PAGES = [
+    (5, "http://a/ü?x=1 2", LONG + "ä"), (3, None, LONG + "ä"), (3, "http://b", LONG + "ä"), (9, "http://c\r\nX: y", LONG), (None, "http://c", LONG),
+    (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (None, None, None), (7, "u%20v+w", "WARC/1.1\r\n\r\n" * 30),
+    (8, "u", "x" * 100), (10, "u", "x" * 100), (11, "u", "x" * 99), (12, "u", "x" * 99), (13, "big", "0123456789abcdef" * 200_000), (None, "n", "y" * 200),
+    (None, "n", "y" * 200),
+]
+
+
+def test_round_trip(spark):
+    _, read = round_trip(spark, PAGES)
+    rows = read.collect()
+    assert sorted(str((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in rows) == plainly(PAGES)
+    assert all(r.intact for r in rows if r.record_type == "response")
+    assert sorted(r.url or "" for r in rows) == sorted(u or "" for _, u, _ in PAGES)
+
+
+@pytest.mark.parametrize("size", [1, 3000, 1 << 20])
+def test_many_archives(spark, monkeypatch, size):
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", size)
+    r = random.Random(size)
+    pages = [(i, f"http://h/{i}", LONG * r.randint(0, 30) + str(r.randint(0, 60))) for i in range(300)]
+    archives, read = round_trip(spark, pages)
+    assert sorted(str((r.key, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to)) for r in read.collect()) == plainly(pages)
+    assert sum(r.records for r in archives.collect()) == 300
+    assert size > 1 or archives.count() == 300
+
+
+def test_empty(spark):
+    archives, read = round_trip(spark, [])
+    assert archives.count() == 0 and read.count() == 0
+
+
+def test_dictionary_leads_and_each_record_stands_alone():
+    r = random.Random(1)
+    bodies = [("<html><nav>menu menu</nav>" + "".join(r.choice(["<p>one</p>", "<li>two</li>", "three "]) for _ in range(60))).encode() for _ in range(400)]
+    records = [warc.record(i, None, b, hashlib.sha256(b).hexdigest(), "response", None, "d") for i, b in enumerate(bodies)]
+    frames = list(warc.archive(records))
+    assert int.from_bytes(frames[0][:4], "little") == 0x184D2A5D and int.from_bytes(frames[0][4:8], "little") == len(frames[0]) - 8
+    import zstandard
+
+    single = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(frames[0][8:]))
+    assert [single.decompress(f) for f in frames[1:]] == records
+    plain = sum(len(zstandard.ZstdCompressor(level=3).compress(x)) for x in records)
+    assert sum(map(len, frames[1:])) < 0.8 * plain
+    read = [block.partition(b"\r\n\r\n")[2] for _, block in warc.records_in(io.BytesIO(b"".join(frames)))]
+    assert read == bodies
+
+
+@pytest.mark.parametrize("cut", [20, 700])
+def test_cut_archives_are_noticed(spark, cut):
+    archives, read = round_trip(spark, [(i, f"http://h/{i}", LONG * 20 + str(i)) for i in range(30)])
+    path = archives.first().path.removeprefix("file:")
+    whole = open(path, "rb").read()
+    open(path, "wb").write(whole[:-cut])
+    with pytest.raises(Exception, match="record|frame"):
+        read.collect()
