@@ -43,7 +43,7 @@ def micros(ts: str | Column) -> Column:
 
 def floor_div(value: Column, size: int) -> Column:
     """Whole division rounding down, exact for any bigint."""
-    return ((value - F.pmod(value, F.lit(size))) / F.lit(size)).cast("bigint")
+    return F.call_function("div", value - F.pmod(value, F.lit(size)), F.lit(size)).cast("bigint")
 
 
 def trunc(unit: str, ts: str) -> Column:

@@ -35,7 +35,9 @@ class Scaler:
             *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
         ).first()
         n = len(columns)
-        return cls(list(columns), [row[i] or 0.0 for i in range(n)], [row[n + i] or 1.0 for i in range(n)])
+        # Twelve digits: what is behind them depends on the order in which partitions are summed.
+        exact = [float(f"{v:.12g}") if v is not None else None for v in row]
+        return cls(list(columns), [exact[i] or 0.0 for i in range(n)], [exact[n + i] or 1.0 for i in range(n)])
 
     def transform(self, df: DataFrame) -> DataFrame:
         """The scaled columns under the same names."""
@@ -61,22 +63,25 @@ class _Model:
         raise NotImplementedError
 
     def add_raw(self, df: DataFrame) -> DataFrame:
+        """Adds `score`; a row that lacks a feature has none. Only the features go through Python."""
         columns, scaler, raw = self.scaler.columns, self.scaler, self.raw
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                x = scaler.apply(batch[columns].to_numpy(dtype="float64"))
-                yield batch.assign(score=raw(x) if len(batch) else np.empty(0))
+        @F.pandas_udf("double")
+        def run(*features: pd.Series) -> pd.Series:
+            x = np.column_stack([f.to_numpy(dtype="float64") for f in features])
+            known = ~np.isnan(x).any(axis=1)
+            out = np.full(len(x), np.nan)
+            if known.any():
+                out[known] = raw(scaler.apply(x[known]))
+            return pd.Series(out)
 
-        out = StructType([*df.schema.fields, StructField("score", DoubleType())])
-        return df.mapInPandas(run, out)
+        found = run(*[F.col(c).cast("double") for c in columns])
+        return df.withColumn("score", found).withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
 
     def score(self, df: DataFrame) -> DataFrame:
-        """Decision score relative to the threshold, and the label."""
-        return (
-            self.add_raw(df)
-            .withColumn("score", F.col("score") - F.lit(self.threshold))
-            .withColumn("prediction", F.when(F.col("score") < 0, -1).otherwise(1))
+        """Decision score relative to the threshold, and the label; NULL where a feature is missing."""
+        return self.add_raw(df).withColumn("score", F.col("score") - F.lit(self.threshold)).withColumn(
+            "prediction", F.when(F.col("score") < 0, -1).when(F.col("score") >= 0, 1)
         )
 
 
@@ -90,6 +95,9 @@ def _mean_path(n: np.ndarray | float) -> np.ndarray:
     return np.where(n > 2, 2 * (np.log(big - 1) + np.euler_gamma) - 2 * (big - 1) / big, np.where(n == 2, 1.0, 0.0))
 
 
+#: About so many distinct rows are ranked in one task.
+_BUCKET_ROWS = 4096
+
 _TREE = "tree int, node int, feature int, split double, left int, depth double"
 
 
@@ -135,33 +143,47 @@ class IsolationForest(_Model):
         columns = list(columns)
         rows = _complete(df, columns)
         self.scaler = Scaler.fit(rows, columns)
-        scaled = self.scaler.transform(rows)
-        # A pool of trees * sample rows, first in a seeded hash order, is all that training needs;
-        # each tree draws its rows from the pool in a hash order of its own.
-        text = [F.col(c).cast("string") for c in columns]
-        pool = cut_lineage(
-            scaled.withColumn("_h", F.xxhash64(*text, F.lit(self.seed)))
-            .withColumn("_copy", F.monotonically_increasing_id())
-            .orderBy("_h", *columns)
-            .limit(self.trees * self.sample)
-        )
-        psi = min(self.sample, pool.count())
-        drawn = (
-            pool.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(self.trees - 1))))
-            .withColumn("rank", F.row_number().over(
-                Window.partitionBy("tree").orderBy(F.xxhash64("tree", "_h", "_copy"), *columns)))
-            .filter(F.col("rank") <= psi)
-        )
+        drawn, psi = self._samples(rows, columns)
+        drawn = self.scaler.transform(drawn)
         grown = drawn.groupBy("tree").applyInPandas(_grow(self.seed, columns), _TREE).toPandas()
         self.forest = [
             tuple(t.sort_values("node")[c].to_numpy() for c in ("feature", "split", "left", "depth"))
             for _, t in grown.groupby("tree")
         ]
-        self.norm = float(_mean_path(psi)) or 1.0
+        self.norm = float(_mean_path(np.float64(psi))) or 1.0
         scored = cut_lineage(self.add_raw(rows).select("score"))
         self.threshold = exact_quantile(scored, "score", self.contamination)
         return self
 
+    def _samples(self, rows: DataFrame, columns: list[str]) -> tuple[DataFrame, int]:
+        """(tree, rank, columns): each tree's rows, drawn from all rows without putting any back.
+
+        Rows stand in the order of a hash, equal ones side by side; a tree draws places in that order.
+        Hash buckets are counted, and only buckets that hold a drawn place are ranked. The draw depends
+        on the rows and the seed, not on how the rows are partitioned.
+        """
+        hashed = F.xxhash64(*[F.col(c).cast("string") for c in columns], F.lit(self.seed))
+        counted = cut_lineage(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")).withColumn("_hash", hashed))
+        distinct = counted.count()
+        buckets = -(-distinct // _BUCKET_ROWS)
+        placed = counted.withColumn("_bucket", F.pmod("_hash", F.lit(buckets or 1)))
+        sizes = placed.groupBy("_bucket").agg(F.sum("_n").alias("n")).orderBy("_bucket").collect()
+        ends = np.cumsum([r.n for r in sizes], dtype="int64")
+        total = int(ends[-1]) if len(ends) else 0
+        psi = min(self.sample, total)
+        rng = np.random.default_rng(self.seed)
+        wanted = []
+        for tree in range(self.trees):
+            for rank, place in enumerate(rng.choice(total, psi, replace=False) if total else ()):
+                at = int(np.searchsorted(ends, place, side="right"))
+                wanted.append((tree, rank, int(sizes[at]._bucket), int(place - (ends[at] - sizes[at].n))))
+        # trees * sample rows, whatever the number of rows.
+        draws = rows.sparkSession.createDataFrame(wanted, "tree int, rank int, _bucket bigint, _place bigint")
+        order = Window.partitionBy("_bucket").orderBy("_hash", *columns).rowsBetween(Window.unboundedPreceding, 0)
+        upto = placed.join(draws.select("_bucket").distinct(), "_bucket", "left_semi").withColumn("_upto", F.sum("_n").over(order))
+        within = (F.col("_place") < F.col("_upto")) & (F.col("_place") >= F.col("_upto") - F.col("_n"))
+        return upto.join(draws, "_bucket").filter(within).select("tree", "rank", *columns), psi
+
     def raw(self, x: np.ndarray) -> np.ndarray:
         total = np.zeros(len(x))
         every = np.arange(len(x))
@@ -358,12 +380,13 @@ class Autoencoder(_Model):
         cut = self.threshold if self.threshold is not None else exact_quantile(scored, "error", self.percentile)
         return (
             scored.withColumn("score", -F.col("error"))
-            .withColumn("prediction", F.when(F.col("error") <= F.lit(cut), 1).otherwise(-1))
+            .withColumn("prediction", F.when(F.col("error") <= F.lit(cut), 1).when(F.col("error") > F.lit(cut), -1))
             .drop("error")
         )
 
 
 def split_table(model: _Model, df: DataFrame) -> DataFrame:
-    """The first three features of the scored rows with a Normal or Anomaly tag."""
+    """The first three features of the scored rows with a Normal or Anomaly tag, none where a feature is missing."""
     first = model.scaler.columns[:3]
-    return model.score(df).select(*first, F.when(F.col("prediction") == 1, "Normal").otherwise("Anomaly").alias("tag"))
+    tag = F.when(F.col("prediction") == 1, "Normal").when(F.col("prediction") == -1, "Anomaly")
+    return model.score(df).select(*first, tag.alias("tag"))

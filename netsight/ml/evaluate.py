@@ -11,13 +11,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netsight.operators.quantile import running_totals
+from netsight.session import cut_lineage
 
 MICRO = "micro-avg"
 
 
+#: A column with more values than this is no column of classes.
+MOST_CLASSES = 1000
+
+
 def classes_of(scored: DataFrame, column: str = "label") -> list[str]:
     """Sorted class names: a handful of values, whatever the number of rows."""
-    return [r[0] for r in scored.select(column).distinct().orderBy(column).collect() if r[0] is not None]
+    found = scored.select(column).filter(F.col(column).isNotNull()).distinct().limit(MOST_CLASSES + 1).collect()
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"{column} has over {MOST_CLASSES} values: these are no classes")
+    return sorted(r[0] for r in found)
 
 
 def confusion_matrix(scored: DataFrame, classes: Sequence[str] | None = None) -> DataFrame:
@@ -74,7 +82,7 @@ def _tally(curves: DataFrame) -> DataFrame:
 
 
 def _counted(scored: DataFrame, classes: Sequence[str] | None) -> tuple[DataFrame, DataFrame]:
-    tally = _per_score(scored, classes if classes is not None else classes_of(scored))
+    tally = cut_lineage(_per_score(scored, classes if classes is not None else classes_of(scored)))
     counted = running_totals(tally, ["curve"], "score", ["pos", "neg"])
     totals = tally.groupBy("curve").agg(F.sum("pos").alias("all_pos"), F.sum("neg").alias("all_neg"))
     return counted, totals

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -79,13 +80,26 @@ def _versions(spark: SparkSession, root: str) -> DataFrame | None:
         raise
 
 
+def newest_version(spark: SparkSession, root: str, name: str) -> str | None:
+    """Path of the newest stored version: another one for each."""
+    known = _versions(spark, root)
+    row = _newest(known, name) if known is not None else None
+    return row.path if row else None
+
+
+def _newest(known: DataFrame, name: str):
+    """Of two writers that took the same number at the same time, the same one wins everywhere."""
+    return known.filter(F.col("name") == name).orderBy(F.desc("version"), F.desc("path")).first()
+
+
 def save(spark: SparkSession, root: str, name: str, model) -> str:
     """Store a new version: the model first, then the row that makes it visible."""
     check(name)
     known = _versions(spark, root)
     last = known.filter(F.col("name") == name).agg(F.max("version")).first()[0] if known is not None else None
     version = (last or 0) + 1
-    path, state = f"{root}/{name}/v{version}", None
+    # The path has a name of its own, so that two writers never write to one place.
+    path, state = f"{root}/{name}/v{version}-{uuid.uuid4().hex}", None
     if name in URL_MODELS:
         model.write().overwrite().save(path)
     else:
@@ -100,9 +114,7 @@ def load(spark: SparkSession, root: str, name: str):
     """Newest stored version of a model."""
     check(name)
     known = _versions(spark, root)
-    row = None
-    if known is not None:
-        row = known.filter(F.col("name") == name).orderBy(F.desc("version")).first()
+    row = _newest(known, name) if known is not None else None
     if row is None:
         raise FileNotFoundError(f"no stored model {name}")
     if name in URL_MODELS:

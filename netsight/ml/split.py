@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsight.operators.timeline import repeat_rows
+from netsight.session import cut_lineage
 
-_BUCKET_HEX = 3  # 4096 buckets per class
+#: Distinct rows of a bucket, about: what one task ranks.
+_BUCKET_ROWS = 4096
 
 
 def stratified_split(
@@ -25,11 +29,13 @@ def stratified_split(
         rows.groupBy(*columns)
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_hash", F.md5(text))
-        .withColumn("_bucket", F.substring("_hash", 1, _BUCKET_HEX))
     )
+    hashed = cut_lineage(hashed)
+    digits = max(1, math.ceil(math.log(max(2, hashed.count() / _BUCKET_ROWS), 16)))
+    hashed = hashed.withColumn("_bucket", F.substring("_hash", 1, digits))
     before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     size = F.sum("_size").over(Window.partitionBy(label))
-    # At most 4096 rows per class.
+    # One row per class and bucket.
     buckets = (
         hashed.groupBy(label, "_bucket")
         .agg(F.sum("_n").alias("_size"))

@@ -29,6 +29,8 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netsight.ml.evaluate import MOST_CLASSES
+
 # N-gram sizes, vocabulary cap, seed, share of rows held out.
 GRAM_SIZES = (3, 4, 5)
 VOCABULARY = 50_000
@@ -104,7 +106,10 @@ def linear_svm(rows: int, *, c: float = 1.0, **over) -> OneVsRest:
 
 def balanced_weights(rows: DataFrame) -> DataFrame:
     """Adds `weight` = n / (classes * n of the class)."""
-    sizes = {r["type"]: r["n"] for r in rows.groupBy("type").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counted = rows.groupBy("type").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["type"]: r["n"] for r in counted.limit(MOST_CLASSES + 1).collect()}
+    if len(sizes) > MOST_CLASSES:
+        raise ValueError(f"type has over {MOST_CLASSES} values: these are no classes")
     total, weight = sum(sizes.values()), F.lit(None).cast("double")
     for name, n in sizes.items():
         weight = F.when(F.col("type") == name, total / (len(sizes) * n)).otherwise(weight)

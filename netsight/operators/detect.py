@@ -24,8 +24,6 @@ SYN_MODEL = "SynFlood"
 BENIGN = "benign"
 ANOMALY_LABELS = ("-1", "-1.0", "anomaly", "attack")
 
-_SALTS = 64
-
 Detector = Callable[[DataFrame], DataFrame]
 
 
@@ -72,10 +70,12 @@ def syn_flood_alerts(
         floods = counted.join(prior.withColumnRenamed("syn_count", "seen"), ["w", "src_ip"], "left").fillna(0, ["seen"])
     floods = floods.filter(F.col("n") + F.col("seen") > threshold).select("w", "src_ip", "seen")
 
-    key, order, salt = ["w", "src_ip"], ["ts", "dst_ip"], F.pmod(F.xxhash64("ts", "dst_ip"), F.lit(_SALTS))
+    # As many salts as a shuffle has tasks.
+    salts = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key, order, salt = ["w", "src_ip"], ["ts", "dst_ip"], F.pmod(F.xxhash64("ts", "dst_ip"), F.lit(salts))
     # The salt is part of the join key too: a join on the window alone would bring all of a busy
     # window to one task, and the ranking would then stay there.
-    every_salt = floods.withColumn("_salt", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(_SALTS)])))
+    every_salt = floods.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
     ranked = (
         syn.select(*key, *order, salt.alias("_salt"))
         .join(every_salt, [*key, "_salt"])

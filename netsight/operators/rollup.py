@@ -32,6 +32,24 @@ def flows(packets: DataFrame, *, seconds: int = 60) -> DataFrame:
     )
 
 
+def _sides(flow_rows: DataFrame, *values: str) -> DataFrame:
+    """Each flow once for either host, with its packets and bytes, summed per host and values before
+    anything is shuffled. A flow of a host with itself counts on both sides."""
+    sides = F.array(
+        F.struct(F.col("src_ip").alias("host_ip"), F.lit(0).alias("inc"), F.lit(1).alias("out")),
+        F.struct(F.col("dst_ip").alias("host_ip"), F.lit(1).alias("inc"), F.lit(0).alias("out")),
+    )
+    return flow_rows.withColumn("side", F.explode(sides)).select(
+        "interval_start", "interval_end", "side.host_ip", *values, F.col("n").alias("total"),
+        (F.col("n") * F.col("side.inc")).alias("inc"), (F.col("n") * F.col("side.out")).alias("out"), "bytes",
+    )
+
+
+def _totals() -> list[Column]:
+    names = {"total": "total_packets", "inc": "incoming_packets", "out": "outgoing_packets"}
+    return [F.sum(c).alias(name) for c, name in names.items()]
+
+
 def host_stats_of_flows(flow_rows: DataFrame, *, approximate: bool = False) -> DataFrame:
     """Each flow counts for its source as outgoing and for its target as incoming traffic.
 
@@ -39,24 +57,30 @@ def host_stats_of_flows(flow_rows: DataFrame, *, approximate: bool = False) -> D
     sources, and traffic of a host with itself counts on both sides. `approximate` trades the exact
     distinct counts, and the shuffle they need, for sketches.
     """
-    distinct = F.approx_count_distinct if approximate else F.count_distinct
-    sides = F.array(
-        F.struct(F.col("src_ip").alias("host"), F.lit(0).alias("inc"), F.lit(1).alias("out")),
-        F.struct(F.col("dst_ip").alias("host"), F.lit(1).alias("inc"), F.lit(0).alias("out")),
-    )
-    side = F.col("side")
-    return (
-        flow_rows.withColumn("side", F.explode(sides))
-        .groupBy("interval_start", "interval_end", side["host"].alias("host_ip"))
-        .agg(
-            F.sum("n").alias("total_packets"),
-            F.sum(F.col("n") * side["inc"]).alias("incoming_packets"),
-            F.sum(F.col("n") * side["out"]).alias("outgoing_packets"),
-            distinct("src_ip").alias("unique_src_ips"),
-            distinct("dst_port").alias("unique_dst_ports"),
+    where = ["interval_start", "interval_end", "host_ip"]
+    if approximate:
+        sides = _sides(flow_rows, "src_ip", "dst_port")
+        return sides.groupBy(*where).agg(
+            *_totals(),
+            F.approx_count_distinct("src_ip").alias("unique_src_ips"),
+            F.approx_count_distinct("dst_port").alias("unique_dst_ports"),
             F.sum("bytes").alias("total_packets_size"),
         )
+    # Rows of (host, source) and of (host, port) are summed first: then a distinct value is a row. Both
+    # read packets and bytes, though one would do: so both use one shuffle of the flows.
+    by_source = _sides(flow_rows, "src_ip").groupBy(*where, "src_ip").agg(*[F.sum(c).alias(c) for c in ("inc", "out", "bytes")])
+    sources = by_source.groupBy(*where).agg(
+        F.sum("inc").alias("incoming_packets"), F.sum("out").alias("outgoing_packets"),
+        F.count(F.lit(1)).alias("unique_src_ips"), F.sum("bytes").alias("_bytes"),
+    )
+    by_port = _sides(flow_rows, "dst_port").groupBy(*where, "dst_port").agg(*[F.sum(c).alias(c) for c in ("total", "bytes")])
+    ports = by_port.groupBy(*where).agg(
+        F.sum("total").alias("total_packets"), F.count("dst_port").alias("unique_dst_ports"), F.sum("bytes").alias("_same")
     )
+    return sources.join(ports, where).select(
+        *where, "total_packets", "incoming_packets", "outgoing_packets", "unique_src_ips", "unique_dst_ports",
+        F.greatest("_bytes", "_same").alias("total_packets_size"),
+    )
 
 
 def host_stats(packets: DataFrame, *, seconds: int = 60, approximate: bool = False) -> DataFrame:
@@ -64,15 +88,15 @@ def host_stats(packets: DataFrame, *, seconds: int = 60, approximate: bool = Fal
     return host_stats_of_flows(flows(packets, seconds=seconds), approximate=approximate)
 
 
+def features_of_flows(flow_rows: DataFrame, *, seconds: int = 60) -> DataFrame:
+    return flow_rows.groupBy("interval_start", "src_ip").agg(
+        (F.sum("n") / F.lit(float(seconds))).alias("packet_rate"),
+        F.count_distinct("dst_port").cast("double").alias("unique_port_count"),
+        (F.sum("bytes") / F.sum("n")).alias("avg_pkt_size"),
+    )
+
+
 def traffic_features(packets: DataFrame, *, seconds: int = 60) -> DataFrame:
     """What the anomaly models look at, per (interval, source): packet rate, distinct target ports,
     mean packet size."""
-    return (
-        flows(packets, seconds=seconds)
-        .groupBy("interval_start", "src_ip")
-        .agg(
-            (F.sum("n") / F.lit(float(seconds))).alias("packet_rate"),
-            F.count_distinct("dst_port").cast("double").alias("unique_port_count"),
-            (F.sum("bytes") / F.sum("n")).alias("avg_pkt_size"),
-        )
-    )
+    return features_of_flows(flows(packets, seconds=seconds), seconds=seconds)

@@ -6,15 +6,14 @@ from which rows are allowed; the passing row's own offset is the one allowed fro
 (0 if none passes). A block is therefore a step function on offsets, and after an empty block
 everything is allowed again, so every run of non-empty blocks stands alone. Inside a run, step
 functions of neighbours compose pairwise, level by level (up); then the offset each block starts from
-is handed back down (a parallel prefix scan). Every step is a window over two neighbours; once few steps
-are left, each run's are simply followed in order.
+is handed back down (a parallel prefix scan). Every step is a window over two neighbours. At the top a
+run is one block, and everything is allowed at its start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,10 +24,6 @@ SINGLE_KEY: tuple[str, ...] = ()
 
 # Every third level is stored: plans stay short, and few levels are computed twice.
 _STORED = 3
-_SALTS = 16
-
-# Up to this many steps in all are followed in order.
-FEW = 500_000
 
 _RUN = ["_key", "_run", "_len"]
 _PAIR = [*_RUN, "_pair"]
@@ -81,24 +76,6 @@ def _hand_down(steps: DataFrame, entries: DataFrame, size: int) -> DataFrame:
     return found.filter(F.col("_idx") * size < F.col("_len"))
 
 
-def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sorted steps of whole runs -> entry offset of each block. Holds one row's worth of state."""
-    run, idx, entry, leave = None, None, 0, None
-    for batch in batches:
-        found = []
-        for key, first, size, i, upto, out in batch.itertuples(index=False, name=None):
-            if (key, first) != run:
-                run, entry, leave = (key, first), 0, None
-                found.append((key, first, size, i, entry))
-            elif i != idx:
-                entry, leave = leave or 0, None
-                found.append((key, first, size, i, entry))
-            idx = i
-            if leave is None and upto >= entry:
-                leave = out
-        yield pd.DataFrame(found, columns=[*_RUN, "_idx", "entry"])
-
-
 def _run_entries(events: DataFrame, blocks: DataFrame, longest: int, width: int) -> DataFrame:
     """Offset from which each block of the runs of several blocks allows a row."""
     runs = blocks.filter(F.col("_len") > 1)
@@ -107,13 +84,11 @@ def _run_entries(events: DataFrame, blocks: DataFrame, longest: int, width: int)
     ends = runs.select(*_RUN, index, F.lit(width).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("out"))
     levels = [cut_lineage(steps.unionByName(ends))]
     while 2 ** (len(levels) - 1) < longest:
-        stored = (len(levels) - 1) % _STORED == 0
-        if stored and levels[-1].count() <= FEW:
-            break
         level = _compose(levels[-1])
         levels.append(cut_lineage(level) if len(levels) % _STORED == 0 else level)
-    top = levels.pop().repartition("_key", "_run").sortWithinPartitions("_key", "_run", "_idx", "upto")
-    entries = top.mapInPandas(_follow, "_key string, _run bigint, _len bigint, _idx bigint, entry bigint")
+    levels.pop()
+    zero = F.lit(0).cast("bigint")
+    entries = runs.select(*_RUN).distinct().select(*_RUN, zero.alias("_idx"), zero.alias("entry"))
     for level in reversed(range(len(levels))):
         entries = _hand_down(levels[level], entries, 2**level)
         if level % _STORED == 0:
@@ -125,12 +100,12 @@ def throttle(
     rows: DataFrame,
     *,
     seconds: float = 300,
-    keys: Sequence[str] = ("alert_type", "src_ip"),
+    keys: Sequence[str] = SINGLE_KEY,
     ts: str = "ts",
     ties: Sequence[str] = (),
     last_sent: DataFrame | None = None,
 ) -> DataFrame:
-    """The rows that pass. `keys=SINGLE_KEY` throttles all rows as one line.
+    """The rows that pass. All rows are one line unless `keys` names what has a line of its own.
 
     Of rows with the same key and time the first by `ties` (default: all columns) can pass.
     `last_sent` (the keys and `last_ts`) carries what passed earlier, see the streaming form.
@@ -138,12 +113,17 @@ def throttle(
     width = int(seconds * MICROS)
     columns = rows.columns
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")
+    # As many salts as a shuffle has tasks.
+    salts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    every_salt = F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))
+    salt = F.pmod(F.xxhash64(*(ties or columns)), F.lit(salts))
     timed = rows.filter(F.col(ts).isNotNull()).select(key.alias("_key"), micros(ts).alias("_us"), *columns)
     if last_sent is not None:
-        # One row per key, so this joins at most one row to each.
-        sent = last_sent.select(key.alias("_key"), micros("last_ts").alias("_sent"))
+        # One row per key, so this joins at most one row to each; a busy key's rows are spread over salts.
+        sent = last_sent.select(key.alias("_key"), micros("last_ts").alias("_sent"), F.explode(every_salt).alias("_salt"))
         open_again = F.col("_sent").isNull() | (F.col("_us") - F.col("_sent") >= width)
-        timed = timed.join(sent, "_key", "left").filter(open_again).drop("_sent")
+        salted = timed.withColumn("_salt", salt)
+        timed = salted.join(sent, ["_key", "_salt"], "left").filter(open_again).drop("_sent", "_salt")
     block = floor_div(F.col("_us"), width)
     # Stored, because several passes below read these narrow rows.
     events = cut_lineage(
@@ -173,10 +153,10 @@ def throttle(
     )
     # Rows with the same key and time are spread over salts, in the join as in the choice among them.
     first = F.struct(*(ties or columns))
-    every_salt = passing.select("_key", "_us", F.explode(F.array(*[F.lit(i).cast("bigint") for i in range(_SALTS)])).alias("_salt"))
+    chosen = passing.select("_key", "_us", F.explode(every_salt).alias("_salt"))
     return (
-        timed.withColumn("_salt", F.pmod(F.xxhash64(*(ties or columns)), F.lit(_SALTS)))
-        .join(every_salt, ["_key", "_us", "_salt"])
+        timed.withColumn("_salt", salt)
+        .join(chosen, ["_key", "_us", "_salt"])
         .groupBy("_key", "_us", "_salt")
         .agg(F.min_by(F.struct(*columns), first).alias("row"), F.min(first).alias("_first"))
         .groupBy("_key", "_us")

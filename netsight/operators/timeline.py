@@ -24,18 +24,16 @@ def repeat_rows(df: DataFrame, copies: str, *, number: str | None = None) -> Dat
     `number` names a column for the number of the copy, which tells the copies apart in a sort.
     """
     kept = [c for c in df.columns if c != copies]
-    few = df.filter(F.col(copies) <= CHUNK).select(
-        *kept, F.lit(0).cast("bigint").alias("_at"), F.posexplode(F.array_repeat(F.lit(0), F.col(copies).cast("int")))
-    )
     chunks = F.sequence(F.lit(0).cast("bigint"), F.col(copies) - 1, F.lit(CHUNK).cast("bigint"))
-    many = (
-        df.filter(F.col(copies) > CHUNK)
+    size = F.least(F.lit(CHUNK).cast("bigint"), F.col(copies) - F.col("_at")).cast("int")
+    rows = (
+        df.filter(F.col(copies) > 0)
         .withColumn("_at", F.explode(chunks))
-        .withColumn("_len", F.least(F.lit(CHUNK).cast("bigint"), F.col(copies) - F.col("_at")))
+        .withColumn("_len", size)
+        .drop(copies)
         .hint("rebalance")
-        .select(*kept, "_at", F.posexplode(F.array_repeat(F.lit(0), F.col("_len").cast("int"))))
+        .select(*kept, "_at", F.posexplode(F.array_repeat(F.lit(0), F.col("_len"))))
     )
-    rows = few.unionByName(many)
     return rows.select(*kept, *([(F.col("_at") + F.col("pos")).alias(number)] if number else []))
 
 
@@ -44,6 +42,8 @@ def rolling_total(df: DataFrame, ts: str, frame_seconds: int, value: Column, key
 
     Columns: keys, ts, total (NULL when the frame has no value), _copies (input rows with that ts).
 
+    Rows without a time are peers of each other and of nothing else.
+
     Rows first collapse to one per (keys, ts). A value enters at its ts and leaves right after
     ts + frame, so the total at any moment is a running sum of entries minus exits. The running sum
     restarts every second from a base: the sum of the whole seconds still inside the frame. A task
@@ -52,10 +52,10 @@ def rolling_total(df: DataFrame, ts: str, frame_seconds: int, value: Column, key
     keys = list(keys)
     if frame_seconds < 1 or frame_seconds != int(frame_seconds):
         raise ValueError("the frame must be a whole number of seconds")
+    # Rows without a time have no slot: they are one row of their own, which no other meets.
     per_ts = (
         df.groupBy(*keys, ts)
         .agg(F.sum(value).alias("v"), F.count(value).alias("m"), F.count(F.lit(1)).alias(COPIES))
-        .filter(F.col(ts).isNotNull())
         .withColumn("_us", micros(ts))
     )
     slot = floor_div(F.col("_us"), MICROS)
@@ -70,7 +70,7 @@ def rolling_total(df: DataFrame, ts: str, frame_seconds: int, value: Column, key
     moves = (
         per_ts.select(*keys, ts, COPIES, F.explode(steps).alias("s"))
         .select(*keys, ts, COPIES, "s.*")
-        .filter((F.col("_phase") == 1) | (F.col("m") != 0))
+        .filter((F.col("_phase") == 1) | ((F.col("m") != 0) & F.col("_us").isNotNull()))
         .withColumn("_slot", slot)
         .select(*line)
     )

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from netsight.functions import derive
 from netsight.ml import anomaly, evaluate, registry, split, training, urls
@@ -17,7 +18,7 @@ from netsight.operators import packets as P
 from netsight.operators import rollup, throttle
 from netsight.plans import driver_tables as T
 from netsight.session import scratch_path, ship_package
-from netsight.sources import csv, exports, generate, tables
+from netsight.sources import csv, exports, tables
 from netsight.sources.schemas import ALERTS
 from netsight.sources.tables import DAY
 from netsight.streaming import core, live
@@ -77,6 +78,8 @@ def batch_queries() -> dict[str, Query]:
         "heavy_outgoing": on_stats(H.heavy_outgoing),
         "heavy_outgoing_2x": on_stats(H.heavy_outgoing, factor=2, null_ratio_as_zero=False),
         "heavy_outgoing_1h_2x": on_stats(H.heavy_outgoing, hours=1, factor=2, null_ratio_as_zero=False),
+        "heavy_outgoing_half": on_stats(H.heavy_outgoing, factor=0.5, null_ratio_as_zero=False),
+        "heavy_outgoing_1h_half": on_stats(H.heavy_outgoing, hours=1, factor=0.5, null_ratio_as_zero=False),
         "heavy_outgoing_20h": on_stats(H.heavy_outgoing, hours=20),
         "port_fan_out": on_stats(H.port_fan_out),
         "port_fan_out_12h": on_stats(H.port_fan_out, hours=12),
@@ -108,8 +111,8 @@ def batch_queries() -> dict[str, Query]:
         "syn_flood_windows_60s": on(pk, S.syn_flood_windows, window_seconds=60, threshold=2),
         "syn_flood_alerts": on(pk, S.syn_flood_alerts),
         "syn_flood_alerts_60s": on(pk, S.syn_flood_alerts, window_seconds=60, threshold=2),
-        "notify_throttle": on(al, throttle.throttle, ties=["alert_id"]),
-        "notify_throttle_single": on(al, throttle.throttle, keys=throttle.SINGLE_KEY, ties=["alert_id"]),
+        "notify_throttle": on(al, throttle.throttle, keys=("alert_type", "src_ip"), ties=["alert_id"]),
+        "notify_throttle_single": on(al, throttle.throttle, ties=["alert_id"]),
         "blocklist_match": lambda s, d: S.on_blocklist(T.packets(s, d), T.blocklist(s, d)),
         "blocklist_miss": lambda s, d: S.on_blocklist(T.packets(s, d), T.blocklist(s, d), listed=False),
     }
@@ -170,11 +173,20 @@ def derivation_queries() -> dict[str, Query]:
 
 
 def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
-    """CSV files of three known layouts and one unknown, in the shared folder."""
+    """CSV files of three known layouts and one unknown, in the shared folder. Of the packets, some are in
+    a file with bad values in a middle column, some in one where whole numbers have gaps, as a data frame
+    writes them, and some in a folder with a space in its name."""
     folder = scratch_path(spark, "csv")
+    packets, kind = T.packets(spark, sf_dir), F.col("src_port") % 50
+    port, length = F.col("src_port").cast("string"), F.col("pkt_len").cast("string")
     made = {
         "alerts": T.alerts(spark, sf_dir).select(*ALERTS.names),
-        "packets": T.packets(spark, sf_dir),
+        "packets": packets.filter(kind > 2),
+        "bad": packets.filter(kind == 0).withColumn("pkt_len", F.when(F.col("pkt_len") % 3 == 0, "oops").otherwise(length)).coalesce(1),
+        "gaps": packets.filter(kind == 1).withColumn(
+            "src_port", F.when(F.col("pkt_len") % 2 == 0, "NaN").otherwise(F.concat(port, F.lit(".0")))
+        ),
+        "with space": packets.filter(kind == 2),
         "host_stats": T.host_stats(spark, sf_dir),
         "blocklist": T.blocklist(spark, sf_dir),
     }
@@ -217,6 +229,29 @@ def _url_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csv.labelled_urls(spark, path)
 
 
+BASELINE_SCHEMA = StructType([
+    StructField("src_ip", StringType()), *[StructField(c, DoubleType()) for c in ("packet_rate", "unique_port_count", "avg_pkt_size")]
+])
+
+
+def _baseline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Traffic features -> CSV -> numeric columns -> trained forest -> every row with its tag."""
+    path = scratch_path(spark, "baseline")
+    exports.write_csv(_features(spark, sf_dir).select(*BASELINE_SCHEMA.names), path)
+    rows = csv.numeric_baseline(spark, path, BASELINE_SCHEMA)
+    return anomaly.split_table(registry.train_behaviour("IsolationForest", rows, rows.columns), rows)
+
+
+def _baseline_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shares(_baseline_csv(spark, sf_dir), "tag")
+
+
+def _shares(rows: DataFrame, label: str) -> DataFrame:
+    """How many rows have been labelled, and whether the share of anomalies is what the model was asked for."""
+    flagged = F.count_if(F.col(label).cast("string").isin("-1", "Anomaly"))
+    return rows.agg(F.count(F.lit(1)).alias("n"), (flagged <= F.ceil(F.count(F.lit(1)) * 0.01) + 1).alias("as_asked"))
+
+
 def _numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = T.table(spark, sf_dir, "supplier")
     return suppliers.select(*csv.numeric_columns(suppliers))
@@ -233,6 +268,8 @@ def source_queries() -> dict[str, Query]:
         "json_rows": on(T.alerts, lambda d: exports.json_rows(A.top_sources(d))),
         "labelled_url_source": _url_csv,
         "numeric_baseline_columns": _numeric,
+        "baseline_csv_tags": _baseline_csv,
+        "baseline_csv_share": _baseline_share,
     }
 
 
@@ -272,6 +309,60 @@ def _scored(name: str, **params) -> Query:
     return run
 
 
+#: Models written out, for results that need no training: two trees, six random features, 3-2-1-2-3 weights.
+FIXED_SCALER = anomaly.Scaler(list(FEATURES), [0.02, 6.0, 770.0], [0.02, 4.0, 300.0])
+FIXED_TREES = [
+    # feature (-1: a leaf), split, left child (the right one follows), depth of a leaf
+    ([0, 1, 2, -1, -1, -1, -1], [0.5, -0.5, 0.25, 0, 0, 0, 0], [1, 3, 5, -1, -1, -1, -1], [0, 0, 0, 2.0, 4.5, 3.0, 2.25]),
+    ([2, -1, 0, -1, -1], [-0.75, 0, 1.0, 0, 0], [1, -1, 3, -1, -1], [0, 1.0, 0, 5.5, 2.0]),
+]
+FIXED_OMEGA = [[0.5, -1.0, 0.25, 0.75, -0.5, 1.5], [1.0, 0.5, -0.75, 0.25, 1.25, -0.25], [-0.5, 0.75, 1.0, -1.25, 0.5, 0.25]]
+FIXED_PHASE = [0.0, 0.5, 1.0, 1.5, 2.0, 2.5]
+FIXED_WEIGHTS = [0.5, -0.25, 0.75, 0.25, -0.5, 1.0]
+FIXED_LAYERS = [
+    [[0.5, -0.25], [0.25, 0.5], [-0.5, 0.75]], [0.125, -0.125], [[0.5], [-0.75]], [0.25],
+    [[1.0, -0.5]], [0.0, 0.5], [[0.5, 0.25, -0.25], [0.75, -0.5, 0.5]], [0.1371, 0.0, -0.125],
+]
+
+
+def fixed_model(name: str):
+    if name == "IsolationForest":
+        forest = [tuple(np.array(column) for column in tree) for tree in FIXED_TREES]
+        return anomaly.IsolationForest(scaler=FIXED_SCALER, forest=forest, norm=4.0, threshold=-0.6)
+    if name == "OneClassSVM":
+        arrays = (np.array(v) for v in (FIXED_OMEGA, FIXED_PHASE, FIXED_WEIGHTS))
+        omega, phase, weights = arrays
+        return anomaly.OneClassSVM(
+            features=6, scaler=FIXED_SCALER, omega=omega, phase=phase, weights=weights, threshold=0.1
+        )
+    return anomaly.Autoencoder(scaler=FIXED_SCALER, params=[np.array(v) for v in FIXED_LAYERS])
+
+
+def _fixed(name: str) -> Query:
+    """Scored by a model that is written out: the label, and the score to nine digits."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scored = fixed_model(name).score(_features(spark, sf_dir))
+        return scored.select("interval_start", "src_ip", F.round("score", 9).alias("score"), "prediction")
+
+    return run
+
+
+def _fixed_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return anomaly.split_table(fixed_model("IsolationForest"), _features(spark, sf_dir))
+
+
+def _fixed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _features(spark, sf_dir).select(
+        F.col("interval_start").alias("ts"), "src_ip", F.lit(None).cast("string").alias("dst_ip"), *FEATURES
+    )
+    return S.behaviour_alerts(rows, fixed_model("IsolationForest").score, "IsolationForest")
+
+
+def _trained_share(name: str) -> Query:
+    return lambda spark, sf_dir: _shares(_scored(name)(spark, sf_dir), "prediction")
+
+
 def _split_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _features(spark, sf_dir)
     return anomaly.split_table(registry.train_behaviour("IsolationForest", rows, FEATURES), rows)
@@ -310,12 +401,19 @@ def _classified(name: str, **params) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         train, test = split.stratified_split(T.learnable_urls(spark, sf_dir))
         model = registry.train_urls(name, train, **params)
-        scored = urls.score(model, test).withColumn("scores", urls.rounded(F.col("scores")))
-        return scored.select("page_id", "type", "prediction_label", F.to_json("scores").alias("scores"))
+        return urls.score(model, test).select("page_id", "type", "prediction_label")
 
     return run
 
 
+def _sure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The label and whether its probability is over one half, which the URLs at hand leave no doubt of."""
+    train, test = split.stratified_split(T.learnable_urls(spark, sf_dir))
+    scored = urls.score(registry.train_urls("DecisionTree", train), test)
+    chance = F.col("scores")[F.col("prediction_label")]
+    return scored.select("page_id", "prediction_label", (chance > 0.5).alias("sure"), F.size("scores").alias("classes"))
+
+
 def _trained_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return training.train_and_evaluate("DecisionTree", T.learnable_urls(spark, sf_dir)).report
 
@@ -368,8 +466,8 @@ def ml_queries() -> dict[str, Query]:
         "standardise": _standardised,
         "decision_tree_url": _classified("DecisionTree"),
         "random_forest_url": _classified("RandomForest"),
-        "linear_svm_url": _classified("LinearSVM", maxIter=20),
-        "predict_label_proba": _classified("DecisionTree", maxDepth=5),
+        "linear_svm_url": _classified("LinearSVM"),
+        "predict_label_proba": _sure,
         "model_registry": _registered,
         "train_evaluate_report": _trained_report,
         "url_model_alerts": _url_alerts,
@@ -378,6 +476,13 @@ def ml_queries() -> dict[str, Query]:
         "autoencoder": _scored("Autoencoder"),
         "anomaly_split_table": _split_table,
         "behaviour_alerts": _behaviour,
+        "isolation_forest_fixed": _fixed("IsolationForest"),
+        "one_class_svm_fixed": _fixed("OneClassSVM"),
+        "autoencoder_fixed": _fixed("Autoencoder"),
+        "anomaly_split_table_fixed": _fixed_split,
+        "behaviour_alerts_fixed": _fixed_alerts,
+        "isolation_forest_share": _trained_share("IsolationForest"),
+        "one_class_svm_share": _trained_share("OneClassSVM"),
     }
 
 
@@ -385,7 +490,7 @@ def ml_queries() -> dict[str, Query]:
 
 
 def _streamed(start: Callable, source: str, shape: Callable[[DataFrame], DataFrame], *, state: bool = False,
-              keys: tuple[str, ...] = (), plain: bool = False, **params) -> Query:
+              keys: tuple[str, ...] = (), plain: bool = False, without: str = "", **params) -> Query:
     """Run a stream over one test table and return what it wrote."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -394,7 +499,7 @@ def _streamed(start: Callable, source: str, shape: Callable[[DataFrame], DataFra
         query = start(shape(T.stream(spark, sf_dir, source)), *places, available_now=True, **params)
         query.awaitTermination()
         if keys:
-            return core.newest_rows(spark, f"{base}/out", *keys)
+            return core.newest_rows(spark, f"{base}/out", *keys).drop(without)
         return spark.read.parquet(f"{base}/out").drop(DAY) if plain else core.read_batches(spark, f"{base}/out")
 
     return run
@@ -424,6 +529,32 @@ def _fan_out(which: str) -> Query:
     return run
 
 
+def _behaviour_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = scratch_path(spark, "behaviour")
+    packets = T.packets_of(T.stream(spark, sf_dir, "lineitem"))
+    live.behaviour_alerts(
+        packets, fixed_model("IsolationForest"), f"{base}/out", f"{base}/checkpoint", seconds=T.STATS_SECONDS, available_now=True
+    ).awaitTermination()
+    return core.read_batches(spark, f"{base}/out")
+
+
+def _engine(which: str) -> Query:
+    """The detectors of `detector_union` as a stream, with the throttle behind them."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = scratch_path(spark, "engine")
+        packets = T.url_packets_of(T.stream(spark, sf_dir, "pages"))
+        live.detector_engine(
+            packets, _detectors()[1:], f"{base}/alerts", f"{base}/sent", f"{base}/state", f"{base}/checkpoint",
+            window_seconds=3600, threshold=1, seconds=1800, available_now=True,
+        ).awaitTermination()
+        rows = core.read_batches(spark, f"{base}/{which}")
+        # Which of several alerts of one moment is sent is open; that one is, is not.
+        return rows.select("ts") if which == "sent" else rows
+
+    return run
+
+
 def streaming_queries() -> dict[str, Query]:
     al, pk = T.alerts_of, T.packets_of
     return {
@@ -437,37 +568,16 @@ def streaming_queries() -> dict[str, Query]:
         "burst_stream": _streamed(live.scan_bursts, "events", al, plain=True, gap_seconds=7200),
         "dashboard_hours_stream": _streamed(live.dashboard_hours, "events", al, keys=("hour_bucket", "alert_type")),
         "dashboard_minutes_stream": _streamed(live.dashboard_minutes, "events", al, keys=("minute_bucket",)),
-        "dashboard_sources_stream": _streamed(live.dashboard_sources, "events", al, keys=("src_ip",)),
+        "dashboard_sources_stream": _streamed(live.dashboard_sources, "events", al, keys=("since", "src_ip"), without="since"),
+        "behaviour_stream": _behaviour_stream,
+        "detector_engine_alerts": _engine("alerts"),
+        "detector_engine_sent": _engine("sent"),
         "model_score_stream": _scored_stream,
         "alert_fanout_alerts": _fan_out("alerts"),
         "alert_fanout_sent": _fan_out("sent"),
     }
 
 
-# Generators, drawing one row per key of a table ------------------------------------------------------
-
-START, END = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3)
-
-
-def _ids(name: str, key: str) -> Callable[..., DataFrame]:
-    return lambda spark, sf_dir: T.table(spark, sf_dir, name).select(F.col(key).cast("bigint").alias("id"))
-
-
-def _round_baseline(ids: DataFrame) -> DataFrame:
-    rows = generate.baseline(ids, START)
-    return rows.withColumns({c: F.round(c, 6) for c in FEATURES})
-
-
-def generator_queries() -> dict[str, Query]:
-    events = _ids("events", "event_id")
-    return {
-        "gen_alerts": on(events, generate.alerts, start=START, end=END),
-        "gen_host_stats": on(events, generate.host_stats, start=START, end=END + dt.timedelta(days=60)),
-        "gen_packets": on(events, generate.packets, start=START, end=END),
-        "gen_baseline": on(events, _round_baseline),
-    }
-
-
 def _shipping(query: Query) -> Query:
     """Python workers need the package, wherever the driver was started."""
 
@@ -485,6 +595,5 @@ def queries() -> dict[str, Query]:
         **source_queries(),
         **ml_queries(),
         **streaming_queries(),
-        **generator_queries(),
     }
     return {name: _shipping(query) for name, query in every.items()}

@@ -8,8 +8,15 @@ import tempfile
 import uuid
 from pathlib import Path
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the steps that are to be deleted together, see `passing_steps`.
+_steps: ContextVar[list[str] | None] = ContextVar("steps", default=None)
+
 
 def build_session(app: str = "netsight", **conf: str) -> SparkSession:
     """A session with the settings the operators rely on; `conf` uses __ for dots."""
@@ -22,6 +29,8 @@ def build_session(app: str = "netsight", **conf: str) -> SparkSession:
             "spark.sql.streaming.stateStore.providerClass",
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
         )
+        # Sessions of a busy source merge inside each map task before they are shuffled.
+        .config("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -56,10 +65,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Unlike checkpoint(), which runs its plan twice, this is one job, and later plans know the size.
     """
     path = scratch_path(df.sparkSession, "step")
+    if (passing := _steps.get()) is not None:
+        passing.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Remove a folder of this package's own, wherever Spark keeps it."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def passing_steps(spark: SparkSession) -> Iterator[None]:
+    """Steps stored inside are deleted at the end: for work whose result is written before, as in a stream."""
+    made: list[str] = []
+    token = _steps.set(made)
+    try:
+        yield
+    finally:
+        _steps.reset(token)
+        for path in made:
+            delete(spark, path)
+
+
 _shipped: set[str] = set()
 
 

@@ -2,76 +2,62 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Iterator
+from collections.abc import Collection
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, FloatType, NumericType, StringType, StructField, StructType
+from pyspark.sql.types import DataType, DoubleType, FloatType, IntegralType, NumericType, StringType, StructType
 
+from netsight.session import cut_lineage, scratch_path
 from netsight.sources.schemas import CSV_LAYOUTS, LABELLED_URLS
 from netsight.sources.tables import append
 
 NULL_TEXT = "NaN"
+#: Texts that stand for a missing value.
+MISSING = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
+    "NaN", "NaT", "None", "n/a", "nan", "null",
+)
 _BAD = "_bad_record"
-_HEADER_BYTES = 65_536
 
 LOADED, SKIPPED, REJECTED, UNREADABLE = "loaded", "skipped", "rejected", "unreadable"
 
 
-def _first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Header line of each file; reads the start of the file only, in the task that holds its path."""
-    from pyarrow import fs
-
-    for batch in batches:
-        heads = []
-        for path in batch["path"]:
-            try:
-                store, inner = fs.FileSystem.from_uri(path)
-                with store.open_input_stream(inner) as stream:
-                    data = b""
-                    while b"\n" not in data:
-                        more = stream.read(_HEADER_BYTES)
-                        if not more:
-                            break
-                        data += more
-                heads.append(data.split(b"\n", 1)[0].decode("utf-8-sig").strip())
-            except (OSError, UnicodeDecodeError, ValueError):
-                heads.append(None)
-        yield pd.DataFrame({"path": batch["path"], "header": heads})
+def _files(spark: SparkSession, folder: str, kind: str):
+    return spark.read.format(kind).option("pathGlobFilter", "*.csv").load(folder)
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, start, line, value): every line; `start` is where its split starts, `line` grows inside a file."""
+    return _files(spark, folder, "text").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("line"), "value",
+    )
 
 
 def route_files(spark: SparkSession, folder: str) -> DataFrame:
-    """One row per CSV file: path, table and layout number (NULL when no layout has that header)."""
-    files = (
-        spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(folder).select("path", "length")
-    )
-    heads = files.select("path").mapInPandas(_first_lines, "path string, header string")
+    """One row per CSV file: path, header, table and layout number (NULL when no layout has that header)."""
+    files = _files(spark, folder, "binaryFile").select(F.col("_metadata.file_path").alias("path"))
+    first = _lines(spark, folder).filter(F.col("start") == 0)
+    heads = first.groupBy("path").agg(F.min_by("value", "line").alias("header"))
     layout = F.lit(None).cast("int")
+    header = F.btrim(F.translate("header", '"\ufeff', ""))
     for number, (_, schema) in reversed(list(enumerate(CSV_LAYOUTS))):
-        header = F.regexp_replace("header", '"', "")
         layout = F.when(header == ",".join(schema.names), F.lit(number)).otherwise(layout)
     table = F.element_at(F.array(*[F.lit(t) for t, _ in CSV_LAYOUTS]), F.col("layout") + 1)
-    return heads.withColumn("layout", layout).withColumn("table", table)
+    return files.join(heads, "path", "left").withColumn("layout", layout).withColumn("table", table)
 
 
-def read_layout(spark: SparkSession, paths: list[str], schema: StructType, *, strict: bool = True) -> DataFrame:
-    """CSV files of one layout. Strict: a malformed row or a wrong header fails the job."""
-    reader = (
+def read_layout(spark: SparkSession, paths: list[str], schema: StructType) -> DataFrame:
+    """CSV files of one layout; a malformed row or a wrong header fails the job."""
+    return clean_nulls(
         spark.read.option("header", True)
         .option("enforceSchema", False)
         .option("nanValue", NULL_TEXT)
         .option("escape", '"')
-    )
-    if strict:
-        return clean_nulls(reader.schema(schema).option("mode", "FAILFAST").csv(paths))
-    # Without column pruning every value of a row is parsed, so that a bad one anywhere shows.
-    with_bad = StructType([*schema.fields, StructField(_BAD, StringType())])
-    return (
-        reader.schema(with_bad)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", _BAD)
-        .option("columnPruning", False)
+        .option("mode", "FAILFAST")
+        .schema(schema)
         .csv(paths)
     )
 
@@ -84,42 +70,69 @@ def clean_nulls(df: DataFrame) -> DataFrame:
         if isinstance(f.dataType, DoubleType | FloatType):
             c = F.when(~F.isnan(c), c)
         elif isinstance(f.dataType, StringType):
-            c = F.when(~c.isin("", "NaN", "NaT"), c)
+            c = F.when(~c.isin(*MISSING), c)
         out.append(c.alias(f.name))
     return df.select(*out)
 
 
+def _typed(text: Column, kind: DataType) -> Column:
+    """The value of a text, NULL if it is none of that type; a whole number may be written 443.0."""
+    if isinstance(kind, StringType):
+        return text
+    if isinstance(kind, IntegralType):
+        number = text.try_cast("decimal(38,9)")
+        return F.when(number == F.floor(number), number.try_cast(kind))
+    return text.try_cast(kind)
+
+
+def _parsed(lines: DataFrame, schema: StructType) -> DataFrame:
+    """Lines of one layout -> path, `_bad_record` and the typed columns; every value of a row is looked at."""
+    texts = ", ".join(f"`{n}` string" for n in schema.names)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "escape": '"'}
+    rows = lines.select("path", F.from_csv("value", f"{texts}, `{_BAD}` string", options).alias("r"))
+    columns, wrong = [], [F.col(f"r.{_BAD}").isNotNull()]
+    for f in schema.fields:
+        text = F.when(~F.btrim(F.col("r")[f.name]).isin(*MISSING), F.col("r")[f.name])
+        value = _typed(text, f.dataType)
+        columns.append(value.alias(f.name))
+        wrong.append(text.isNotNull() & value.isNull())
+    return rows.select("path", reduce(Column.__or__, wrong).alias(_BAD), *columns)
+
+
 def load_folder(spark: SparkSession, folder: str, root: str, *, only: Collection[str] | None = None) -> DataFrame:
     """Load every CSV file of a folder into the table its header names (`only`: of these tables).
 
-    A file goes in whole or not at all: files with a malformed row are rejected before anything is
-    written, and each table's append commits as one job. Returns file, table, status, n_rows.
+    A file goes in whole or not at all: its rows are parsed once into the shared folder, and only the
+    files without a malformed row are appended, each table in one job. Lines are read by Spark alone.
+    Returns file, table, status, n_rows; files of no length hold nothing and are not listed.
     """
-    routed = route_files(spark, folder).select("path", "header", "layout", "table").collect()
-    wanted = [r for r in routed if r.layout is not None and (only is None or r.table in only)]
-    report = [(r.path, None, UNREADABLE if r.header is None else SKIPPED, 0) for r in routed if r not in wanted]
-    for number, (table, schema) in enumerate(CSV_LAYOUTS):
-        paths = [r.path for r in wanted if r.layout == number]
-        if not paths:
-            continue
-        # The first column only has to be named: Spark refuses to read a bad-record column alone.
-        broken = F.col(_BAD).isNotNull() & F.coalesce(F.col(schema.names[0]).cast("string") != "\0", F.lit(True))
-        checked = (
-            read_layout(spark, paths, schema, strict=False)
-            .groupBy(F.col("_metadata.file_path").alias("path"))
-            .agg(F.count(F.lit(1)).alias("n"), F.count_if(broken).alias("bad"))
-            .collect()
-        )
-        counts = {r.path: (r.n, r.bad) for r in checked}
-        good = [p for p in paths if counts.get(p, (0, 0))[1] == 0]
-        if good:
-            append(read_layout(spark, good, schema), table, root)
-        for p in paths:
-            n, bad = counts.get(p, (0, 0))
-            report.append((p, table, REJECTED if bad else LOADED, 0 if bad else n))
-    return spark.createDataFrame(report, "path string, table string, status string, n_rows bigint").select(
-        F.element_at(F.split("path", "/"), -1).alias("file"), "table", "status", "n_rows"
-    )
+    routed = cut_lineage(route_files(spark, folder))
+    wanted = F.col("layout").isNotNull()
+    if only is not None:
+        wanted = wanted & F.col("table").isin(*only)
+    known = routed.filter(wanted)
+    lines = _lines(spark, folder).join(known.select("path", "layout", "header"), "path")
+    data = lines.filter(((F.col("start") != 0) | (F.col("value") != F.col("header"))) & (F.btrim("value") != ""))
+    at = scratch_path(spark, "lines")
+    data.select("path", "value", "layout").write.partitionBy("layout").parquet(at)
+    counts = None
+    for (number,) in known.select("layout").distinct().orderBy("layout").collect():
+        table, schema = CSV_LAYOUTS[number]
+        stored = spark.read.schema("path string, value string, layout int").parquet(at).filter(F.col("layout") == number)
+        parsed = cut_lineage(_parsed(stored, schema))
+        per_file = parsed.groupBy("path").agg(F.count(F.lit(1)).alias("n"), F.count_if(_BAD).alias("bad"))
+        bad = per_file.filter(F.col("bad") > 0).select("path")
+        append(parsed.join(bad, "path", "left_anti").select(*schema.names), table, root)
+        counts = per_file if counts is None else counts.unionByName(per_file)
+    report = routed if counts is None else routed.join(counts, "path", "left")
+    n, bad = (F.coalesce(c, F.lit(0)) if counts is not None else F.lit(0).cast("bigint") for c in ("n", "bad"))
+    unread = F.col("header").isNull() | ~F.is_valid_utf8("header")
+    status = F.when(wanted & (bad > 0), REJECTED).when(wanted, LOADED).when(unread, UNREADABLE).otherwise(SKIPPED)
+    name = F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
+    return report.select(
+        name.alias("file"), F.when(wanted, F.col("table")).alias("table"), status.alias("status"),
+        F.when(wanted & (bad == 0), n).otherwise(0).alias("n_rows"),
+    )
 
 
 def labelled_urls(spark: SparkSession, path: str) -> DataFrame:

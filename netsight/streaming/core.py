@@ -5,13 +5,15 @@ Streams need TIMESTAMP event times for watermarks; tables hold TIMESTAMP_NTZ in
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import TimestampType
 
+from netsight.session import cut_lineage, delete, passing_steps
+
 BATCH = "batch_id"
 DELAY = "10 seconds"
 
@@ -50,10 +52,26 @@ def newest_rows(spark: SparkSession, path: str, *keys: str) -> DataFrame:
     )
 
 
+def compact(spark: SparkSession, path: str, keys: Sequence[str], batch_id: int) -> None:
+    """Fold the batches before this one, all of them committed, into the last of them.
+
+    If this ends half way, older versions of rows remain, which `newest_rows` passes over.
+    """
+    past = spark.read.parquet(path).filter(F.col(BATCH) < batch_id)
+    old = [r[0] for r in past.select(BATCH).distinct().orderBy(BATCH).collect()]
+    rest = [c for c in past.columns if c not in (*keys, BATCH)]
+    rows = past.groupBy(*keys).agg(F.max_by(F.struct(*rest), BATCH).alias("row")).select(*keys, "row.*")
+    if len(old) > 1:
+        write_batch(cut_lineage(rows), path, old[-1])
+        for number in old[:-1]:
+            delete(spark, f"{path}/{BATCH}={number}")
+
+
 class Carried:
     """A small table handed from one micro-batch to the next, one version per batch id.
 
-    Version n is made from version n - 1 and batch n, so a replayed batch gives the same again.
+    Version n is made from version n - 1 and batch n, so a replayed batch gives the same again. Versions
+    older than that are deleted: when batch n runs, batch n - 1 has been committed.
     """
 
     def __init__(self, path: str):
@@ -65,6 +83,8 @@ class Carried:
 
     def store(self, state: DataFrame, batch_id: int) -> None:
         write_batch(state, self.path, batch_id)
+        if batch_id > 1:
+            delete(state.sparkSession, f"{self.path}/{BATCH}={batch_id - 2}")
 
 
 def start(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append", partition_by: str | None = None,
@@ -80,7 +100,11 @@ def start(stream: DataFrame, path: str, checkpoint: str, *, mode: str = "append"
 
 def start_batches(stream: DataFrame, write: BatchWriter, checkpoint: str, *, mode: str = "append",
                   every: str | None = None, available_now: bool = False) -> StreamingQuery:
-    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(write)
+    def run(batch: DataFrame, batch_id: int) -> None:
+        with passing_steps(batch.sparkSession):
+            write(batch, batch_id)
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(run)
     if available_now:
         writer = writer.trigger(availableNow=True)
     elif every:

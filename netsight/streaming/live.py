@@ -9,18 +9,21 @@ it is in batch.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from netsight.functions.derive import dissect, valid_ip_rows
 from netsight.ml import registry, urls
 from netsight.operators import detect, rollup, throttle
+from netsight.session import cut_lineage
 from netsight.sources.tables import DAY, conform
 from netsight.streaming import core
 
 DASHBOARD_REFRESH = "10 seconds"
+COMPACT_EVERY = 50
 ALERT_REFRESH = "15 seconds"
 
 
@@ -39,7 +42,7 @@ def host_stats(packets: DataFrame, path: str, checkpoint: str, *, seconds: int =
     flows = rollup.flows(core.event_time(packets), seconds=seconds)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        core.write_batch(rollup.host_stats_of_flows(core.to_ntz(batch)), path, batch_id)
+        core.write_batch(rollup.host_stats_of_flows(cut_lineage(core.to_ntz(batch))), path, batch_id)
 
     return core.start_batches(flows, write, checkpoint, **run)
 
@@ -58,31 +61,40 @@ def syn_flood_alerts(packets: DataFrame, path: str, state: str, checkpoint: str,
     Counts of windows that are still open are carried between batches; packets of windows that
     ended more than the delay before the newest one are late and dropped.
     """
-    carried = core.Carried(state)
-    delay = F.expr(f"interval {delay_seconds} seconds")
     wanted = packets.filter(F.col("tcp_flags") == detect.SYN_ONLY).select("ts", "src_ip", "dst_ip", "tcp_flags")
+    flood = _Floods(core.Carried(state), window_seconds, threshold, delay_seconds)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        prior = carried.before(batch.sparkSession, batch_id)
+        core.write_batch(flood.alerts(cut_lineage(batch), batch_id), path, batch_id)
+
+    return core.start_batches(wanted, write, checkpoint, **run)
+
+
+@dataclass
+class _Floods:
+    """SYN-flood alerts batch by batch, with the counts of the windows that are still open."""
+
+    carried: core.Carried
+    window_seconds: float
+    threshold: int
+    delay_seconds: float
+
+    def alerts(self, batch: DataFrame, batch_id: int) -> DataFrame:
+        """`batch` is read several times, so it should be stored."""
+        prior, delay = self.carried.before(batch.sparkSession, batch_id), F.expr(f"interval {self.delay_seconds} seconds")
         if prior is not None:
             newest = prior.agg(F.max(F.col("w")["end"])).first()[0]
             if newest is not None:
-                batch = detect.syn_packets(batch, window_seconds).filter(
-                    F.col("w")["end"] > F.lit(newest) - delay
-                ).drop("w")
-        alerts = detect.syn_flood_alerts(batch, window_seconds=window_seconds, threshold=threshold, prior=prior)
-        core.write_batch(alerts, path, batch_id)
-        counts = detect.syn_packets(batch, window_seconds).groupBy("w", "src_ip").agg(
-            F.count(F.lit(1)).alias("syn_count")
-        )
+                batch = detect.syn_packets(batch, self.window_seconds).filter(F.col("w")["end"] > F.lit(newest) - delay).drop("w")
+        found = detect.syn_flood_alerts(batch, window_seconds=self.window_seconds, threshold=self.threshold, prior=prior)
+        counts = detect.syn_packets(batch, self.window_seconds).groupBy("w", "src_ip").agg(F.count(F.lit(1)).alias("syn_count"))
         if prior is not None:
             counts = counts.unionByName(prior).groupBy("w", "src_ip").agg(F.sum("syn_count").alias("syn_count"))
         newest = counts.agg(F.max(F.col("w")["end"])).first()[0]
         if newest is not None:
             counts = counts.filter(F.col("w")["end"] > F.lit(newest) - delay)
-        carried.store(counts, batch_id)
-
-    return core.start_batches(wanted, write, checkpoint, **run)
+        self.carried.store(counts, batch_id)
+        return found
 
 
 def scored_urls(packets: DataFrame, model, path: str, checkpoint: str, **run) -> StreamingQuery:
@@ -91,48 +103,102 @@ def scored_urls(packets: DataFrame, model, path: str, checkpoint: str, **run) ->
     return core.start(urls.score(model, rows), path, checkpoint, **run)
 
 
-def _throttled(rows: DataFrame, carried: core.Carried, batch_id: int, keys: Sequence[str], seconds: float) -> DataFrame:
-    """What passes of this batch; stores the last time each key passed."""
+def _throttled(rows: DataFrame, carried: core.Carried, batch_id: int, keys: Sequence[str], seconds: float,
+               delay_seconds: float) -> DataFrame:
+    """What passes of this batch; stores the last time each key passed.
+
+    Of a key that passed longer ago than the throttle, and the delay that late rows may have, nothing
+    needs to be known: the state holds what passed since then.
+    """
     spark = rows.sparkSession
     sent = carried.before(spark, batch_id)
-    passing = throttle.cut_lineage(throttle.throttle(rows, seconds=seconds, keys=keys, last_sent=sent))
+    passing = cut_lineage(throttle.throttle(rows, seconds=seconds, keys=keys, last_sent=sent))
     last = passing.select(*keys, F.col("ts").alias("last_ts"))
     if sent is not None:
         last = last.unionByName(sent)
-    last = last.groupBy(*keys).agg(F.max("last_ts").alias("last_ts"))
+    last = last.groupBy(*keys).agg(F.max("last_ts").alias("last_ts")) if keys else last.agg(F.max("last_ts").alias("last_ts"))
+    newest = last.agg(F.max("last_ts")).first()[0]
+    if newest is not None:
+        last = last.filter(F.col("last_ts") >= F.lit(newest) - F.expr(f"interval {seconds + delay_seconds} seconds"))
     carried.store(last, batch_id)
     return passing
 
 
 def notifications(alerts: DataFrame, path: str, state: str, checkpoint: str, *, seconds: float = 300,
-                  keys: Sequence[str] = ("alert_type", "src_ip"), **run) -> StreamingQuery:
+                  keys: Sequence[str] = throttle.SINGLE_KEY, delay_seconds: float = 10, **run) -> StreamingQuery:
     """Alerts that may be sent: per key none within `seconds` of the last one that was."""
     carried = core.Carried(state)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        core.write_batch(_throttled(batch, carried, batch_id, keys, seconds), path, batch_id)
+        core.write_batch(_throttled(cut_lineage(batch), carried, batch_id, keys, seconds, delay_seconds), path, batch_id)
 
     return core.start_batches(alerts, write, checkpoint, **run)
 
 
+@dataclass
+class _Chosen:
+    """The model the analyst has chosen, looked up once per micro-batch, loaded when name or version changed."""
+
+    root: str
+    held: tuple[tuple[str, str | None], object] | None = None
+
+    def now(self, spark: SparkSession) -> tuple[str, object]:
+        name = registry.current(spark, self.root)
+        key = (name, registry.newest_version(spark, self.root, name))
+        if self.held is None or self.held[0] != key:
+            self.held = key, registry.load(spark, self.root, name)
+        return name, self.held[1]
+
+
 def url_alerts(packets: DataFrame, models: str, alerts_path: str, sent_path: str, state: str, checkpoint: str, *,
-               seconds: float = 300, keys: Sequence[str] = ("alert_type", "src_ip"), **run) -> StreamingQuery:
-    """Alerts of the currently chosen URL model, stored and, throttled, passed on for sending.
+               seconds: float = 300, keys: Sequence[str] = throttle.SINGLE_KEY, delay_seconds: float = 10,
+               **run) -> StreamingQuery:
+    """Alerts of the currently chosen URL model, stored and, throttled, passed on for sending."""
+    carried, chosen = core.Carried(state), _Chosen(models)
 
-    The choice is read once per micro-batch; the model is loaded only when the choice changed.
+    def write(batch: DataFrame, batch_id: int) -> None:
+        name, model = chosen.now(batch.sparkSession)
+        found = cut_lineage(detect.url_alerts(batch, lambda d: urls.score(model, d), name))
+        core.write_batch(found, alerts_path, batch_id)
+        core.write_batch(_throttled(found, carried, batch_id, keys, seconds, delay_seconds), sent_path, batch_id)
+
+    return core.start_batches(packets, write, checkpoint, **run)
+
+
+def behaviour_alerts(packets: DataFrame, model: object | str, path: str, checkpoint: str, *, seconds: int = 60,
+                     **run) -> StreamingQuery:
+    """Alerts for (interval, source) whose traffic a behaviour model flags, once the interval is closed.
+
+    `model`: a fitted model, or the root of the registry, whose chosen model is then used. The features
+    are those of `rollup.traffic_features`, from the flows of the closed interval.
     """
-    carried = core.Carried(state)
-    loaded: dict[str, object] = {}
+    flows = rollup.flows(core.event_time(packets), seconds=seconds)
+    chosen = _Chosen(model) if isinstance(model, str) else None
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        name, fitted = chosen.now(batch.sparkSession) if chosen else (type(model).__name__, model)
+        features = rollup.features_of_flows(cut_lineage(core.to_ntz(batch)), seconds=seconds)
+        rows = features.withColumnRenamed("interval_start", "ts").withColumn("dst_ip", F.lit(None).cast("string"))
+        core.write_batch(detect.behaviour_alerts(rows, fitted.score, name), path, batch_id)
+
+    return core.start_batches(flows, write, checkpoint, **run)
+
+
+def detector_engine(packets: DataFrame, detectors: Sequence[detect.Detector], alerts_path: str, sent_path: str, state: str,
+                    checkpoint: str, *, window_seconds: float = 1, threshold: int = 5, seconds: float = 300,
+                    keys: Sequence[str] = throttle.SINGLE_KEY, delay_seconds: float = 10, **run) -> StreamingQuery:
+    """All detectors over one packet stream: SYN floods, counted on over batches, and detectors that look
+    at packets one by one (`detect.url_alerts`, `detect.behaviour_alerts`). One table of alerts, and those
+    that pass the throttle."""
+    flood = _Floods(core.Carried(f"{state}/floods"), window_seconds, threshold, delay_seconds)
+    sent = core.Carried(f"{state}/sent")
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        name = registry.current(spark, models)
-        if name not in loaded:
-            loaded.clear()
-            loaded[name] = registry.load(spark, models, name)
-        found = throttle.cut_lineage(detect.url_alerts(batch, lambda d: urls.score(loaded[name], d), name))
+        stored = cut_lineage(batch)
+        floods = flood.alerts(stored, batch_id)
+        found = cut_lineage(detect.run_detectors(stored, [lambda _: floods, *detectors]))
         core.write_batch(found, alerts_path, batch_id)
-        core.write_batch(_throttled(found, carried, batch_id, keys, seconds), sent_path, batch_id)
+        core.write_batch(_throttled(found, sent, batch_id, keys, seconds, delay_seconds), sent_path, batch_id)
 
     return core.start_batches(packets, write, checkpoint, **run)
 
@@ -140,8 +206,6 @@ def url_alerts(packets: DataFrame, models: str, alerts_path: str, sent_path: str
 def scan_bursts(alerts: DataFrame, path: str, checkpoint: str, *, alert_type: str = "Port Scan",
                 gap_seconds: int = 30, min_scans: int = 3, **run) -> StreamingQuery:
     """Bursts of one source, written once the pause after them is over."""
-    # Sessions of a busy source merge inside each map task before they are shuffled.
-    alerts.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     bursts = (
         core.event_time(alerts.filter(F.col("alert_type") == alert_type))
         .groupBy("src_ip", F.session_window("ts", f"{gap_seconds} seconds"))
@@ -152,11 +216,14 @@ def scan_bursts(alerts: DataFrame, path: str, checkpoint: str, *, alert_type: st
     return core.start(core.to_ntz(bursts), path, checkpoint, **run)
 
 
-def _changed_rows(counts: DataFrame, path: str, checkpoint: str, every: str, run: dict) -> StreamingQuery:
-    """Rows that changed in each refresh; `core.newest_rows` gives the current table."""
+def _changed_rows(counts: DataFrame, keys: Sequence[str], path: str, checkpoint: str, every: str, run: dict) -> StreamingQuery:
+    """Rows that changed in each refresh; `core.newest_rows` gives the current table. Every COMPACT_EVERY
+    refreshes the table is folded to its current rows."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         core.write_batch(core.to_ntz(batch), path, batch_id)
+        if batch_id and batch_id % COMPACT_EVERY == 0:
+            core.compact(batch.sparkSession, path, keys, batch_id)
 
     return core.start_batches(counts, write, checkpoint, mode="update", every=every, **run)
 
@@ -169,7 +236,7 @@ def dashboard_hours(alerts: DataFrame, path: str, checkpoint: str, *, delay: str
         .agg(F.count(F.lit(1)).alias("alert_cnt"))
         .select(F.col("w")["start"].alias("hour_bucket"), "alert_type", "alert_cnt")
     )
-    return _changed_rows(counts, path, checkpoint, DASHBOARD_REFRESH, run)
+    return _changed_rows(counts, ["hour_bucket", "alert_type"], path, checkpoint, DASHBOARD_REFRESH, run)
 
 
 def dashboard_minutes(alerts: DataFrame, path: str, checkpoint: str, *, delay: str = "1 hour", **run) -> StreamingQuery:
@@ -180,14 +247,19 @@ def dashboard_minutes(alerts: DataFrame, path: str, checkpoint: str, *, delay: s
         .agg(F.count(F.lit(1)).alias("alerts_in_min"))
         .select(F.col("w")["start"].alias("minute_bucket"), "alerts_in_min")
     )
-    return _changed_rows(counts, path, checkpoint, ALERT_REFRESH, run)
+    return _changed_rows(counts, ["minute_bucket"], path, checkpoint, ALERT_REFRESH, run)
+
 
+def dashboard_sources(alerts: DataFrame, path: str, checkpoint: str, *, horizon: str = "365 days", delay: str = "1 hour",
+                      **run) -> StreamingQuery:
+    """Running totals per source and horizon; the top of `core.newest_rows(...)` is the current ranking.
 
-def dashboard_sources(alerts: DataFrame, path: str, checkpoint: str, **run) -> StreamingQuery:
-    """Running totals per source; the top of `core.newest_rows(...)` is the current ranking."""
-    counts = alerts.groupBy("src_ip").agg(
+    Totals start anew with each horizon, an aligned span of event time, so that the state of past ones
+    can go.
+    """
+    counts = core.event_time(alerts, delay=delay).groupBy(F.window("ts", horizon).alias("w"), "src_ip").agg(
         F.count(F.lit(1)).alias("total_alerts"),
         F.count_if(F.col("alert_type") == "Port Scan").alias("port_scans"),
         F.count_if(F.col("alert_type") == "DDoS").alias("ddos_hits"),
-    )
-    return _changed_rows(counts, path, checkpoint, DASHBOARD_REFRESH, run)
+    ).select(F.col("w")["start"].alias("since"), "src_ip", "total_alerts", "port_scans", "ddos_hits")
+    return _changed_rows(counts, ["since", "src_ip"], path, checkpoint, DASHBOARD_REFRESH, run)

@@ -6,7 +6,7 @@ os.environ.setdefault("PYSPARK_PYTHON", "python")
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from netsight.session import build_session, ship_package
 
     session = build_session(
@@ -14,6 +14,7 @@ def spark():
         spark__master="local[8]",
         spark__sql__shuffle__partitions="8",
         spark__driver__memory="8g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__ui__enabled="false",
         spark__ui__showConsoleProgress="false",
     )

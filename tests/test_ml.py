@@ -37,11 +37,54 @@ def test_quantiles_interpolate(spark):
     assert quantile.exact_quantile(spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double"), "v", 0.95) == pytest.approx(2.9)
 
 
+def test_quantiles_of_odd_columns(spark):
+    inf = float("inf")
+    columns = {
+        "outlier": [1e300, -1e300] + [i / 7 for i in range(6000)],
+        "equal": [3.5] * 5000,
+        "infinite": [inf] * 50 + [-inf] * 30 + [float(i) for i in range(5000)],
+        "only infinite": [inf, inf, -inf],
+        "tiny": [5e-324 * i for i in range(5000)],
+        "close": [1.0 + i * 2.0**-52 for i in range(5000)],
+        "huge": [1.7e308, -1.7e308, 0.0],
+    }
+    for name, values in columns.items():
+        df = spark.createDataFrame([(v,) for v in values], "v double")
+        ordered = sorted(values)
+        for q in (0.0, 0.005, 0.5, 0.99, 1.0):
+            at = q * (len(values) - 1)
+            a, b = ordered[int(at)], ordered[min(int(at) + 1, len(values) - 1)]
+            want = a if at == int(at) or a == b else b if inf in (abs(a), abs(b)) else a + (b - a) * (at - int(at))
+            assert quantile.exact_quantile(df, "v", q) == want, (name, q)
+
+
+def test_a_forest_sees_equal_rows_as_often_as_they_are(spark):
+    rng = np.random.default_rng(1)
+    rows = [[7.0, 3.0, 100.0]] * 6000 + rng.normal([100, 10, 500], [20, 3, 50], (4000, 3)).tolist()
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rows], ", ".join(f"{c} double" for c in COLUMNS))
+    forest = anomaly.IsolationForest()
+    drawn, psi = forest._samples(df, COLUMNS)
+    found = drawn.agg(F.count(F.lit(1)), F.count_if(F.col("packet_rate") == 7.0)).first()
+    assert psi == 256 and found[0] == 25600 and abs(found[1] / found[0] - 0.6) < 0.02
+    thresholds = [anomaly.IsolationForest(trees=20).fit(df.repartition(n), COLUMNS).threshold for n in (2, 7)]
+    assert thresholds[0] == thresholds[1]
+
+
+def test_rows_without_a_feature_have_no_label(spark, traffic):
+    gaps = traffic.unionByName(spark.createDataFrame([(-1, None, 1.0, 2.0), (-2, None, None, None)], traffic.schema))
+    for name in ("IsolationForest", "Autoencoder"):
+        model = registry.train_behaviour(name, gaps, COLUMNS)
+        rows = {r.id: (r.score, r.prediction) for r in model.score(gaps).collect()}
+        assert rows[-1] == rows[-2] == (None, None) and sum(p is None for _, p in rows.values()) == 2
+        tags = anomaly.split_table(model, gaps).groupBy("tag").count().collect()
+        assert {r["tag"] for r in tags} == {"Normal", "Anomaly", None}
+
+
 def test_running_totals(spark):
     rng = random.Random(2)
     rows = [(k, s / 1000, rng.randrange(5)) for k in "ab" for s in rng.sample(range(100000), 700)]
     df = spark.createDataFrame(rows, "k string, s double, n bigint")
-    got = quantile.running_totals(df, ["k"], "s", ["n"], parts=16).collect()
+    got = quantile.running_totals(df, ["k"], "s", ["n"], part_rows=50).collect()
     assert len(got) == len(rows)
     for r in got:
         assert r.cum_n == sum(n for k, s, n in rows if k == r.k and s >= r.s)

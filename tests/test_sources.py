@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netsight.operators import alerts as A
-from netsight.sources import csv, exports, generate, tables
+from netsight.sources import csv, exports, tables
 from netsight.sources.schemas import ALERTS, BASELINE, HOST_STATS, PACKETS, subset
 
 HEAD = ",".join(ALERTS.names)
@@ -64,6 +64,23 @@ def test_a_file_goes_in_whole_or_not_at_all(spark, folder, tmp_path):
     assert tables.scan(spark, "alerts", root).count() == 2
 
 
+def test_values_that_data_frames_write(spark, folder, tmp_path):
+    head = ",".join(PACKETS.names[:-2])
+    line = "2024-01-01 00:00:00,a,{},b,80,TCP,60,0x0002\n"
+    source = folder(**{
+        "good one": f"{head}\n{line.format(1)}", "gaps": f"{head}\n" + "".join(map(line.format, ["NaN", "443.0", "", "NULL", "N/A", "7"])),
+        "middle": f"{head}\n{line.format(1)}{line.format('oops')}", "half": f"{head}\n{line.format('443.5')}",
+        "short": f"{head}\n2024-01-01 00:00:00,a,1,b\n", "plus+": f"{head}\n\n{line.format(2)}\n", "nothing": "",
+    })
+    root = str(tmp_path / "out")
+    assert loaded(csv.load_folder(spark, source, root)) == {
+        "good one.csv": ("packets", "loaded", 1), "gaps.csv": ("packets", "loaded", 6), "middle.csv": ("packets", "rejected", 0),
+        "half.csv": ("packets", "rejected", 0), "short.csv": ("packets", "rejected", 0), "plus+.csv": ("packets", "loaded", 1),
+    }
+    ports = [r.src_port for r in tables.scan(spark, "packets", root).collect()]
+    assert sorted(p or 0 for p in ports) == [0, 0, 0, 0, 1, 2, 7, 443]
+
+
 def test_strict_reading_refuses_a_wrong_header(spark, folder):
     source = folder(u="type,url\nbenign,a.com\n")
     with pytest.raises(Exception, match="(?i)header"):
@@ -97,23 +114,3 @@ def test_day_folders_are_pruned(spark, at, tmp_path):
     assert df.count() == 2
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(event_date" in plan and "GreaterThanOrEqual(ts" in plan
-
-
-def test_generated_tables(spark):
-    start, end = dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 3)
-    ids = spark.range(2000)
-    alerts = generate.alerts(ids, start, end, sources=7)
-    assert alerts.count() == 2000 and alerts.select("src_ip").distinct().count() == 7
-    assert {r[0] for r in alerts.select("alert_type").distinct().collect()} == set(generate.ALERT_TYPES)
-    assert alerts.filter(~F.col("ts").between(F.lit(start), F.lit(end))).count() == 0
-    packets = generate.packets(ids, start, end)
-    assert packets.filter("src_ip = dst_ip or pkt_len not between 40 and 1500").count() == 0
-    assert packets.filter("(protocol in ('HTTP','HTTPS')) != (full_url != '')").count() == 0
-    stats = generate.host_stats(ids, start, end, hosts=5, limit=400)
-    assert stats.count() == 400  # 96 intervals of 5 hosts, cut at the limit
-    assert generate.host_stats(ids, start, end, hosts=5).count() == 480
-    assert stats.filter("total_packets != incoming_packets + outgoing_packets or incoming_packets < 0").count() == 0
-    base = generate.baseline(spark.range(20000), start).agg(
-        F.avg("packet_rate"), F.stddev("packet_rate"), F.min("unique_port_count"), F.avg("avg_pkt_size")).first()
-    assert abs(base[0] - 100) < 1 and abs(base[1] - 20) < 1 and base[2] >= 1 and abs(base[3] - 500) < 2
-    assert sorted(alerts.collect()) == sorted(generate.alerts(spark.range(2000, numPartitions=3), start, end, sources=7).collect())

@@ -9,6 +9,7 @@ from netsight.functions.derive import dissect, valid_ip_rows
 from netsight.ml import registry
 from netsight.operators import alerts as A
 from netsight.operators import detect, rollup, throttle
+from netsight.session import passing_steps
 from netsight.sources.tables import conform
 from netsight.streaming import core, live
 
@@ -108,11 +109,11 @@ def test_dashboards(spark, at, streamed, tmp_path):
     for start, want, keys in [
         (live.dashboard_hours, A.alerts_by_hour(df, hours=99), ("hour_bucket", "alert_type")),
         (live.dashboard_minutes, A.alerts_per_minute(df), ("minute_bucket",)),
-        (live.dashboard_sources, A.top_sources(df), ("src_ip",)),
+        (live.dashboard_sources, A.top_sources(df), ("since", "src_ip")),
     ]:
         place = str(tmp_path / start.__name__)
         start(stream, f"{place}/out", f"{place}/check", available_now=True).awaitTermination()
-        assert rows_of(core.newest_rows(spark, f"{place}/out", *keys)) == rows_of(want)
+        assert rows_of(core.newest_rows(spark, f"{place}/out", *keys).drop("since")) == rows_of(want)
 
 
 def test_ingest(spark, at, streamed):
@@ -142,6 +143,95 @@ def test_alerts_of_the_chosen_model(spark, at, streamed, tmp_path):
     assert rows_of(core.read_batches(spark, sent)) == rows_of(throttle.throttle(got))
 
 
+def test_state_does_not_grow_with_time(spark, at, tmp_path):
+    """Hourly batches of new sources: what the throttle carries stays flat, and so do its folders."""
+    sizes, state = [], core.Carried(str(tmp_path / "state"))
+    for hour in range(6):
+        rows = at([(3600 * hour + i, "DoS", f"h{hour}-{i}", "d", "x") for i in range(100)], ALERT)
+        with passing_steps(spark):
+            live._throttled(rows, state, hour, ("src_ip",), 300, 10).count()
+        sizes.append(state.before(spark, hour + 1).count())
+        folders = [p.name for p in (tmp_path / "state").iterdir()]
+        assert sorted(folders) == [f"batch_id={b}" for b in range(max(0, hour - 1), hour + 1)]
+    assert sizes == [100] * 6
+
+
+def test_a_stream_leaves_no_steps(spark, at, streamed):
+    from pathlib import Path
+
+    from netsight.session import shared_dir
+
+    before = set(Path(shared_dir(spark)).glob("netsight/step-*"))
+    df = at([(s, "DoS", "a", "d", "x") for s in range(0, 3000, 50)], ALERT)
+    stream, (out, state, check) = streamed(df, 3)
+    live.notifications(stream, out, state, check, available_now=True).awaitTermination()
+    after = set(Path(shared_dir(spark)).glob("netsight/step-*"))
+    throttled = rows_of(core.read_batches(spark, out))
+    assert after == before and throttled == rows_of(throttle.throttle(df))
+
+
+def test_folding_a_dashboard(spark, tmp_path):
+    place = str(tmp_path / "t")
+    for b in range(5):
+        core.write_batch(spark.createDataFrame([("a", b), (f"k{b}", b)], "k string, n int"), place, b)
+    want = rows_of(core.newest_rows(spark, place, "k"))
+    for _ in range(2):  # a replay of the batch that folds
+        core.compact(spark, place, ["k"], 4)
+        assert rows_of(core.newest_rows(spark, place, "k")) == want
+    assert sorted(p.name for p in (tmp_path / "t").iterdir()) == ["batch_id=3", "batch_id=4"]
+
+
+def test_engine_is_the_union_of_the_detectors(spark, at, streamed, tmp_path):
+    df = packets(at, seconds=3000, n=300).withColumn("ts", F.col("ts"))
+    by_url = lambda p: detect.url_alerts(
+        p, lambda d: d.withColumn("prediction_label", F.when(F.col("url").contains("?"), "phishing").otherwise("benign")), "DecisionTree"
+    )
+    stream, (out, state, check) = streamed(df, 4)
+    sent = str(tmp_path / "sent")
+    live.detector_engine(stream, [by_url], out, sent, state, check, window_seconds=60, threshold=1, available_now=True).awaitTermination()
+    want = detect.run_detectors(df, [lambda p: detect.syn_flood_alerts(p, window_seconds=60, threshold=1), by_url])
+    got = core.read_batches(spark, out)
+    assert got.count() == want.count() > 0
+    assert rows_of(got.filter("model_name != 'SynFlood'")) == rows_of(want.filter("model_name != 'SynFlood'"))
+    times = sorted({at.seconds(r.ts) for r in got.collect()})
+    passed = []
+    for t in times:
+        if not passed or t - passed[-1] >= 300:
+            passed.append(t)
+    assert sorted(at.seconds(r.ts) for r in core.read_batches(spark, sent).collect()) == passed
+
+
+@pytest.mark.parametrize("by_registry", [False, True])
+def test_behaviour_models_on_the_stream(spark, at, streamed, tmp_path, by_registry):
+    from netsight.ml import anomaly
+
+    columns = ["packet_rate", "unique_port_count", "avg_pkt_size"]
+    df = packets(at)
+    done = df.unionByName(at([(100000, "z", "z", 1, 1, None, None)], PACKET))
+    features = rollup.traffic_features(df)
+    model = anomaly.IsolationForest(trees=10, contamination=0.1).fit(features, columns)
+    root = str(tmp_path / "models")
+    registry.save(spark, root, "IsolationForest", model)
+    registry.choose(spark, root, "IsolationForest")
+    stream, (out, _, check) = streamed(done, 4)
+    live.behaviour_alerts(stream, root if by_registry else model, out, check, available_now=True).awaitTermination()
+    flagged = model.score(features).filter("prediction = -1").select("interval_start", "src_ip").collect()
+    assert sorted((r.ts, r.src_ip) for r in core.read_batches(spark, out).collect()) == sorted(map(tuple, flagged)) != []
+
+
+def test_a_retrained_model_is_loaded_again(spark, tmp_path):
+    from netsight.ml import anomaly
+
+    columns = ["a", "b"]
+    rows = spark.createDataFrame([(float(i), float(i % 7)) for i in range(50)], "a double, b double")
+    root, chosen = str(tmp_path), live._Chosen(str(tmp_path))
+    registry.choose(spark, root, "IsolationForest")
+    for trees in (2, 3):
+        registry.save(spark, root, "IsolationForest", anomaly.IsolationForest(trees=trees).fit(rows, columns))
+        name, model = chosen.now(spark)
+        assert name == "IsolationForest" and len(model.forest) == trees and chosen.now(spark)[1] is model
+
+
 def test_a_replayed_batch_writes_the_same(spark, tmp_path):
     place, carried = str(tmp_path / "t"), core.Carried(str(tmp_path / "s"))
     for _ in range(2):

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from netsight.functions.timefn import floor_div
 from netsight.operators import alerts, hosts, timeline
 
 
@@ -33,6 +34,20 @@ def test_rolling_frame_edges_and_peers(at):
     assert got == [(0, 1), (600, 2), (600, 2), (600.000001, 1), (1200, 2)]
 
 
+def test_alerts_without_a_time_keep_their_rows(at):
+    df = at([(0, "DDoS"), (300, "DoS")], "alert_type string")
+    timeless = df.withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    got = alerts.rolling_type_count(df.unionByName(timeless)).collect()
+    assert sorted(((r.ts is None, r.ts and at.seconds(r.ts)), r.ddos_window) for r in got if r.ts) == [((False, 0), 1), ((False, 300), 1)]
+    assert [r.ddos_window for r in got if r.ts is None] == [1, 1]
+
+
+def test_whole_division_is_exact(spark):
+    big = [2**62 + 7, -(2**62) - 7, 2**53 + 1, -1, 0, 299, 300]
+    rows = spark.createDataFrame([(v,) for v in big], "v bigint")
+    assert [r[0] for r in rows.select(floor_div(F.col("v"), 300)).collect()] == [v // 300 for v in big]
+
+
 def test_rolling_total_of_unknown_values(at):
     df = at([(0, None), (10, 5), (700, None)], "v int")
     got = timeline.rolling_total(df, "ts", 600, F.col("v")).orderBy("ts").collect()
