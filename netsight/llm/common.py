@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -62,3 +63,31 @@ def with_mark(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, str]:
     # Null keys come last in the order of marks.
     named = F.struct(F.col(key).isNull().alias("unnamed"), F.col(key).alias("key"), F.xxhash64(F.col(text)).alias("text"))
     return docs.withColumn(mark, named), mark
+
+
+def runs_of(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each key in turn, of batches that are sorted by the keys; one key's rows are held at a time."""
+    held: list[pa.RecordBatch] = []
+    last: tuple | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(k) for k in keys]
+        marks = np.zeros(batch.num_rows, bool)
+        for column in columns:
+            codes = column.dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            marks[1:] |= codes[1:] != codes[:-1]
+        starts = [0, *np.flatnonzero(marks).tolist(), batch.num_rows]
+        for a, b in zip(starts[:-1], starts[1:], strict=True):
+            key = tuple(c[a].as_py() for c in columns)
+            if held and key != last:
+                yield joined(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield joined(held)
+
+
+def joined(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.Table.from_batches(batches).combine_chunks().to_batches()[0]

@@ -116,6 +116,137 @@ SELECT page_id, cast(n AS bigint) AS payload_bytes, h AS payload_digest,
 FROM p LEFT JOIN first USING (h)
 """
 
+_BYTES = "list_transform(range(1, length(id) + 1), lambda k: [ord(substr(id, k, 1)), -1, -1, -1, -1, -1, -1, -1, -1])"
+_CRC32 = (
+    f"xor(list_reduce(list_concat([4294967295], flatten({_BYTES})), lambda crc, x: "
+    "CASE WHEN x >= 0 THEN xor(crc, x) ELSE xor(crc >> 1, 3988292384 * (crc & 1)) END), 4294967295)"
+)
+
+
+def _edit(cost: str, letter: str, turn: str, rest: str) -> str:
+    said = f"CASE WHEN {rest}.said = '' THEN {turn} ELSE {turn} || chr(10) || {rest}.said END" if turn else f"{rest}.said"
+    return f"{{'cost': {cost} + {rest}.cost, 'audit': '{letter}' || {rest}.audit, 'said': {said}}}"
+
+
+def _cheapest(*options: str) -> str:
+    return f"list_sort(list_filter([{', '.join(options)}], lambda o: o IS NOT NULL))[1]"
+
+
+def _if(condition: str, edit: str) -> str:
+    return f"CASE WHEN {condition} THEN {edit} END"
+
+
+#: n, s, u, a: the cheapest repair of a turn and all after it if nothing, system, user, assistant came before.
+_WORSE = "(CASE WHEN truncated THEN 3 ELSE 0 END)"
+_STAY = "NOT blank AND NOT again"
+_AS_IS, _USER, _ASSISTANT = "(role || ':' || text)", "('user:' || text)", "('assistant:' || text)"
+_KEPT = {  # initial of the role and what holds after it, by what came before
+    "n": (("s", "s"), ("u", "u")), "s": (("u", "u"),), "u": (("a", "a"),), "a": (("u", "u"),),
+}
+_PLAIN = ", ".join(
+    _cheapest(
+        _edit("4", "D", "", f"f.{b}"),
+        *(_if(f"{_STAY} AND left(role, 1) = '{i}'", _edit(_WORSE, "K", _AS_IS, f"f.{to}")) for i, to in _KEPT[b]),
+        _if(_STAY, _edit(f"3 + {_WORSE}", "R", _ASSISTANT if b == "u" else _USER, "f.a" if b == "u" else "f.u")),
+    )
+    + f" AS {b}"
+    for b in "nsua"
+)
+CONVERSATION_REPAIR = f"""
+WITH RECURSIVE turns AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(cast(conv_id AS varchar), ' ') || ':' || coalesce(cast(turn AS varchar), ' ') AS id
+  FROM conversations
+),
+faulty AS (SELECT *, {_CRC32} % 20 AS fault FROM turns),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN fault = 4 THEN 'user' ELSE role END AS role,
+    CASE fault WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(range(CASE WHEN fault = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM faulty WHERE fault <> 0
+),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    count(*) OVER (PARTITION BY conv_id) AS n,
+    trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS core
+  FROM damaged
+),
+judged AS (
+  SELECT *, core = '' AS blank, right(core, 1) NOT IN ('.', '!', '?') AS open_,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+  FROM numbered
+),
+rows_ AS (SELECT *, open_ AND NOT blank AND NOT again AS truncated FROM judged),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank,
+    count(*) FILTER (WHERE again AND NOT blank) AS duplicate, count(*) FILTER (WHERE truncated) AS truncated,
+    count(*) FILTER (WHERE pair IS NOT NULL AND pair NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM rows_ GROUP BY conv_id
+),
+f AS (
+  SELECT conv_id, n + 1 AS i, {{'cost': 0, 'audit': '', 'said': ''}} AS n,
+    {{'cost': 6, 'audit': 'II', 'said': 'user:' || chr(10) || 'assistant:'}} AS s, {{'cost': 3, 'audit': 'I', 'said': 'assistant:'}} AS u,
+    {{'cost': 0, 'audit': '', 'said': ''}} AS a
+  FROM (SELECT DISTINCT conv_id, n FROM rows_)
+  UNION ALL
+  SELECT conv_id, i, {_cheapest("n", _edit("3", "I", "'user:'", "u"))} AS n, {_cheapest("s", _edit("3", "I", "'user:'", "u"))} AS s, u, a
+  FROM (
+    SELECT conv_id, i, n, s, {_cheapest("u", _edit("3", "I", "'assistant:'", "a"))} AS u,
+      {_cheapest("a", _edit("3", "I", "'user:'", "u"))} AS a
+    FROM (SELECT r.conv_id, r.i, {_PLAIN} FROM f JOIN rows_ r ON r.conv_id IS NOT DISTINCT FROM f.conv_id AND r.i = f.i - 1)
+  )
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(k.blank, 0) AS blank, coalesce(k.duplicate, 0) AS duplicate,
+  coalesce(k.truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cast(coalesce(f.n.cost, 0) AS bigint) AS cost,
+  coalesce(f.n.audit, '') AS audit, sha256(coalesce(f.n.said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN counted k ON k.conv_id IS NOT DISTINCT FROM c.conv_id
+  LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM c.conv_id AND f.i = 1
+"""
+
+_SOUND = "embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0"
+
+HARD_NEGATIVES = f"""
+WITH v AS (
+  SELECT DISTINCT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * cast(x AS double))) AS q
+  FROM embeddings WHERE label IS NOT NULL AND {_SOUND}
+),
+scores AS (
+  SELECT a.vec_id AS anchor, b.vec_id AS other, a.label = b.label AS same, cast(list_inner_product(a.q, b.q) AS bigint) AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)
+),
+positives AS (
+  SELECT * FROM scores WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other) <= 5
+),
+negatives AS (
+  SELECT p.anchor, p.other AS positive, n.other AS negative, p.score AS ps, n.score AS ns,
+    row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other) AS rank
+  FROM positives p JOIN scores n ON n.anchor = p.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+)
+SELECT anchor AS anchor_id, positive AS positive_id, cast(rank AS int) AS rank, negative AS negative_id,
+  ps AS positive_score, ns AS negative_score
+FROM negatives WHERE rank <= 5
+"""
+
+NEAR_VECTORS = f"""
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, cast(embedding AS double[]) AS e FROM embeddings),
+sound AS (
+  SELECT * FROM v WHERE label IS NOT NULL AND r IN (
+    SELECT r FROM (SELECT r, e AS embedding FROM v) WHERE {_SOUND} AND len(list_filter(embedding, lambda x: x <> 0)) > 0)
+),
+links AS (
+  SELECT a.r AS a, b.r AS b FROM sound a JOIN sound b ON a.label = b.label AND a.r <> b.r AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+),
+reach AS (SELECT r AS a, r AS b FROM v UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a),
+least AS (SELECT reach.a AS r, min(v.vec_id) AS component_id FROM reach JOIN v ON v.r = reach.b GROUP BY reach.a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+FROM v JOIN least USING (r) LEFT JOIN counts USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -123,4 +254,7 @@ def oracle_sql() -> dict[str, str]:
         "op7_line_dedup": LINE_DEDUP,
         "op8_source_mix": SOURCE_MIX,
         "op9_web_archives": WEB_ARCHIVES,
+        "op11_conversation_repair": CONVERSATION_REPAIR,
+        "op12_hard_negatives": HARD_NEGATIVES,
+        "op13_near_vectors": NEAR_VECTORS,
     }

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netsight.llm import decontaminate, line_dedup, mixing, quality, simhash, style_tree, tokens, toxicity, urls, warc
+from netsight.llm import (
+    conversations, decontaminate, lattice, line_dedup, mixing, negatives, quality, simhash, style_tree, tokens, toxicity, urls, warc,
+)
 from netsight.llm.common import table, type_of
 from netsight.session import scratch_path
 
@@ -70,6 +72,38 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Turns of conversations (null roles and texts as one space) with faults that depend on `conv_id:turn`."""
+    plain = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    fault = F.crc32(F.concat(plain("conv_id"), F.lit(":"), plain("turn")).cast("binary")) % 20
+    rows = turns.select("conv_id", "turn", plain("role").alias("role"), plain("text").alias("text"), fault.alias("fault"))
+    text = F.when(F.col("fault") == 1, F.lit("")).when(F.col("fault") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    role = F.when(F.col("fault") == 4, F.lit("user")).otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("fault") == 3, 2).otherwise(1)))
+    rows = rows.where("fault != 0").withColumns({"role": role, "text": text}).withColumn("copy", copies)
+    return rows.select("conv_id", "turn", "role", "text")
+
+
+def conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    found = conversations.summaries(damaged(turns))
+    every = turns.select(F.col("conv_id").alias("c")).distinct()
+    rows = every.join(found, every["c"].eqNullSafe(found["conv_id"]), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in conversations.COUNTS]
+    nothing = F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256")
+    return rows.select(F.col("c").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), nothing)
+
+
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(vectors.withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -88,5 +122,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_source_mix": source_mix,
         "op9_web_archives": web_archives,
         "op10_toxicity": toxicity_scores,
+        "op11_conversation_repair": conversation_repair,
+        "op12_hard_negatives": hard_negatives,
+        "op13_near_vectors": near_vectors,
         "pipeline": pipeline,
     }
