@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from netsight.llm import decontaminate, line_dedup, minhash, mixing, quality
+from netsight.llm import decontaminate, line_dedup, mixing, quality, simhash
 from netsight.llm.common import BLANK_CHARS, fresh, table, with_mark
 from netsight.session import cut_lineage
 
 KEY, TEXT = "doc_id", "text"
+#: Near-duplicates: words of a shingle, bits in which fingerprints may differ.
+SHINGLE, DISTANCE = 3, 2
 
 
 def _with_size(docs: DataFrame, columns: list[str]) -> DataFrame:
@@ -37,10 +39,11 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, Jaccard similarity of 0.8 or more):
-    the one with the smallest doc_id (null last)."""
+    """One document of each group of near-duplicates by SimHash (three-word shingles, two bits): the one with the
+    smallest doc_id (null last). Texts without words are one group; rows equal in doc_id and text are repeats of one
+    document, of which one row stays. An empty table gives an empty one."""
     marked, mark = with_mark(docs, KEY, TEXT)
-    groups = cut_lineage(minhash.near_duplicates(marked, mark, TEXT))
+    groups = cut_lineage(simhash.near_duplicates(marked, mark, TEXT, shingle=SHINGLE, distance=DISTANCE))
     chosen = groups.select(F.col("component_id").alias(mark)).distinct()
     kept = marked.join(chosen, mark, "left_semi")
     # Rows equal in doc_id and text have the same mark: one of them stays.
