@@ -27,9 +27,10 @@ def components(links: DataFrame) -> DataFrame:
             )
         before = tuple(state)
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        # The smallest neighbours are a table of their own, so that a node with very many neighbours is split in the join.
+        least = cut_lineage(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut_lineage(large.distinct())
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = cut_lineage(large.groupBy("a").agg(F.min("b").alias("m")))
         below = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         links = cut_lineage(below.unionByName(least.select("a", F.col("m").alias("b"))).distinct())

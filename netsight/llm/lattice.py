@@ -249,7 +249,7 @@ def near_vectors(
         roots.select("node.c1", "node.c2", "root"), ["c1", "c2"], "left"
     ).withColumn("root", F.coalesce("root", node("c1", "c2")))
     named = cut_lineage(named.join(counts, ["c1", "c2"], "left"))
-    groups = named.groupBy("root").agg(F.min("least").alias("component"))
+    groups = cut_lineage(named.groupBy("root").agg(F.min("least").alias("component")))  # so that a large component is split
     found = cut_lineage(named.join(groups, "root").select(
         "c1", "c2", (F.coalesce("links", F.lit(0)) + F.col("weight") - 1).alias("n_links"), "component"
     ))

@@ -212,7 +212,7 @@ def near_duplicates(
         "fingerprint", "least", F.coalesce("root", "fingerprint").alias("root")
     )
     nodes = cut_lineage(nodes)
-    groups = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
+    groups = cut_lineage(nodes.groupBy("root").agg(F.min("least").alias("component_id")))
     named = nodes.join(groups, "root").select("fingerprint", "component_id")
     return prints.join(named, "fingerprint").select(
         F.col("key").alias(key), F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
