@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
@@ -17,9 +18,9 @@ from netsight.operators import hosts as H
 from netsight.operators import packets as P
 from netsight.operators import rollup, throttle
 from netsight.plans import driver_tables as T
-from netsight.session import scratch_path, ship_package
+from netsight.session import cut_lineage, scratch_path, ship_package
 from netsight.sources import csv, exports, tables
-from netsight.sources.schemas import ALERTS
+from netsight.sources.schemas import ALERTS, TABLES
 from netsight.sources.tables import DAY
 from netsight.streaming import core, live
 
@@ -173,16 +174,20 @@ def derivation_queries() -> dict[str, Query]:
 
 
 def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
-    """CSV files of three known layouts and one unknown, in the shared folder. Of the packets, some are in
+    """CSV files of three known layouts and one unknown, in the shared folder. Of the alerts, some are in
+    files whose texts go over line ends, with quotes and commas in them. Of the packets, some are in
     a file with bad values in a middle column, some in one where whole numbers have gaps, as a data frame
     writes them, and some in a folder with a space in its name."""
     folder = scratch_path(spark, "csv")
     packets, kind = T.packets(spark, sf_dir), F.col("src_port") % 50
+    alerts = T.alerts(spark, sf_dir)
     port, length = F.col("src_port").cast("string"), F.col("pkt_len").cast("string")
+    bad = packets.filter(kind == 0).withColumn("pkt_len", F.when(F.col("pkt_len") % 3 == 0, "oops").otherwise(length))
     made = {
-        "alerts": T.alerts(spark, sf_dir).select(*ALERTS.names),
+        "alerts": alerts.filter(F.col("alert_id") % 4 != 3).select(*ALERTS.names),
+        "lines": alerts.filter(F.col("alert_id") % 4 == 3).withColumn("details", _over_lines()).select(*ALERTS.names),
         "packets": packets.filter(kind > 2),
-        "bad": packets.filter(kind == 0).withColumn("pkt_len", F.when(F.col("pkt_len") % 3 == 0, "oops").otherwise(length)).coalesce(1),
+        "bad": bad.coalesce(1).sortWithinPartitions(*bad.columns),
         "gaps": packets.filter(kind == 1).withColumn(
             "src_port", F.when(F.col("pkt_len") % 2 == 0, "NaN").otherwise(F.concat(port, F.lit(".0")))
         ),
@@ -195,6 +200,12 @@ def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
     return folder
 
 
+def _over_lines() -> Column:
+    """Alert details with a quoted word, a line end of either kind, a comma and an empty line."""
+    end = F.when(F.col("alert_id") % 8 == 3, "\r\n").otherwise("\n")
+    return F.concat(F.lit('"seen": '), "details", end, end, F.lit('then, "'), F.col("alert_id"), F.lit('"'))
+
+
 def _csv_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     report = csv.load_folder(spark, f"{_csv_folder(spark, sf_dir)}/*", scratch_path(spark, "tables"))
     return report.groupBy("table", "status").agg(F.sum("n_rows").alias("n_rows"))
@@ -206,6 +217,43 @@ def _csv_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.scan(spark, "packets", root)
 
 
+def _csv_over_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "tables")
+    csv.load_folder(spark, f"{_csv_folder(spark, sf_dir)}/*", root, only=["alerts"])
+    return tables.scan(spark, "alerts", root)
+
+
+def _csv_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What either load of the same folder reports, and what is stored afterwards."""
+    folder, root = f"{_csv_folder(spark, sf_dir)}/*", scratch_path(spark, "tables")
+    made = []
+    for load in ("first", "second"):
+        report = cut_lineage(csv.load_folder(spark, folder, root))
+        made.append(report.groupBy(F.lit(load).alias("load"), "table", "status").agg(F.sum("n_rows").alias("n_rows")))
+    for table in TABLES:
+        rows = tables.scan(spark, table, root)
+        made.append(rows.select(F.lit("stored").alias("load"), F.lit(table).alias("table"), F.lit("stored").alias("status")).groupBy(
+            "load", "table", "status").agg(F.count("*").alias("n_rows")))
+    return reduce(DataFrame.unionByName, made)
+
+
+def _csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "tables")
+    csv.load_folder(spark, f"{_csv_folder(spark, sf_dir)}/*", root, only=["packets"])
+    return tables.quarantine(spark, root).select("table", "line", "reason", "record")
+
+
+def _upserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """host_stats, corrected for some hosts and intervals, and with some more, written over the stored ones."""
+    root, stats = scratch_path(spark, "tables"), cut_lineage(T.host_stats(spark, sf_dir))
+    tables.merge_host_stats(stats, root)
+    late = F.col("total_packets") % 3 == 0
+    shifted = {c: F.col(c) + F.expr("interval 2 days") for c in ("interval_start", "interval_end")}
+    corrected = stats.filter(late).withColumns({"total_packets": F.col("total_packets") + 1, "total_packets_size": F.col("total_packets_size") + 60})
+    tables.merge_host_stats(corrected.unionByName(stats.filter(F.col("total_packets") % 3 == 1).withColumns(shifted)), root)
+    return tables.scan(spark, "host_stats", root)
+
+
 def _stored(table: str, source: Callable[..., DataFrame]) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         root = scratch_path(spark, "tables")
@@ -261,6 +309,10 @@ def source_queries() -> dict[str, Query]:
     return {
         "csv_route_report": _csv_report,
         "csv_route_load": _csv_loaded,
+        "csv_over_lines": _csv_over_lines,
+        "csv_load_twice": _csv_twice,
+        "csv_quarantine": _csv_quarantine,
+        "upsert_host_stats": _upserted,
         "insert_packets": _stored("packets", T.packets),
         "insert_alerts": _stored("alerts", T.alerts),
         "insert_host_stats": _stored("host_stats", T.host_stats),

@@ -19,7 +19,8 @@ def burst_csv(bursts: DataFrame, path: str) -> None:
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).option("timestampNTZFormat", TIME_FORMAT).csv(path)
+    """With a header; a quote inside quotes is doubled."""
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("timestampNTZFormat", TIME_FORMAT).csv(path)
 
 
 def json_rows(df: DataFrame) -> DataFrame:
