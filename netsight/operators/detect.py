@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsight.functions.derive import (
@@ -16,6 +17,7 @@ from netsight.functions.derive import (
     url_message,
 )
 from netsight.operators import timeline
+from netsight.session import cut_lineage
 
 ALERT_COLUMNS = ("ts", "alert_type", "src_ip", "dst_ip", "details", "model_name")
 
@@ -101,34 +103,94 @@ def syn_flood_alerts(
     )
 
 
+@dataclass(frozen=True)
+class PacketDetector:
+    """Looks at packets one by one: `judge` adds a column, of which `found` and `details` make an alert or none."""
+
+    judge: Detector
+    column: str
+    found: Callable[[Column], Column]
+    details: Callable[[Column], Column]
+    model_name: str
+
+    def __call__(self, packets: DataFrame) -> DataFrame:
+        return run_detectors(packets, [self])
+
+
+@dataclass(frozen=True)
+class WindowDetector:
+    """Needs several packets together: `find` gets the `columns` of the packets that are `wanted`, a condition in SQL."""
+
+    wanted: str
+    columns: tuple[str, ...]
+    find: Detector
+
+    def __call__(self, packets: DataFrame) -> DataFrame:
+        return self.find(packets.filter(self.wanted).select(*self.columns))
+
+
+def url_detector(classify: Detector, model_name: str) -> PacketDetector:
+    """`classify` adds `prediction_label` from `url`, which is empty for a packet without one."""
+    return PacketDetector(
+        lambda packets: classify(packets.withColumn("url", F.coalesce("full_url", F.lit("")))), "prediction_label",
+        lambda label: (F.col("full_url") != "") & (F.lower(label) != BENIGN),
+        lambda label: url_message(label, F.col("full_url")), model_name,
+    )
+
+
+def behaviour_detector(score: Detector, model_name: str) -> PacketDetector:
+    """`score` adds `prediction`: -1, 'anomaly' or 'attack' flag a row."""
+    return PacketDetector(
+        score, "prediction", lambda label: F.lower(label.cast("string")).isin(*ANOMALY_LABELS),
+        lambda _: behaviour_message(F.lit(model_name)), model_name,
+    )
+
+
+def flood_detector(*, window_seconds: float = 1, threshold: int = 5) -> WindowDetector:
+    wanted = f"tcp_flags = '{SYN_ONLY}' AND src_ip IS NOT NULL"
+    find = lambda rows: syn_flood_alerts(rows, window_seconds=window_seconds, threshold=threshold)
+    return WindowDetector(wanted, ("ts", "src_ip", "dst_ip", "tcp_flags"), find)
+
+
 def url_alerts(packets: DataFrame, classify: Detector, model_name: str) -> DataFrame:
     """Packets whose URL gets a label other than benign. `classify` adds `prediction_label` from `url`."""
-    labelled = classify(packets.filter(F.col("full_url") != "").withColumn("url", F.col("full_url")))
-    bad = labelled.filter(F.lower("prediction_label") != BENIGN)
-    return as_alerts(
-        bad.select(
-            "ts", "src_ip", "dst_ip",
-            url_message(F.col("prediction_label"), F.col("url")).alias("details"),
-            F.lit(model_name).alias("model_name"),
-        )
-    )
+    return run_detectors(packets.filter(F.col("full_url") != ""), [url_detector(classify, model_name)])
 
 
 def behaviour_alerts(rows: DataFrame, score: Detector, model_name: str) -> DataFrame:
     """Rows that an anomaly model flags. `score` adds `prediction`: -1, 'anomaly' or 'attack' flag a row."""
-    flagged = score(rows).filter(F.lower(F.col("prediction").cast("string")).isin(*ANOMALY_LABELS))
-    return as_alerts(
-        flagged.select(
-            "ts", "src_ip", "dst_ip",
-            behaviour_message(F.lit(model_name)).alias("details"),
-            F.lit(model_name).alias("model_name"),
-        )
-    )
+    return run_detectors(rows, [behaviour_detector(score, model_name)])
 
 
 def run_detectors(packets: DataFrame, detectors: Sequence[Detector]) -> DataFrame:
-    """Alerts of all detectors together."""
-    return reduce(DataFrame.unionByName, [d(packets).select(*ALERT_COLUMNS) for d in detectors])
+    """Alerts of all detectors together, from one pass over the packets.
+
+    What the detectors of single packets find makes up to one alert each of a packet, as an array. If some need
+    several packets together, the pass is stored: the packets with an alert and those wanted, in the few
+    columns that are needed. Other functions of packets are called with all packets.
+    """
+    looks = [d for d in detectors if isinstance(d, PacketDetector)]
+    windows = [d for d in detectors if isinstance(d, WindowDetector)]
+    made = [d(packets).select(*ALERT_COLUMNS) for d in detectors if not isinstance(d, PacketDetector | WindowDetector)]
+    rows, alerts = packets, []
+    for k, d in enumerate(looks):
+        added = d.judge(rows)
+        label = f"_judged_{k}"
+        rows = added.select(*rows.columns, F.col(d.column).alias(label))
+        given = F.struct("ts", "src_ip", "dst_ip", d.details(F.col(label)).alias("details"), F.lit(d.model_name).alias("model_name"))
+        alerts.append(F.when(d.found(F.col(label)), given))
+    if looks:
+        rows = rows.withColumn("_alerts", F.filter(F.array(*alerts), lambda a: a.isNotNull()))
+    if windows:
+        named = {f"_wanted_{k}": F.coalesce(F.expr(d.wanted), F.lit(False)) for k, d in enumerate(windows)}
+        kept = list(dict.fromkeys(c for d in windows for c in d.columns))
+        rows = rows.withColumns(named)
+        some = reduce(Column.__or__, [F.col(n) for n in named], F.size("_alerts") > 0 if looks else F.lit(False))
+        rows = cut_lineage(rows.filter(some).select(*kept, *named, *(["_alerts"] if looks else [])))
+        made += [d.find(rows.filter(n).select(*d.columns)).select(*ALERT_COLUMNS) for n, d in zip(named, windows, strict=True)]
+    if looks:
+        made.append(as_alerts(rows.select(F.explode("_alerts").alias("a")).select("a.*")))
+    return reduce(DataFrame.unionByName, made)
 
 
 def on_blocklist(packets: DataFrame, blocklist: DataFrame, *, column: str = "src_ip", listed: bool = True) -> DataFrame:

@@ -32,22 +32,28 @@ def flows(packets: DataFrame, *, seconds: int = 60) -> DataFrame:
     )
 
 
-def _sides(flow_rows: DataFrame, *values: str) -> DataFrame:
-    """Each flow once for either host, with its packets and bytes, summed per host and values before
-    anything is shuffled. A flow of a host with itself counts on both sides."""
-    sides = F.array(
+def _hosts() -> Column:
+    """Both hosts of a row: its source as sender, its target as receiver. Traffic of a host with itself counts twice."""
+    return F.array(
         F.struct(F.col("src_ip").alias("host_ip"), F.lit(0).alias("inc"), F.lit(1).alias("out")),
         F.struct(F.col("dst_ip").alias("host_ip"), F.lit(1).alias("inc"), F.lit(0).alias("out")),
     )
-    return flow_rows.withColumn("side", F.explode(sides)).select(
-        "interval_start", "interval_end", "side.host_ip", *values, F.col("n").alias("total"),
-        (F.col("n") * F.col("side.inc")).alias("inc"), (F.col("n") * F.col("side.out")).alias("out"), "bytes",
-    )
 
 
-def _totals() -> list[Column]:
-    names = {"total": "total_packets", "inc": "incoming_packets", "out": "outgoing_packets"}
-    return [F.sum(c).alias(name) for c, name in names.items()]
+def host_totals(packets: DataFrame, *, seconds: int = 60) -> DataFrame:
+    """The sums of host_stats without its distinct counts: one shuffle of one row per task, interval and host."""
+    size = F.coalesce("pkt_len", F.lit(0)).cast("bigint")
+    return (
+        packets.filter((F.col("src_ip") != "") & (F.col("dst_ip") != ""))
+        .select(_in_window(seconds).alias("w"), size.alias("bytes"), F.explode(_hosts()).alias("h"))
+        .groupBy("w", F.col("h")["host_ip"].alias("host_ip"))
+        .agg(
+            F.count(F.lit(1)).alias("total_packets"), F.sum("h.inc").alias("incoming_packets"),
+            F.sum("h.out").alias("outgoing_packets"), F.sum("bytes").alias("total_packets_size"),
+        )
+        .select(F.col("w")["start"].alias("interval_start"), F.col("w")["end"].alias("interval_end"), "host_ip",
+                "total_packets", "incoming_packets", "outgoing_packets", "total_packets_size")
+    )
 
 
 def host_stats_of_flows(flow_rows: DataFrame, *, approximate: bool = False) -> DataFrame:
@@ -58,28 +64,31 @@ def host_stats_of_flows(flow_rows: DataFrame, *, approximate: bool = False) -> D
     distinct counts, and the shuffle they need, for sketches.
     """
     where = ["interval_start", "interval_end", "host_ip"]
+    sides = flow_rows.withColumn("h", F.explode(_hosts())).select(
+        *where[:2], "h.*", "src_ip", "dst_port", "n", "bytes", (F.col("n") * F.col("h.inc")).alias("n_in")
+    )
     if approximate:
-        sides = _sides(flow_rows, "src_ip", "dst_port")
         return sides.groupBy(*where).agg(
-            *_totals(),
+            F.sum("n").alias("total_packets"), F.sum("n_in").alias("incoming_packets"),
+            F.sum(F.col("n") - F.col("n_in")).alias("outgoing_packets"),
             F.approx_count_distinct("src_ip").alias("unique_src_ips"),
             F.approx_count_distinct("dst_port").alias("unique_dst_ports"),
             F.sum("bytes").alias("total_packets_size"),
-        )
-    # Rows of (host, source) and of (host, port) are summed first: then a distinct value is a row. Both
-    # read packets and bytes, though one would do: so both use one shuffle of the flows.
-    by_source = _sides(flow_rows, "src_ip").groupBy(*where, "src_ip").agg(*[F.sum(c).alias(c) for c in ("inc", "out", "bytes")])
-    sources = by_source.groupBy(*where).agg(
-        F.sum("inc").alias("incoming_packets"), F.sum("out").alias("outgoing_packets"),
-        F.count(F.lit(1)).alias("unique_src_ips"), F.sum("bytes").alias("_bytes"),
-    )
-    by_port = _sides(flow_rows, "dst_port").groupBy(*where, "dst_port").agg(*[F.sum(c).alias(c) for c in ("total", "bytes")])
-    ports = by_port.groupBy(*where).agg(
-        F.sum("total").alias("total_packets"), F.count("dst_port").alias("unique_dst_ports"), F.sum("bytes").alias("_same")
+        )
+    # What a host notes, sources and ports alike, is summed first: then a distinct value is a row. The sums
+    # go with the sources; a port brings nothing but itself.
+    none = F.lit(0).cast("bigint")
+    noted = F.array(
+        F.struct(F.lit(True).alias("source"), F.col("src_ip").alias("value"), F.col("n"), F.col("n_in"), F.col("bytes")),
+        F.struct(F.lit(False).alias("source"), F.col("dst_port").cast("string").alias("value"), none.alias("n"), none.alias("n_in"), none.alias("bytes")),
+    )
+    values = sides.select(*where, F.explode(noted).alias("v")).groupBy(*where, "v.source", "v.value").agg(
+        *[F.sum(F.col("v")[c]).alias(c) for c in ("n", "n_in", "bytes")]
     )
-    return sources.join(ports, where).select(
-        *where, "total_packets", "incoming_packets", "outgoing_packets", "unique_src_ips", "unique_dst_ports",
-        F.greatest("_bytes", "_same").alias("total_packets_size"),
+    return values.groupBy(*where).agg(
+        F.sum("n").alias("total_packets"), F.sum("n_in").alias("incoming_packets"),
+        F.sum(F.col("n") - F.col("n_in")).alias("outgoing_packets"), F.count_if("source").alias("unique_src_ips"),
+        F.count(F.when(~F.col("source"), F.col("value"))).alias("unique_dst_ports"), F.sum("bytes").alias("total_packets_size"),
     )
 
 

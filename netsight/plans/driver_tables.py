@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netsight.operators import rollup
-from netsight.session import scratch_path
+from netsight.session import cut_lineage, scratch_path
 
 STATS_SECONDS = 600
 
@@ -85,6 +85,11 @@ def host_stats(spark: SparkSession, sf_dir: str, seconds: int = STATS_SECONDS) -
     return rollup.host_stats(packets(spark, sf_dir), seconds=seconds)
 
 
+def host_totals(spark: SparkSession, sf_dir: str, seconds: int = STATS_SECONDS) -> DataFrame:
+    """host_stats without its distinct counts, for the questions that need none."""
+    return rollup.host_totals(packets(spark, sf_dir), seconds=seconds)
+
+
 def stats_as_of(spark: SparkSession, sf_dir: str, seconds: int = STATS_SECONDS) -> dt.datetime:
     """End of the newest host_stats interval, from the packets' times alone."""
     newest = packets(spark, sf_dir).agg(F.max(F.window("ts", f"{seconds} seconds")["end"])).first()[0]
@@ -200,10 +205,21 @@ _TIME = {
 
 def stream(spark: SparkSession, sf_dir: str, name: str, *, parts: int = 4) -> DataFrame:
     """A test table as a stream of files, one after the other in time, one micro-batch each."""
-    rows, at = table(spark, sf_dir, name), F.expr(_TIME[name])
+    return stream_of(table(spark, sf_dir, name), F.expr(_TIME[name]), name, parts=parts)
+
+
+def stream_of(rows: DataFrame, at: Column, name: str, *, parts: int = 4) -> DataFrame:
+    """Rows as such a stream, by a whole number of seconds."""
+    spark = rows.sparkSession
     first, last = rows.agg(F.min(at), F.max(at)).first()
     path, width = scratch_path(spark, f"stream-{name}"), (last - first) // parts + 1
     for part in range(parts):
         inside = (at >= first + part * width) & (at < first + (part + 1) * width)
         rows.filter(inside).coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def stats_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """host_stats as a stream of files, by the end of the interval."""
+    rows = cut_lineage(host_stats(spark, sf_dir))
+    return stream_of(rows, F.expr("unix_seconds(timestamp(interval_end))"), name)

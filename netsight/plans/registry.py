@@ -22,7 +22,7 @@ from netsight.session import cut_lineage, scratch_path, ship_package
 from netsight.sources import csv, exports, tables
 from netsight.sources.schemas import ALERTS, TABLES
 from netsight.sources.tables import DAY
-from netsight.streaming import core, live
+from netsight.streaming import core, live, ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -37,6 +37,11 @@ def on_stats(op: Callable[..., DataFrame], **kw) -> Query:
     return lambda spark, sf_dir: op(T.host_stats(spark, sf_dir), as_of=T.stats_as_of(spark, sf_dir), **kw)
 
 
+def on_totals(op: Callable[..., DataFrame], **kw) -> Query:
+    """The operator over the sums of host_stats as of its newest interval."""
+    return lambda spark, sf_dir: op(T.host_totals(spark, sf_dir), as_of=T.stats_as_of(spark, sf_dir), **kw)
+
+
 def _pairs(alerts: DataFrame) -> DataFrame:
     return A.top_attack_pairs(alerts).withColumn("types_seen", F.array_join("types_seen", ","))
 
@@ -73,21 +78,21 @@ def batch_queries() -> dict[str, Query]:
         "quiet_periods": on(al, A.quiet_periods),
         "top_attack_pairs": on(al, _pairs),
         "recent_alerts": on(al, A.recent_alerts),
-        "top_bandwidth": on_stats(H.top_bandwidth),
-        "top_bandwidth_1000min": on_stats(H.top_bandwidth, minutes=1000),
-        "avg_pkt_size": on(hs, H.avg_packet_size),
-        "heavy_outgoing": on_stats(H.heavy_outgoing),
-        "heavy_outgoing_2x": on_stats(H.heavy_outgoing, factor=2, null_ratio_as_zero=False),
-        "heavy_outgoing_1h_2x": on_stats(H.heavy_outgoing, hours=1, factor=2, null_ratio_as_zero=False),
-        "heavy_outgoing_half": on_stats(H.heavy_outgoing, factor=0.5, null_ratio_as_zero=False),
-        "heavy_outgoing_1h_half": on_stats(H.heavy_outgoing, hours=1, factor=0.5, null_ratio_as_zero=False),
-        "heavy_outgoing_20h": on_stats(H.heavy_outgoing, hours=20),
+        "top_bandwidth": on_totals(H.top_bandwidth),
+        "top_bandwidth_1000min": on_totals(H.top_bandwidth, minutes=1000),
+        "avg_pkt_size": on(T.host_totals, H.avg_packet_size),
+        "heavy_outgoing": on_totals(H.heavy_outgoing),
+        "heavy_outgoing_2x": on_totals(H.heavy_outgoing, factor=2, null_ratio_as_zero=False),
+        "heavy_outgoing_1h_2x": on_totals(H.heavy_outgoing, hours=1, factor=2, null_ratio_as_zero=False),
+        "heavy_outgoing_half": on_totals(H.heavy_outgoing, factor=0.5, null_ratio_as_zero=False),
+        "heavy_outgoing_1h_half": on_totals(H.heavy_outgoing, hours=1, factor=0.5, null_ratio_as_zero=False),
+        "heavy_outgoing_20h": on_totals(H.heavy_outgoing, hours=20),
         "port_fan_out": on_stats(H.port_fan_out),
         "port_fan_out_12h": on_stats(H.port_fan_out, hours=12),
         "new_source_spike": on_stats(H.new_source_spike),
         "new_source_spike_10": on_stats(H.new_source_spike, min_jump=10),
-        "rolling_30m_packets": on_stats(H.rolling_packets),
-        "hourly_heatmap": on(hs, H.hourly_heatmap),
+        "rolling_30m_packets": on_totals(H.rolling_packets),
+        "hourly_heatmap": on(T.host_totals, H.hourly_heatmap),
         "packets_total": on(pk, P.packets_total),
         "packets_by_protocol": on(pk, P.packets_by_protocol),
         "avg_len_by_src": on(pk, P.avg_length_by_source),
@@ -340,9 +345,9 @@ def _long_packets(rows: DataFrame) -> DataFrame:
 
 def _detectors() -> list[S.Detector]:
     return [
-        lambda p: S.syn_flood_alerts(p, window_seconds=3600, threshold=1),
-        lambda p: S.url_alerts(p, _by_rule, "DecisionTree"),
-        lambda p: S.behaviour_alerts(p, _long_packets, "IsolationForest"),
+        S.flood_detector(window_seconds=3600, threshold=1),
+        S.url_detector(_by_rule, "DecisionTree"),
+        S.behaviour_detector(_long_packets, "IsolationForest"),
     ]
 
 
@@ -607,11 +612,32 @@ def _engine(which: str) -> Query:
     return run
 
 
+def _in_order(start: Callable, source: Callable[[SparkSession, str], DataFrame], *columns: str, **params) -> Query:
+    """Run a stream whose clock goes on beating until all that waited has been written."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        base = scratch_path(spark, start.__name__)
+        query = start(source(spark, sf_dir), f"{base}/out", f"{base}/state", f"{base}/check", idle_seconds=2, every="1 second", **params)
+        ordered.drained(spark, query, f"{base}/state")
+        rows = core.read_batches(spark, f"{base}/out")
+        return rows.select(*columns) if columns else rows
+
+    return run
+
+
 def streaming_queries() -> dict[str, Query]:
     al, pk = T.alerts_of, T.packets_of
     return {
         "ingest_stream": _streamed(live.ingest, "lineitem", T.raw_packets_of, plain=True),
         "host_stats_stream": _streamed(live.host_stats, "lineitem", pk),
+        "host_stats_idle_stream": _in_order(ordered.host_stats, lambda s, d: pk(T.stream(s, d, "lineitem"))),
+        "ddos_rolling_stream": _in_order(ordered.rolling_type_count, lambda s, d: al(T.stream(s, d, "events"))),
+        "rolling_30m_stream": _in_order(ordered.rolling_packets, lambda s, d: T.stats_stream(s, d, "rolling")),
+        "new_source_spike_stream": _in_order(
+            ordered.new_source_spike, lambda s, d: T.stats_stream(s, d, "spikes"),
+            "host_ip", "interval_start", "unique_src_ips", "prev_src_ips", "new_src_jump",
+        ),
+        "quiet_periods_stream": _in_order(ordered.quiet_periods, lambda s, d: al(T.stream(s, d, "events")), min_minutes=2),
         "syn_flood_stream": _streamed(live.syn_flood_windows, "lineitem", pk, plain=True,
                                       window_seconds=60, threshold=2),
         "syn_flood_alert_stream": _streamed(live.syn_flood_alerts, "lineitem", pk, state=True,
