@@ -4,76 +4,105 @@
 as long as the throttle. At most one row of a block passes, and which one depends only on the offset
 from which rows are allowed; the passing row's own offset is the one allowed from in the next block
 (0 if none passes). A block is therefore a step function on offsets, and after an empty block
-everything is allowed again, so every run of non-empty blocks stands alone. Inside a run, step
-functions of neighbours compose pairwise, level by level (up); then the offset each block starts from
-is handed back down (a parallel prefix scan). Every step is a window over two neighbours. At the top a
-run is one block, and everything is allowed at its start.
+everything is allowed again, so every run of non-empty blocks stands alone. Inside a run, the step
+functions of 16 neighbours become one, level by level (up): four rounds of pairs behind one shuffle. Then
+the offset each block starts from is handed back down (a parallel prefix scan): a group of 16 is walked
+through once in order, with the offset as the only thing to remember. At the top a run is one block,
+and everything is allowed at its start.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsight.functions.timefn import MICROS, floor_div, micros
-from netsight.session import cut_lineage
+from netsight.session import cut_lineage, ship_package
 
 SINGLE_KEY: tuple[str, ...] = ()
 
-# Every third level is stored: plans stay short, and few levels are computed twice.
-_STORED = 3
+#: Rounds of pairs behind one shuffle, and so blocks of a group.
+_ROUNDS = 4
+_FAN = 2**_ROUNDS
 
 _RUN = ["_key", "_run", "_len"]
-_PAIR = [*_RUN, "_pair"]
-
-
-def _looked_up() -> Column:
-    """For a probe row: value of the first step whose end is not below the probed offset."""
-    nearest = Window.partitionBy(*_PAIR).orderBy(F.desc("pos"), "probe").rowsBetween(Window.unboundedPreceding, 0)
-    return F.coalesce(F.last("value", ignorenulls=True).over(nearest), F.lit(0).cast("bigint"))
-
-
-def _paired(steps: DataFrame) -> DataFrame:
-    return steps.withColumn("_pair", floor_div(F.col("_idx"), 2))
+_GROUP = ["_key", "_run", "_group"]
+_PAIR = [*_RUN, "_group", "_pair"]
 
 
 def _compose(steps: DataFrame) -> DataFrame:
-    """Steps (_key, _run, _idx, upto, out) of blocks -> steps of pairs of blocks."""
+    """Steps (_RUN, _group, _idx, upto, out) of blocks -> steps of pairs of blocks, in the same partitions."""
     second = F.col("_idx") % 2 == 1
-    rows = _paired(steps).select(
-        *_PAIR,
-        "upto",
+    rows = steps.select(
+        *_RUN, "_group", floor_div(F.col("_idx"), 2).alias("_pair"), "upto",
         F.when(second, F.col("upto")).otherwise(F.col("out")).alias("pos"),
         F.when(second, F.col("out")).alias("value"),
         (~second).alias("probe"),
     )
-    joined = rows.withColumn("out", _looked_up()).filter("probe")
+    # For a probe row: value of the first step whose end is not below the probed offset.
+    nearest = Window.partitionBy(*_PAIR).orderBy(F.desc("pos"), "probe").rowsBetween(Window.unboundedPreceding, 0)
+    looked_up = F.coalesce(F.last("value", ignorenulls=True).over(nearest), F.lit(0).cast("bigint"))
+    joined = rows.withColumn("out", looked_up).filter("probe")
     next_out = F.lead("out").over(Window.partitionBy(*_PAIR).orderBy("upto"))
     return (
         joined.withColumn("_next", next_out)
         .filter(F.col("_next").isNull() | (F.col("_next") != F.col("out")))
-        .select(*_RUN, F.col("_pair").alias("_idx"), "upto", "out")
+        .select(*_RUN, "_group", F.col("_pair").alias("_idx"), "upto", "out")
     )
 
 
-def _hand_down(steps: DataFrame, entries: DataFrame, size: int) -> DataFrame:
-    """Entry offsets of pairs + steps of their halves, `size` blocks each -> entry offsets of the halves."""
-    first = _paired(steps).filter(F.col("_idx") % 2 == 0).select(
-        *_PAIR, F.col("upto").alias("pos"), F.col("out").alias("value"), F.lit(False).alias("probe")
-    )
+def _composed(steps: DataFrame) -> DataFrame:
+    """Steps of blocks -> steps of groups of blocks. A group's rows are dealt out once."""
+    rows = steps.withColumn("_group", floor_div(F.col("_idx"), _FAN)).repartition(*_GROUP)
+    for _ in range(_ROUNDS):
+        rows = _compose(rows)
+    return rows.select(*_RUN, F.col("_group").alias("_idx"), "upto", "out")
+
+
+def _walked(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows by group and block: first the offset a group starts from, then the steps of its blocks in order."""
+    entry, at, following = 0, None, 0
+    for frame in frames:
+        if not len(frame):
+            continue
+        idx, upto, out = (frame[c].to_numpy() for c in ("_idx", "upto", "out"))
+        same = np.ones(len(frame), bool)
+        for c in [*_GROUP, "_idx"]:
+            column = frame[c].to_numpy()
+            same[1:] &= column[1:] == column[:-1]
+        starts = np.flatnonzero(~same)
+        starts = np.concatenate([[0], starts[starts > 0]])
+        ends = np.append(starts[1:], len(frame))
+        found: list[tuple[int, int]] = []
+        for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
+            here = (*(frame[c].iat[a] for c in _GROUP), int(idx[a]))
+            if here[-1] < 0:
+                following, at = int(upto[a]), here
+                continue
+            if here != at:  # a block may go on over several frames
+                at, entry, following = here, following, None
+                found.append((a, entry))
+            if following is None:
+                place = a + int(np.searchsorted(upto[a:b], entry))
+                if place < b:
+                    following = int(out[place])
+        rows, entries = [f[0] for f in found], [f[1] for f in found]
+        yield frame[[*_RUN, "_idx"]].iloc[rows].assign(entry=np.array(entries, np.int64))
+
+
+def _hand_down(steps: DataFrame, entries: DataFrame) -> DataFrame:
+    """Entry offsets of groups + steps of their blocks -> entry offsets of the blocks."""
+    group, none = floor_div(F.col("_idx"), _FAN), F.lit(0).cast("bigint")
     given = entries.select(
-        *_RUN, F.col("_idx").alias("_pair"), F.col("entry").alias("pos"),
-        F.lit(None).cast("bigint").alias("value"), F.lit(True).alias("probe"),
-    )
-    both = first.unionByName(given).withColumn("after", _looked_up()).filter("probe")
-    halves = F.array(
-        F.struct((F.col("_pair") * 2).alias("_idx"), F.col("pos").alias("entry")),
-        F.struct((F.col("_pair") * 2 + 1).alias("_idx"), F.col("after").alias("entry")),
+        *_RUN, F.col("_idx").alias("_group"), F.lit(-1).cast("bigint").alias("_idx"), F.col("entry").alias("upto"), none.alias("out")
     )
-    found = both.select(*_RUN, F.explode(halves).alias("half")).select(*_RUN, "half.*")
-    return found.filter(F.col("_idx") * size < F.col("_len"))
+    rows = steps.select(*_RUN, group.alias("_group"), "_idx", "upto", "out").unionByName(given)
+    dealt = rows.repartition(*_GROUP).sortWithinPartitions(*_GROUP, "_idx", "upto")
+    return dealt.mapInPandas(_walked, "_key string, _run bigint, _len bigint, _idx bigint, entry bigint")
 
 
 def _run_entries(events: DataFrame, blocks: DataFrame, longest: int, width: int) -> DataFrame:
@@ -83,16 +112,12 @@ def _run_entries(events: DataFrame, blocks: DataFrame, longest: int, width: int)
     steps = events.join(runs, ["_key", "_block"]).select(*_RUN, index, F.col("_off").alias("upto"), F.col("_off").alias("out"))
     ends = runs.select(*_RUN, index, F.lit(width).cast("bigint").alias("upto"), F.lit(0).cast("bigint").alias("out"))
     levels = [cut_lineage(steps.unionByName(ends))]
-    while 2 ** (len(levels) - 1) < longest:
-        level = _compose(levels[-1])
-        levels.append(cut_lineage(level) if len(levels) % _STORED == 0 else level)
-    levels.pop()
+    while _FAN ** len(levels) < longest:
+        levels.append(cut_lineage(_composed(levels[-1])))
     zero = F.lit(0).cast("bigint")
     entries = runs.select(*_RUN).distinct().select(*_RUN, zero.alias("_idx"), zero.alias("entry"))
-    for level in reversed(range(len(levels))):
-        entries = _hand_down(levels[level], entries, 2**level)
-        if level % _STORED == 0:
-            entries = cut_lineage(entries)
+    for level in reversed(levels):
+        entries = cut_lineage(_hand_down(level, entries))
     return entries.select("_key", (F.col("_run") + F.col("_idx")).alias("_block"), "entry")
 
 
@@ -110,6 +135,7 @@ def throttle(
     Of rows with the same key and time the first by `ties` (default: all columns) can pass.
     `last_sent` (the keys and `last_ts`) carries what passed earlier, see the streaming form.
     """
+    ship_package(rows.sparkSession)
     width = int(seconds * MICROS)
     columns = rows.columns
     key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}) if keys else F.lit("")

@@ -1,0 +1,37 @@
+"""Long runs of blocks against the plain chain, whatever the Arrow batches."""
+
+import random
+
+import pytest
+
+from netsight.operators import throttle
+
+
+def plain(times, width):
+    sent, last = [], None
+    for t in sorted(set(times)):
+        if last is None or t - last >= width:
+            sent.append(t)
+            last = t
+    return sent
+
+
+@pytest.mark.parametrize("batch", ["5", "10000"])
+@pytest.mark.parametrize("spread", [0.2, 3.0, 12.0])
+def test_long_runs(spark, at, batch, spread):
+    r = random.Random(spread)
+    times, t = [], 0.0
+    for _ in range(2500):
+        t += r.choice([r.random() * spread, 0.000001, 0.0, r.random() * spread])
+        times.append(round(t, 6))
+    rows = at([(t, r.choice("ab")) for t in times], "k string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        found = throttle.throttle(rows, seconds=5).collect()
+        keyed = throttle.throttle(rows, seconds=5, keys=["k"]).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted(round(at.seconds(x.ts), 6) for x in found) == plain(times, 5)
+    by_key = {k: [round(at.seconds(x.ts), 6) for x in rows.collect() if x.k == k] for k in "ab"}
+    for k, own in by_key.items():
+        assert sorted(round(at.seconds(x.ts), 6) for x in keyed if x.k == k) == plain(own, 5)
