@@ -3,9 +3,13 @@
 The pages of a host are merged: elements with the same path of tags, classes and ids are one style node.
 A node's importance joins how many different rows of children it has over the pages, and how much the
 texts below it differ; templates are alike from page to page, content is not. Branches of low importance
-are removed. Menus and footers that vary from page to page would look like content, so that elements
-whose tag, class, id or role names them are removed too, and where a page marks its article, the article
-is what remains.
+are removed, on every page. Menus and footers that vary from page to page would look like content, so that
+elements whose tag, class, id or role names them are removed too. A marked article (<article>, <main>)
+weighs: inside it only branches of next to no importance go, and it is the main text where it holds the
+larger part of what remains.
+
+Pages are parsed twice, first for the counts, then beside the removed nodes of their host, so that only
+the pages themselves are shuffled, and no parsed page is stored.
 """
 
 from __future__ import annotations
@@ -55,7 +59,8 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 SPACE = re.compile(r"[\s ]+")
 
-LEAST_PAGES, LOW = 3, 0.15
+#: Pages on which a style node must be; importance below which it goes; and below which it goes in a marked article.
+LEAST_PAGES, LOW, LOW_INSIDE = 3, 0.15, 0.05
 SALTS = 16
 
 
@@ -192,46 +197,57 @@ def _name(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode(), 0) - (1 << 63)
 
 
-def _parsed(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
-    """(key, url, host, blocks, elements) of every page; paths, texts and rows of children as hashes too."""
-    rows = pages.select(
+class _Nodes:
+    """The hashes of a path's style nodes, from the page down."""
+
+    def __init__(self):
+        self.known: dict[str, tuple[int, ...]] = {}
+
+    def __call__(self, path: str) -> tuple[int, ...]:
+        if path not in self.known:
+            if len(self.known) > 1 << 16:
+                self.known.clear()
+            cut = path.split("/")
+            self.known[path] = tuple(_name("/".join(cut[: k + 1])) for k in range(1, len(cut)))
+        return self.known[path]
+
+
+def _pages(pages: DataFrame, key: str, url: str, html: str) -> DataFrame:
+    return pages.select(
         F.col(key).alias("key"), F.col(url).alias("url"), host_of(F.col(url)).alias("host"),
         F.coalesce(F.col(html), F.lit("")).cast("binary").alias("html"),
     )
-    block = pa.struct([("nodes", pa.list_(pa.int64())), ("content", pa.int64()), ("text", pa.string()), ("inside", pa.bool_())])
-    element = pa.struct([("node", pa.int64()), ("row", pa.int64())])
-    schema = (
-        f"key {rows.schema['key'].dataType.simpleString()}, url string, host string, "
-        "blocks array<struct<nodes:array<bigint>,content:bigint,text:string,inside:boolean>>, "
-        "elements array<struct<node:bigint,row:bigint>>"
-    )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names: dict[str, tuple[int, ...]] = {}
 
-        def nodes(path: str) -> tuple[int, ...]:
-            if path not in names:
-                if len(names) > 1 << 16:
-                    names.clear()
-                cut = path.split("/")
-                names[path] = tuple(_name("/".join(cut[: k + 1])) for k in range(1, len(cut)))
-            return names[path]
+def _outlines(rows: DataFrame) -> DataFrame:
+    """(host, blocks, elements) of every page: paths, texts and rows of children as hashes."""
+    block = pa.struct([("nodes", pa.list_(pa.int64())), ("content", pa.int64())])
+    element = pa.struct([("node", pa.int64()), ("row", pa.int64())])
+    schema = "host string, blocks array<struct<nodes:array<bigint>,content:bigint>>, elements array<struct<node:bigint,row:bigint>>"
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = _Nodes()
         for batch in batches:
             all_blocks, all_elements = [], []
             for (data,) in rows_of([batch], "html"):
                 blocks, elements = parse(data.decode())
-                all_blocks.append([{"nodes": nodes(p), "content": _name(t), "text": t, "inside": i} for p, t, i in blocks])
+                all_blocks.append([{"nodes": nodes(p), "content": _name(t)} for p, t, _ in blocks])
                 all_elements.append([{"node": n[-1], "row": _name(r)} for p, r in set(elements) if (n := nodes(p))])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *(batch.column(batch.schema.get_field_index(c)) for c in ("key", "url", "host")),
-                    pa.array(all_blocks, pa.list_(block)), pa.array(all_elements, pa.list_(element)),
-                ],
-                ["key", "url", "host", "blocks", "elements"],
-            )
+            columns = [batch.column("host"), pa.array(all_blocks, pa.list_(block)), pa.array(all_elements, pa.list_(element))]
+            yield pa.RecordBatch.from_arrays(columns, ["host", "blocks", "elements"])
+
+    return rows.select("host", "html").mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, schema)
+
+def chosen(blocks: list[tuple[tuple[int, ...], str, bool]], low: set[int], least: set[int]) -> list[str]:
+    """The texts that make the main text, of (nodes, text, in a marked article): low are the unimportant nodes,
+    least those of next to no importance. If that takes more than half of a marked article, the article itself
+    repeats on its host, as near copies do, and stays whole."""
+    inside = [(t, not least.intersection(n)) for n, t, marked in blocks if marked]
+    whole = 2 * sum(len(t) for t, good in inside if good) < sum(len(t) for t, _ in inside)
+    kept = [(t, m) for n, t, m in blocks if (whole or not least.intersection(n) if m else not low.intersection(n))]
+    marked = sum(len(t) for t, m in kept if m)
+    return [t for t, m in kept if m or 2 * marked <= sum(len(t) for t, _ in kept)]
 
 
 def _variety(counted: DataFrame, by: list[str], name: str) -> DataFrame:
@@ -243,19 +259,17 @@ def _variety(counted: DataFrame, by: list[str], name: str) -> DataFrame:
     return total.select(*by, "pages", "kinds", F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), entropy)).otherwise(1.0).alias(name))
 
 
-def unimportant(parsed: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
-    """(host, node): the style nodes of a host, on some pages at least, whose importance is low.
+def unimportant(outlines: DataFrame, least_pages: int = LEAST_PAGES, low: float = LOW) -> DataFrame:
+    """(host, node, importance): the style nodes of a host, on some pages at least, whose importance is low.
 
     importance = (1 - 0.9^l) * variety of the node's rows of children + 0.9^l * mean variety of the texts
     below it, l the number of different rows. Pages of a host with the same blocks count once: copies of
     a page tell nothing about its template.
     """
-    alike = F.transform("blocks", lambda b: F.struct(b["nodes"], b["content"]))
-    layout = F.array_sort("elements")
-    seen = parsed.select("host", alike.alias("blocks"), layout.alias("elements"))
+    seen = outlines.select("host", "blocks", F.array_sort("elements").alias("elements"))
     page = [F.xxhash64("blocks").alias("p"), F.xxhash64(F.lit(1), "blocks").alias("q")]
     once = seen.select("host", *page, F.struct(F.xxhash64("elements").alias("layout"), "blocks", "elements").alias("page"))
-    pages = once.groupBy("host", "p", "q").agg(F.min("page").alias("page")).select("host", "page.blocks", "page.elements")
+    pages = cut_lineage(once.groupBy("host", "p", "q").agg(F.min("page").alias("page")).select("host", "page.blocks", "page.elements"))
     blocks = pages.select("host", F.explode(F.array_distinct("blocks")).alias("b"))
     texts = blocks.groupBy("host", F.col("b.nodes").alias("nodes"), F.col("b.content").alias("kind")).agg(F.count("*").alias("n"))
     leaves = _variety(texts, ["host", "nodes"], "differ").where(F.size("nodes") > 0)
@@ -269,33 +283,37 @@ def unimportant(parsed: DataFrame, least_pages: int = LEAST_PAGES, low: float =
     share = F.pow(F.lit(0.9), F.coalesce("kinds", F.lit(0)))
     importance = (1 - share) * F.coalesce("vary", F.lit(0.0)) + share * F.col("differ")
     joined = content.join(styles, ["host", "node"], "left").withColumn("importance", importance)
-    return joined.where((F.col("pages") >= least_pages) & (F.col("importance") < low)).select("host", "node")
+    return joined.where((F.col("pages") >= least_pages) & (F.col("importance") < low)).select("host", "node", "importance")
 
 
 def main_texts(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars) of every page: its blocks in page order, two line ends between them.
 
-    A page with an <article> or <main> keeps the blocks in it; of another page, the blocks below no
-    unimportant style node of its host. A block's white space is one space. Null and empty pages, and
-    pages without text, have an empty text; a null url, or one without a host, belongs to the host ''.
-    Every row gives a row, whatever its key.
+    Blocks below an unimportant style node of the page's host go; of the others, those in a marked article are
+    the text if they are the larger part, else all. A block's white space is one space. Null and empty
+    pages, and pages without text, have an empty text; a null url, or one without a host, belongs to the
+    host ''. Every row gives a row, whatever its key. An empty table gives an empty one.
     """
     ship_package(pages.sparkSession)
-    parsed = cut_lineage(_parsed(pages, key, url, html))
-    # A marked article does not depend on the host: only the other pages' blocks are shuffled.
-    marked = F.exists("blocks", lambda b: b["inside"])
-    article = F.filter("blocks", lambda b: b["inside"])
-    articles = parsed.where(marked).select("key", "url", article.alias("kept"))
-    removed = unimportant(parsed).groupBy("host").agg(F.collect_list("node").alias("removed"))
+    rows = _pages(pages, key, url, html)
+    node = F.struct("node", (F.col("importance") < LOW_INSIDE).alias("least"))
+    removed = cut_lineage(unimportant(_outlines(rows)).groupBy("host").agg(F.collect_list(node).alias("removed")))
     # A host may have any number of pages: each salt has the row to join.
-    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    removed = removed.select("host", "removed", salts.alias("salt"))
-    others = parsed.where(~marked).select("key", "url", "host", "blocks")
-    salted = others.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"))
-    joined = salted.join(removed, ["host", "salt"], "left")
-    important = F.when(F.col("removed").isNull(), F.col("blocks")).otherwise(
-        F.filter("blocks", lambda b: ~F.arrays_overlap(b["nodes"], F.col("removed")))
-    )
-    rows = articles.unionByName(joined.select("key", "url", important.alias("kept")))
-    text = F.array_join(F.transform("kept", lambda b: b["text"]), "\n\n")
-    return rows.select(F.col("key").alias(key), "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("bigint"))
+    removed = removed.select("host", "removed", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("key", "url"), F.lit(SALTS)).cast("int"))
+    joined = salted.join(removed, ["host", "salt"], "left").select(
+        "key", "url", "html", F.transform("removed", lambda r: r["node"]).alias("low"),
+        F.transform(F.filter("removed", lambda r: r["least"]), lambda r: r["node"]).alias("least"),
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes = _Nodes()
+        for batch in batches:
+            texts = []
+            for data, low, least in rows_of([batch], "html", "low", "least"):
+                blocks, _ = parse(data.decode())
+                texts.append("\n\n".join(chosen([(nodes(p), t, m) for p, t, m in blocks], set(low or ()), set(least or ()))))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("url"), pa.array(texts, pa.string())], ["key", "url", "text"])
+
+    found = joined.mapInArrow(run, f"key {rows.schema['key'].dataType.simpleString()}, url string, text string")
+    return found.select(F.col("key").alias(key), "url", "text", F.length("text").cast("bigint").alias("n_chars"))

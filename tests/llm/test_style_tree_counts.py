@@ -1,0 +1,94 @@
+"""The style tree against its definition in plain Python, and what it decides on marked and unmarked pages."""
+
+import collections
+import math
+import random
+
+import pytest
+
+from netsight.llm import style_tree
+
+
+def texts(spark, pages):
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string")
+    return {r.page_id: r.text for r in style_tree.main_texts(rows).collect()}
+
+
+def entropy(counts):
+    total = sum(counts)
+    return 1.0 if total < 2 else max(0.0, -sum(c / total * math.log(c / total) for c in counts) / math.log(total))
+
+
+def plain_unimportant(pages, low):
+    """(host, path) with its importance; pages: (host, html)."""
+    out = {}
+    hosts = collections.defaultdict(dict)
+    for host, page in pages:
+        blocks, elements = style_tree.parse(page)
+        key = tuple((p, t) for p, t, _ in blocks)
+        hosts[host].setdefault(key, (blocks, []))[1].append(frozenset(elements))
+    for host, found in hosts.items():
+        leaves, below, rows = collections.defaultdict(collections.Counter), collections.defaultdict(list), collections.defaultdict(collections.Counter)
+        for blocks, layouts in found.values():
+            for path, text in {(p, t) for p, t, _ in blocks}:
+                leaves[path][text] += 1
+            for path, row in layouts[0]:
+                rows[path][row] += 1
+        for path, counts in leaves.items():
+            cut = path.split("/")
+            for k in range(1, len(cut)):
+                below["/".join(cut[: k + 1])].append((sum(counts.values()), entropy(list(counts.values()))))
+        for path, parts in below.items():
+            n, pages_on = sum(p for p, _ in parts), max(p for p, _ in parts)
+            differ = sum(p * e for p, e in parts) / n
+            share = 0.9 ** len(rows[path])
+            importance = (1 - share) * (entropy(list(rows[path].values())) if rows[path] else 0.0) + share * differ
+            if pages_on >= style_tree.LEAST_PAGES and importance < low:
+                out[host, style_tree._name(path)] = importance
+    return out
+
+
+def pages_of(r, n, marked):
+    made = []
+    for i in range(n):
+        body = "".join(f"<p>{' '.join(r.choice('abcdefgh') * 3 for _ in range(12))} {i}.{k}</p>" for k in range(r.randint(2, 5)))
+        body += "<div class='box7'><span>Read this before you go on.</span></div>" * (r.random() < 0.9)
+        top = "<div class='top9'>Home and news</div>"
+        page = f"<article>{body}</article>" if marked else f"<div class='story'>{body}</div>"
+        made.append(f"<html><body>{top}{page}<div class='end'>All rights kept</div></body></html>")
+    return made
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_importance_by_definition(spark, marked):
+    r = random.Random(marked)
+    pages = [("a.org", p) for p in pages_of(r, 12, marked)] + [("b.org", p) for p in pages_of(r, 4, not marked)]
+    pages += pages[:2] * 3 + [("c.org", "<p>alone</p>")]
+    rows = spark.createDataFrame([(i, f"http://{h}/{i}", p) for i, (h, p) in enumerate(pages)], "page_id long, url string, html string")
+    outlines = style_tree._outlines(style_tree._pages(rows, "page_id", "url", "html"))
+    found = {(x.host, x.node): x.importance for x in style_tree.unimportant(outlines, low=2.0).collect()}
+    assert found == pytest.approx(plain_unimportant(pages, 2.0))
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_what_a_host_repeats_goes_and_stories_stay(spark, marked):
+    pages = pages_of(random.Random(5), 10, marked)
+    found = texts(spark, [(i, f"http://a.org/{i}", p) for i, p in enumerate(pages)])
+    for i, page in enumerate(pages):
+        own = [t for _, t, _ in style_tree.parse(page)[0] if t.endswith(tuple(f"{i}.{k}" for k in range(5)))]
+        assert found[i] == "\n\n".join(own)
+
+
+def test_a_teaser_is_not_the_article(spark):
+    story = "".join(f"<p>Paragraph {k} of the story, which goes on for a while.</p>" for k in range(8))
+    page = f"<body><div class='story'>{story}</div><article class='teaser'><p>Another story teaser</p></article></body>"
+    (text,) = texts(spark, [(1, "http://a.org/", page)]).values()
+    assert text.startswith("Paragraph 0") and "Paragraph 7" in text
+
+
+def test_near_copies_of_an_article_stay_whole(spark):
+    words = [f"<p>{' '.join(f'w{k}{j}' for j in range(30))}</p>" for k in range(6)]
+    page = "<html><body><article><h1>One title</h1>{}</article></body></html>"
+    pages = [(i, "http://a.org/x", page.format("".join(words).replace("w00 ", f"v{i} "))) for i in range(40)]
+    found = texts(spark, pages)
+    assert all("w529" in t and f"v{i} " in t for i, t in found.items())
