@@ -30,8 +30,11 @@ REPORTING = frozenset(
     "sagte sagt nannte schrieb zitat wort wörter".split()
 )
 AROUND = 4
-#: Bounds of what is learned from: labelled texts, and entries of the lexicon.
-MOST_TEXTS, MOST_ENTRIES = 20_000, 2_000
+#: Labelled texts that are learned from, at most.
+MOST_TEXTS = 20_000
+#: An entry of the lexicon occurs in so many toxic texts, and surely (by so many standard errors of the
+#: logarithm of the quotient) so many times as often as in clean ones.
+SUPPORT, SURE, LIFT = 4, 1.0, 10.0
 STEMS = range(4, 8)
 KNOWN = 1 << 19
 KINDS = ("term", "near_term", "stem", "near_stem")
@@ -113,10 +116,11 @@ def _quoted(text: str, first: int, last: int) -> bool:
 def hits(text: str, kinds: dict[str, int]) -> list[float]:
     """Per kind the abusive hits, then the reported ones, then the number of words. kinds: of known words."""
     found = [0] * (len(KINDS) + 1)
-    words = WORD.findall(text.lower())
+    given = WORD.findall(text)  # lower-casing a whole text could move places and cut words
+    words = [w.lower() for w in given]
     places = [i for i, w in enumerate(words) if kinds[w]]
     if places:
-        spans = [m.span() for m in WORD.finditer(text.lower())]
+        spans = [m.span() for m in WORD.finditer(text)]
         for i in places:
             near = words[max(0, i - AROUND) : i + AROUND + 1]
             reported = _quoted(text, *spans[i]) or any(w in REPORTING for w in near)
@@ -144,7 +148,7 @@ def _entry_counts(labelled: DataFrame) -> DataFrame:
             return made
 
         for text, toxic in rows_of(batches, "text", "toxic"):
-            words = set(WORD.findall(text.decode().lower()))
+            words = {w.lower() for w in WORD.findall(text.decode())}
             seen = {(w, False) for w in words} | {(w[:n], True) for w in words for n in STEMS if len(w) > n}
             counts[int(toxic)].update(seen)
             if len(counts[0]) + len(counts[1]) > 1 << 20:
@@ -158,16 +162,19 @@ def _entry_counts(labelled: DataFrame) -> DataFrame:
 def learn_lexicon(labelled: DataFrame) -> tuple[list[str], list[str]]:
     """Terms and stems that are far more frequent in toxic texts than in clean ones.
 
-    An entry must occur in 1 % of the toxic texts (four at least), and twenty times as often as in clean
-    ones. A stem must stand for several words; longer stems and terms that a stem covers are left out.
+    An entry must occur in SUPPORT toxic texts, and by a lower confidence bound LIFT times as often as in clean
+    ones, however many texts are taught. A stem must stand for several words; longer stems and terms that
+    a stem covers are left out. The entries are words of at most MOST_TEXTS texts.
     """
     n_toxic, n_clean = (labelled.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first() or (0, 0))[:2]
     if not n_toxic:
         return [], []
     counts = _entry_counts(labelled)
-    lift = (F.col("toxic") / n_toxic) / ((F.col("clean") + 0.5) / ((n_clean or 0) + 1))
-    strong = counts.where((F.col("toxic") >= max(4, 0.01 * n_toxic)) & (lift >= 20))
-    rows = strong.orderBy(F.desc("toxic"), "entry", "stem").limit(MOST_ENTRIES).collect()
+    clean = F.col("clean") + 0.5
+    lift = F.log(F.col("toxic") / n_toxic) - F.log(clean / ((n_clean or 0) + 1))
+    error = F.sqrt(1 / F.col("toxic") - 1 / n_toxic + 1 / clean - 1 / ((n_clean or 0) + 1))
+    strong = counts.where((F.col("toxic") >= SUPPORT) & (lift - SURE * error >= math.log(LIFT)))
+    rows = strong.orderBy(F.desc("toxic"), "entry", "stem").collect()
     terms = {r["entry"]: r["toxic"] for r in rows if not r["stem"]}
     stems: list[str] = []
     for r in sorted((r for r in rows if r["stem"]), key=lambda r: (len(r["entry"]), r["entry"])):
@@ -192,7 +199,7 @@ def features(docs: DataFrame, key: str, text: str, lexicon: tuple[list[str], lis
                 body = data.decode()
                 if len(known) > KNOWN:
                     known = {}
-                for word in set(WORD.findall(body.lower())).difference(known):
+                for word in {w.lower() for w in WORD.findall(body)}.difference(known):
                     known[word] = automaton.match(word)
                 found.append(hits(body, known))
             columns = [pa.array(c, pa.int64()) for c in zip(*found, strict=True)] or [pa.array([], pa.int64())] * len(names)
@@ -237,7 +244,8 @@ def toxicity(
     """(key, held_out, score, predicted, hits of each kind) of every row.
 
     held_out rows, those whose crc32(key as text) is divisible by `held`, teach nothing. Of the others'
-    labels, MOST_TEXTS by hash of the key teach the lexicon and the regression; a key with several labels
+    labels, MOST_TEXTS by hash of the key teach the lexicon and the regression; of a key with several texts the
+    regression sees the mean; a key with several labels
     is toxic if one says so; null labels and labels without a text are passed over. With no label, or of
     one kind only, the score is the share of toxic texts taught. A null text is empty, and an empty text
     scores like one without hits. A null key is held out. Repeated rows each give a row.
@@ -251,7 +259,11 @@ def toxicity(
     labelled = cut_lineage(texts.join(taught, "of").dropDuplicates(["of", "text"]))
     lexicon = learn_lexicon(labelled)
     counted = cut_lineage(features(docs, key, text, lexicon))
-    own = counted.withColumnRenamed("key", "of").join(taught, "of").dropDuplicates().select("toxic", *_inputs()).toPandas().to_numpy(float)
+    # Each label has one vote, shared by the texts that bear its key; a table of bounded size comes here.
+    bearing = counted.withColumnRenamed("key", "of").join(taught, "of").groupBy("of", "toxic").agg(
+        *[F.avg(F.col(n).cast("double")).alias(n) for n in (*KINDS, "reported", "n_words")]
+    )
+    own = bearing.select("toxic", *_inputs()).toPandas().to_numpy(float)
     own = own[np.lexsort(own.T)]  # sums of floats depend on their order
     if len(own) and 0 < own[:, 0].sum() < len(own):
         w = regression(own[:, 1:], own[:, 0]).tolist()
