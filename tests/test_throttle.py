@@ -16,8 +16,7 @@ def plain(times, width):
     return sent
 
 
-@pytest.mark.parametrize("batch", ["5", "10000"])
-@pytest.mark.parametrize("spread", [0.2, 3.0, 12.0])
+@pytest.mark.parametrize("batch,spread", [("5", 0.2), ("7", 12.0), ("10000", 3.0)])
 def test_long_runs(spark, at, batch, spread):
     r = random.Random(spread)
     times, t = [], 0.0
