@@ -25,6 +25,10 @@ from netsight.session import ship_package
 PRETOKEN = re.compile(rb" ?[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+")
 #: A task forgets the pre-tokens it has counted when it knows so many.
 KNOWN = 1 << 20
+#: Longer pre-tokens share no prefixes worth a trie level of array calls per byte; they are cut one by one.
+LONG = 256
+#: Bytes of a long pre-token whose tokens are looked up at a time.
+PIECE = 1 << 16
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 
 
@@ -66,6 +70,17 @@ class Unigram:
         total = float(np.log((1 / (np.arange(len(ranks)) + 1.0)).sum()))
         return cls.of({t: -float(np.log(rank + 1.0)) - total for t, rank in ranks.items()})
 
+    @cached_property
+    def longest(self) -> int:
+        """The bytes of the longest token."""
+        level, length = np.zeros(1, np.int64), 0
+        while len(level):
+            first, last = np.searchsorted(self.keys, level << 8), np.searchsorted(self.keys, (level + 1) << 8)
+            many = last - first
+            level = self.states[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first, many)]
+            length += 1
+        return length - 1
+
     @cached_property
     def roots(self) -> np.ndarray:
         return self.step(np.zeros(256, np.int64), np.arange(256))
@@ -79,6 +94,53 @@ class Unigram:
 
 def count_tokens(words: list[bytes], model: Unigram) -> np.ndarray:
     """The number of tokens in the most probable cut of each word (of equal ones, the fewest tokens)."""
+    if not any(len(w) > LONG for w in words):
+        return _count_on_trie(words, model)
+    out = np.fromiter((_count_long(w, model) if len(w) > LONG else 0 for w in words), np.int64, len(words))
+    short = [i for i, w in enumerate(words) if len(w) <= LONG]
+    out[short] = _count_on_trie([words[i] for i in short], model)
+    return out
+
+
+def _tokens_at(buffer: np.ndarray, n: int, model: Unigram) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, length, score) of the tokens that begin at one of the first n bytes, by start."""
+    starts, state = np.arange(n), model.roots[buffer[:n]]
+    found, length = [], 1
+    while len(starts):
+        score = model.scores[state]
+        ends = np.flatnonzero(np.isfinite(score))
+        found.append((starts[ends], np.full(len(ends), length), score[ends]))
+        inside = starts + length < len(buffer)
+        starts, state = starts[inside], state[inside]
+        state = model.step(state, buffer[starts + length].astype(np.int64))
+        starts, state, length = starts[state >= 0], state[state >= 0], length + 1
+    start, size, score = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.argsort(start, kind="stable")
+    return start[order], size[order], score[order]
+
+
+def _count_long(word: bytes, model: Unigram) -> int:
+    """The same number for one word, in work that grows with its length and the tokens that begin at a byte.
+
+    The scores of a trie's nodes on one path are those of the word's prefixes; only as many of them are
+    kept as the longest token reaches ahead.
+    """
+    nothing = (-np.inf, 0)
+    ahead = [(0.0, 0)] + [nothing] * model.longest  # best (score, -tokens) of the prefixes from here on
+    for first in range(0, len(word), PIECE):
+        n = min(PIECE, len(word) - first)
+        reach = np.frombuffer(word, np.uint8, min(n + model.longest, len(word) - first), first)
+        best = ahead + [nothing] * n
+        for start, size, score in zip(*(c.tolist() for c in _tokens_at(reach, n, model)), strict=True):
+            total, fewer = best[start]
+            cut = (total + score, fewer - 1)
+            if cut > best[start + size]:
+                best[start + size] = cut
+        ahead = best[n:]
+    return -ahead[0][1]
+
+
+def _count_on_trie(words: list[bytes], model: Unigram) -> np.ndarray:
     order = sorted(range(len(words)), key=words.__getitem__)
     lengths = np.fromiter((len(words[i]) for i in order), np.int64, len(words))
     buffer = np.frombuffer(b"".join(words[i] for i in order), np.uint8)
@@ -129,7 +191,8 @@ def token_counts(docs: DataFrame, model: Unigram, key: str = "doc_id", text: str
     """(key, n_bytes, n_pretokens, n_tokens) of every row; a null or empty text has none of them.
 
     Each task counts a distinct pre-token once (again only when it knows over a million others), so that
-    nothing is shuffled. Repeated rows and null keys each give a row.
+    nothing is shuffled. Repeated rows and null keys each give a row. A pre-token of over 256 bytes, as in
+    a very long run without blanks, is cut on its own, byte by byte, and not remembered.
     """
     ship_package(docs.sparkSession)
     rows = as_bytes(docs, key, text)
@@ -146,6 +209,7 @@ def token_counts(docs: DataFrame, model: Unigram, key: str = "doc_id", text: str
                     known = {}
                     fresh = list({w for words in part for w in words})
                 known.update(zip(fresh, count_tokens(fresh, model).tolist(), strict=True))
+                long = [w for w in fresh if len(w) > LONG]
                 sizes = [len(t.as_py()) for t in texts[at : at + 512]]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -155,6 +219,8 @@ def token_counts(docs: DataFrame, model: Unigram, key: str = "doc_id", text: str
                     ],
                     ["key", "n_bytes", "n_pretokens", "n_tokens"],
                 )
+                for word in long:
+                    del known[word]
 
     counted = rows.mapInArrow(run, f"key {kind}, n_bytes bigint, n_pretokens bigint, n_tokens bigint")
     return counted.select(F.col("key").alias(key), "n_bytes", "n_pretokens", "n_tokens")

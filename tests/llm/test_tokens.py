@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 from hypothesis import given
@@ -34,6 +35,36 @@ def test_trie_agrees_with_one_word_at_a_time(words, seed):
     assert tokens.count_tokens(words, tokens.Unigram.of(scores)).tolist() == [plainly(w, scores) for w in words]
 
 
+@given(st.lists(st.text("abc \n", max_size=60).map(str.encode), max_size=8), st.integers(0, 5), st.integers(1, 9), st.integers(0, 12))
+def test_long_words_agree_in_pieces_of_any_size(words, seed, piece, long):
+    scores, kept = model(seed), (tokens.PIECE, tokens.LONG)
+    words = list(dict.fromkeys(words))
+    try:
+        tokens.PIECE, tokens.LONG = piece, long
+        found = tokens.count_tokens(words, tokens.Unigram.of(scores)).tolist()
+    finally:
+        tokens.PIECE, tokens.LONG = kept
+    assert found == [plainly(w, scores) for w in words]
+
+
+def test_longest_token():
+    assert tokens.Unigram.of({bytes([b]): -1.0 for b in range(256)} | {b"abcd": -2.0, b"bc": -2.0}).longest == 4
+    assert tokens.Unigram.from_ranks().longest == 128
+
+
+def test_a_run_of_five_million_bytes_without_a_blank(documents):
+    r = random.Random(3)
+    run = "data:" + "".join(r.choices("ABCDEFabcdef0123456789+/", k=5_000_000)) + "=" * 2000
+    unigram = tokens.Unigram.from_ranks()
+    begun = time.perf_counter()
+    whole = int(tokens.count_tokens([run.encode()], unigram)[0])
+    assert time.perf_counter() - begun < 20
+    (row,) = tokens.token_counts(documents([(1, run, "a")]), unigram).collect()
+    assert (row.n_bytes, row.n_pretokens, row.n_tokens) == (len(run), 1, whole)
+    part = run[:3000].encode()
+    assert tokens.count_tokens([part], unigram).tolist() == tokens._count_on_trie([part], unigram).tolist()
+
+
 def test_equal_scores_take_the_fewest_tokens():
     scores = {bytes([b]): -1.0 for b in range(256)} | {b"ab": -2.0, b"abc": -3.0}
     assert tokens.count_tokens([b"abc", b"ab", b"abcab"], tokens.Unigram.of(scores)).tolist() == [1, 1, 2]
