@@ -9,7 +9,7 @@ WORDS = "regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')"
 
 CONTAMINATION = f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS w FROM documents),
-items AS (SELECT item_id, {TERMS} AS w FROM benchmark),
+items AS (SELECT row_number() OVER () AS k, item_id, {TERMS} AS w FROM benchmark),
 windows AS (
   SELECT DISTINCT item_id, w[i : i + least(10, len(w)) - 1] AS win
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS i FROM items WHERE len(w) > 0)
@@ -25,10 +25,33 @@ named AS (
   SELECT r, count(DISTINCT item_id) AS n_items,
     array_to_string(list_sort(list(DISTINCT cast(item_id AS varchar))), ',') AS ids
   FROM hits GROUP BY r
-)
+),
+item_words AS (
+  SELECT k, len(w) AS n, unnest(range(1, len(w) + 1)) AS j, unnest(w) AS t FROM items WHERE len(w) >= 10
+),
+doc_words AS (SELECT r, unnest(range(1, len(w) + 1)) AS q, unnest(w) AS t FROM docs),
+shifted AS (
+  SELECT k, n, r, j, q - j - e AS shift, min(abs(e) * 2 + (e > 0)::int) AS off
+  FROM item_words JOIN doc_words USING (t), (SELECT unnest(range(-2, 3)) AS e) GROUP BY ALL
+),
+dense AS (SELECT * FROM shifted SEMI JOIN (SELECT k, r, shift FROM shifted GROUP BY ALL HAVING count(*) >= 8) USING (k, r, shift)),
+near_windows AS (
+  SELECT k, r, shift, a FROM (SELECT *, unnest(range(greatest(1, j - 9), least(j, n - 9) + 1)) AS a FROM dense)
+  GROUP BY ALL HAVING count(*) >= 8
+),
+near_words AS (
+  SELECT DISTINCT d.r, d.k, d.shift + d.j + [0, -1, 1, -2, 2][list_position([0, 2, 3, 4, 5], d.off)] AS q
+  FROM dense d JOIN near_windows w ON d.k = w.k AND d.r = w.r AND d.shift = w.shift AND d.j BETWEEN w.a AND w.a + 9
+),
+near_all AS (
+  SELECT r, q, item_id FROM near_words JOIN items USING (k)
+  UNION ALL SELECT r, unnest(range(i, i + n)), item_id FROM hits
+),
+near AS (SELECT r, count(DISTINCT q) AS n_near, count(DISTINCT item_id) AS n_near_items FROM near_all GROUP BY r)
 SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM docs LEFT JOIN places USING (r) LEFT JOIN named USING (r)
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near, coalesce(n_near_items, 0) AS n_near_items
+FROM docs LEFT JOIN places USING (r) LEFT JOIN named USING (r) LEFT JOIN near USING (r)
 """
 
 LINE_DEDUP = f"""

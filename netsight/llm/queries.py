@@ -36,10 +36,12 @@ def quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    docs, tests = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    found = decontaminate.contamination(docs, tests, near=decontaminate.Near())
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        "n_near", F.size("near_items").cast("bigint").alias("n_near_items"),
     )
 
 

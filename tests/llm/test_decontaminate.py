@@ -22,6 +22,35 @@ def plainly(text, items, window=10):
     return len(own), len(held), sorted(names)
 
 
+def plainly_near(text, items, near, window=10):
+    """Every window against every start in the document."""
+    own = words(text)
+    _, _, names = plainly(text, items, window)
+    held, names = set(), set(names)
+    for item, phrase in items:
+        w = words(phrase)
+        for k in range(max(1, len(w) - window + 1) if w else 0):
+            part = w[k : k + window]
+            slack, missing = (near.slack, near.missing) if len(part) == window else (0, 0)
+            for start in range(-window - slack, len(own) + slack + 1):
+                found = []
+                for j, term in enumerate(part):
+                    places = [q for q in range(start + j - slack, start + j + slack + 1) if 0 <= q < len(own) and own[q] == term]
+                    if places:
+                        found.append(min(places, key=lambda q: (abs(q - start - j), q)))
+                if len(found) >= len(part) - missing:
+                    held.update(found)
+                    names.add("" if item is None else str(item))
+    return len(held), sorted(names)
+
+
+def changed(text, every, new="zzz", instead=True):
+    out = []
+    for k, w in enumerate(text.split()):
+        out += [w] if k % every != every - 1 else [new] if instead else [w, new]
+    return " ".join(out)
+
+
 @pytest.fixture
 def tests(spark, prose):
     rows = [
@@ -73,3 +102,39 @@ def test_index_gives_back_the_texts(documents, nasty, spark):
             got.append((key, [placed[p].decode() for p in range(first, first + n)]))
             first += n
     assert sorted(map(str, got)) == sorted(str((i, words(t))) for i, t, _ in nasty)
+
+
+@pytest.mark.parametrize("segment,block,tried", [(1 << 16, 1 << 20, 1 << 18), (50, 1 << 20, 7), (300, 20, 100)])
+@pytest.mark.parametrize("near", [decontaminate.Near(), decontaminate.Near(0, 1), decontaminate.Near(3, 0)])
+def test_near_against_brute_force(documents, tests, prose, monkeypatch, segment, block, tried, near):
+    monkeypatch.setattr(decontaminate, "SEGMENT", segment)
+    monkeypatch.setattr(decontaminate, "BLOCK", block)
+    monkeypatch.setattr(decontaminate, "TRIED", tried)
+    items, table = tests
+    passage = prose(30, 50)
+    rows = [(k, t, "a") for k, t in enumerate([
+        None, "", "one", "One, two!", "one x two", passage, passage.title() + " " + passage, changed(passage, 9),
+        prose(9, 1) + " " + changed(passage, 9, instead=False) + " " + prose(40, 2), " ".join(passage.split()[:8]),
+        " ".join(passage.split()[22:]), " ".join(reversed(passage.split())), "karo lo " * 9, prose(200, 5), prose(10, 51),
+        changed(prose(12, 52), 4), changed(passage, 2),
+    ])]
+    rows.append((5, passage, "a"))
+    found = decontaminate.contamination(documents(rows), table, near=near).collect()
+    expected = [(i, *plainly(t, items), *plainly_near(t, items, near)) for i, t, _ in rows]
+    assert sorted(str(tuple(r)) for r in found) == sorted(map(str, expected))
+
+
+def test_changed_passages_are_near_and_clean_texts_are_not(documents, spark, prose):
+    table = spark.createDataFrame([(1, prose(60, 50))], "item_id long, text string")
+    own = [f"word{k}" for k in range(400)]
+    rows = [
+        (1, prose(300, 1) + " " + changed(prose(60, 50), 9) + " " + prose(300, 2), "a"),
+        (2, changed(prose(60, 50), 9, instead=False), "a"), (3, prose(3_000, 3), "a"), (4, " ".join(own), "a"),
+    ]
+    found = {r.doc_id: r for r in decontaminate.contamination(documents(rows), table, near=decontaminate.Near()).collect()}
+    assert all(r.n_hit == 0 and r["items"] == [] for r in found.values())
+    assert found[1].n_near >= 54 and found[2].n_near >= 54 and found[1].near_items == found[2].near_items == ["1"]
+    assert found[3].n_near == found[4].n_near == 0
+    assert decontaminate.contamination(documents([]), table, near=decontaminate.Near()).count() == 0
+    nothing = decontaminate.contamination(documents(rows), table.limit(0), near=decontaminate.Near()).collect()
+    assert len(nothing) == 4 and not any(r.n_near or r.near_items for r in nothing)
