@@ -107,6 +107,9 @@ class Segment:
         self.ends = np.cumsum(lengths, dtype=np.int64)
         self.starts = self.ends - np.asarray(lengths, np.int64)
 
+    def doc_of(self, positions: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.ends, positions, side="right")
+
     @cached_property
     def placed(self) -> np.ndarray:
         """The positions of all terms, term by term."""
@@ -140,7 +143,7 @@ class Segment:
             number = np.arange(first, min(first + TRIED, int(upto[-1])))
             pair = np.searchsorted(upto, number, side="right")
             position = self.placed[self.last[term[pair]] - (upto[pair] - number)]
-            doc = np.searchsorted(self.ends, position, side="right")
+            doc = self.doc_of(position)
             window, start = row[pair], position - place[pair]
             missed = np.zeros(len(window), np.int64)
             # The start may be off by the slack itself, hence twice the slack. From the rarest term on.
@@ -186,7 +189,7 @@ class Segment:
             if not len(found):
                 return found
         found = found[found >= 0]
-        doc = np.searchsorted(self.ends, found, side="right")
+        doc = self.doc_of(found)
         return found[found + len(terms) <= self.ends[doc]]
 
 
@@ -252,6 +255,7 @@ def _look_up(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]], wind
     order = np.argsort(rarity[grid], axis=1, kind="stable").astype(np.int32)
     of = list(phrases.values())
     whole = np.flatnonzero(sizes == window)
+    singly = np.flatnonzero(sizes != window) if near else np.arange(len(sizes))
     span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
 
     def as_spans(spans: list[tuple[int, int]]) -> list[dict[str, int]]:
@@ -263,21 +267,24 @@ def _look_up(index: DataFrame, phrases: dict[tuple[bytes, ...], list[str]], wind
             here = np.array([held.ids.get(t, -1) for t in vocabulary] + [0], np.int64)
             spans: dict[int, list[tuple[int, int]]] = {}
             items: dict[int, set[str]] = {}
-            for k in np.flatnonzero((here[grid] >= 0).all(axis=1)):
-                n = sizes[k]
-                for start in held.phrase(here[grid[k, :n]], order[k, :n]).tolist():
-                    doc = int(np.searchsorted(held.ends, start, side="right"))
-                    spans.setdefault(doc, []).append((start, start + int(n)))
-                    items.setdefault(doc, set()).update(of[k])
-            near_spans, near_items = {d: list(s) for d, s in spans.items()}, {d: set(i) for d, i in items.items()}
+            exact: list[tuple[int, int]] = []
             if near and len(whole):
+                # A window that is found word by word at its place is an exact one.
                 windows, found = held.near(here[grid[whole]], near)
-                first = found.max(axis=1, initial=-1)
-                of_doc = np.searchsorted(held.ends, first, side="right")
+                in_place = (found == found[:, :1] + np.arange(window)).all(axis=1) & (found[:, 0] >= 0)
+                exact = list(zip(whole[windows[in_place]].tolist(), found[in_place, 0].tolist(), strict=True))
+            for k in singly[(here[grid[singly]] >= 0).all(axis=1)].tolist():
+                exact += [(k, start) for start in held.phrase(here[grid[k, : sizes[k]]], order[k, : sizes[k]]).tolist()]
+            for (k, start), doc in zip(exact, held.doc_of(np.array([s for _, s in exact], np.int64)).tolist(), strict=True):
+                spans.setdefault(doc, []).append((start, start + int(sizes[k])))
+                items.setdefault(doc, set()).update(of[k])
+            near_spans, near_items = {d: list(s) for d, s in spans.items()}, {d: set(i) for d, i in items.items()}
+            if near and len(whole):
+                of_doc = held.doc_of(found.max(axis=1, initial=-1))
                 for doc, k in np.unique(np.stack([of_doc, whole[windows]]), axis=1).T.tolist():
                     near_items.setdefault(doc, set()).update(of[k])
                 words = np.unique(found[found >= 0])
-                for doc, word in zip(np.searchsorted(held.ends, words, side="right").tolist(), words.tolist(), strict=True):
+                for doc, word in zip(held.doc_of(words).tolist(), words.tolist(), strict=True):
                     near_spans.setdefault(doc, []).append((word, word + 1))
             docs = sorted(near_spans)
             yield pa.RecordBatch.from_arrays(
