@@ -18,6 +18,8 @@ from netsight.session import cut_lineage
 DRAW_DIGITS = 13
 #: Documents of a source are ranked in slices of about so many.
 SLICE = 1024
+#: Equal rows of the slice that is ranked go on as one; afterwards they are dealt out by so many.
+CHUNK = 1024
 
 
 def uniform_draw(key: Column, seed: int) -> Column:
@@ -73,16 +75,19 @@ def mix(
 
     size is the number of words, 0 for a null or empty text, which the mix takes 0 of. Sources are taken
     `epochs` times whole, then in the order of the sampling keys as long as that brings the source nearer
-    to its target: so the last document may go beyond it by up to half its size. Keys depend on the
-    document's key and the seed only, so that reruns agree; ties go by key and size, and rows equal in
-    both are equally good. A null source is a source of its own. An empty table gives an empty one.
+    to its target: so the last document may go beyond it by up to half its size. Sampling keys depend on
+    the document's key, its text and the seed only, so that reruns agree and rows that share a key (or
+    have none) spread over the slices; rows equal in key and text have one sampling key, are ranked as one
+    with their number, and are equally good. A null source is a source of its own. An empty table gives an
+    empty one.
     """
     weight = quality_weight(F.col(text)) if weight is None else weight
     sized = docs.select(
         F.col(key).alias("key"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("bigint").alias("size"),
-        weight.alias("weight"),
+        weight.alias("weight"), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("digest"),
     )
-    sized = sized.withColumn("drawn", -F.log(uniform_draw(F.col("key"), seed)) / F.col("weight"))
+    named = F.concat(F.coalesce(F.col("key").cast("string"), F.lit("")), F.lit(":"), F.col("digest"))
+    sized = sized.withColumn("drawn", -F.log(uniform_draw(named, seed)) / F.col("weight")).drop("digest")
     sized = cut_lineage(sized)
     sizes = sized.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count("*").alias("n"), F.min("weight").alias("least")
@@ -108,11 +113,20 @@ def mix(
     rows = rows.join(cut, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
     inside = (F.col("slice") == F.col("cut")) & (F.col("size") > 0)
     in_order = Window.partitionBy("source").orderBy("drawn", F.col("key").isNull(), "key", "size")
-    ranked = rows.where(inside).withColumn(
-        "seen", F.col("before") + F.sum("size").over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size")
+    # Equal rows, be they a third of all, are one row here, summed before the shuffle.
+    alike = rows.where(inside).groupBy(*rows.columns).agg(F.count("*").alias("copies"))
+    words_of = F.col("size") * F.col("copies")
+    alike = alike.withColumn(
+        "seen", F.col("before") + F.sum(words_of).over(in_order.rowsBetween(Window.unboundedPreceding, 0)) - words_of
     )
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    chunks = alike.withColumn("chunk", F.explode(F.sequence(zero, F.col("copies") - 1, F.lit(CHUNK).cast("bigint"))))
+    last = F.least(F.col("chunk") + CHUNK, F.col("copies")) - 1
+    ranked = chunks.repartition("key", "drawn", "chunk").withColumn("nth", F.explode(F.sequence(F.col("chunk"), last, one)))
+    ranked = ranked.withColumn("seen", F.col("seen") + F.col("nth") * F.col("size"))
     nearer = F.col("seen") + F.col("size") / 2 <= F.col("budget")
-    ranked = ranked.withColumn("extra", F.when((F.col("seen") < F.col("budget")) & nearer, 1).otherwise(0)).drop("seen")
+    ranked = ranked.withColumn("extra", F.when((F.col("seen") < F.col("budget")) & nearer, 1).otherwise(0))
+    ranked = ranked.drop("copies", "seen", "chunk", "nth")
     whole = rows.where(~F.coalesce(inside, F.lit(False))).withColumn(
         "extra", F.when(F.col("cut").isNull(), F.when(F.col("budget") > 0, 1).otherwise(0)).when(F.col("slice") < F.col("cut"), 1).otherwise(0)
     )

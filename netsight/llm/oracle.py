@@ -92,7 +92,7 @@ FROM docs LEFT JOIN kept USING (r) LEFT JOIN counts USING (r)
 SOURCE_MIX = f"""
 WITH sized AS (
   SELECT doc_id, source, cast(len({WORDS}) AS bigint) AS size,
-    (cast(('0x' || substr(md5('42:' || coalesce(cast(doc_id AS varchar), '')), 1, 13)) AS bigint) + 0.5::double)
+    (cast(('0x' || substr(md5('42:' || coalesce(cast(doc_id AS varchar), '') || ':' || md5(coalesce(text, ''))), 1, 13)) AS bigint) + 0.5::double)
       / 4503599627370496::double AS u,
     length(translate(coalesce(text, ''), '#*$%&|<>!ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))::double
       / greatest(length(coalesce(text, '')), 1) AS share

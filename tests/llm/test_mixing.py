@@ -39,7 +39,8 @@ def plain_mix(rows, seed=42):
         text = text or ""
         plain = sum(c not in "#*$%&|<>!" and not "A" <= c <= "Z" for c in text)
         weight = max(0.1, (plain / max(1, len(text))) ** 2)
-        digits = hashlib.md5(f"{seed}:{'' if i is None else i}".encode()).hexdigest()[:13]
+        digest = hashlib.md5(text.encode()).hexdigest()
+        digits = hashlib.md5(f"{seed}:{'' if i is None else i}:{digest}".encode()).hexdigest()[:13]
         u = (int(digits, 16) + 0.5) / 16**13
         sized.append((source, -math.log(u) / weight, i is None, i or 0, len(text.encode().split()), i))
     sizes = {}
@@ -63,10 +64,9 @@ def test_against_brute_force(documents, nasty, prose, monkeypatch):
         (100 + i, prose(r.randint(1, 90), i) + r.choice(["", "%%%%", "!!!!", "ABC" * 20]), r.choice(["hot", "hot", "b", "c", None]))
         for i in range(150)
     ]
-    rows = [x for x in rows if x[0] is not None]
     found = mixing.mix(documents(rows)).collect()
-    ours = sorted((r.doc_id, r.size, r.source_size, r.taken) for r in found)
-    plain = sorted(plain_mix([(i, t, s) for i, t, s in rows]))
+    ours = sorted((r.doc_id is None, r.doc_id or 0, r.size, r.source_size, r.taken) for r in found)
+    plain = sorted((i is None, i or 0, *rest) for i, *rest in plain_mix([(i, t, s) for i, t, s in rows]))
     assert ours == plain
     for source in {r.source for r in found}:
         of = [r for r in found if r.source == source]
@@ -75,6 +75,21 @@ def test_against_brute_force(documents, nasty, prose, monkeypatch):
     assert all(r.taken <= 3 * r.size for r in found)
 
 
+def test_one_key_for_many_texts_and_many_equal_rows(documents, prose, monkeypatch):
+    monkeypatch.setattr(mixing, "SLICE", 4)
+    monkeypatch.setattr(mixing, "CHUNK", 8)
+    rows = [(7, prose(5 + i % 9, i), "a") for i in range(120)] + [(None, prose(6, 500 + i), "a") for i in range(60)]
+    rows += [(8, prose(12, 1), "a")] * 100 + [(9, prose(700, 2), "b"), (9, prose(3, 3), "b")]
+    found = mixing.mix(documents(rows)).collect()
+    count = lambda them: sorted((i is None, i or 0, *rest) for i, *rest in them)
+    assert count((r.doc_id, r.size, r.source_size, r.taken) for r in found) == count(plain_mix(rows))
+    # All equal rows: the draw is one, the cut goes through them.
+    equal = [(1, prose(10, 1), "a")] * 300 + [(2, prose(10, 2), "b")] * 20
+    found = mixing.mix(documents(equal)).collect()
+    assert count((r.doc_id, r.size, r.source_size, r.taken) for r in found) == count(plain_mix(equal))
+    assert len({r.taken for r in found if r.source == "a"}) == 2
+
+
 def test_reruns_agree_on_any_partitioning(documents, nasty):
     docs = documents(nasty)
     a, b = (sorted(map(str, mixing.mix(d).collect())) for d in (docs, docs.repartition(7)))
