@@ -32,7 +32,7 @@ def flows(packets: DataFrame, *, seconds: int = 60) -> DataFrame:
     )
 
 
-def _hosts() -> Column:
+def both_hosts() -> Column:
     """Both hosts of a row: its source as sender, its target as receiver. Traffic of a host with itself counts twice."""
     return F.array(
         F.struct(F.col("src_ip").alias("host_ip"), F.lit(0).alias("inc"), F.lit(1).alias("out")),
@@ -45,7 +45,7 @@ def host_totals(packets: DataFrame, *, seconds: int = 60) -> DataFrame:
     size = F.coalesce("pkt_len", F.lit(0)).cast("bigint")
     return (
         packets.filter((F.col("src_ip") != "") & (F.col("dst_ip") != ""))
-        .select(_in_window(seconds).alias("w"), size.alias("bytes"), F.explode(_hosts()).alias("h"))
+        .select(_in_window(seconds).alias("w"), size.alias("bytes"), F.explode(both_hosts()).alias("h"))
         .groupBy("w", F.col("h")["host_ip"].alias("host_ip"))
         .agg(
             F.count(F.lit(1)).alias("total_packets"), F.sum("h.inc").alias("incoming_packets"),
@@ -64,7 +64,7 @@ def host_stats_of_flows(flow_rows: DataFrame, *, approximate: bool = False) -> D
     distinct counts, and the shuffle they need, for sketches.
     """
     where = ["interval_start", "interval_end", "host_ip"]
-    sides = flow_rows.withColumn("h", F.explode(_hosts())).select(
+    sides = flow_rows.withColumn("h", F.explode(both_hosts())).select(
         *where[:2], "h.*", "src_ip", "dst_port", "n", "bytes", (F.col("n") * F.col("h.inc")).alias("n_in")
     )
     if approximate:

@@ -16,13 +16,13 @@ from netsight.operators import alerts as A
 from netsight.operators import detect as S
 from netsight.operators import hosts as H
 from netsight.operators import packets as P
-from netsight.operators import rollup, throttle
+from netsight.operators import rollup, sketches, throttle
 from netsight.plans import driver_tables as T
 from netsight.session import cut_lineage, scratch_path, ship_package
 from netsight.sources import csv, exports, tables
 from netsight.sources.schemas import ALERTS, TABLES
 from netsight.sources.tables import DAY
-from netsight.streaming import core, live, ordered
+from netsight.streaming import core, keyed, live, ordered
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -46,6 +46,27 @@ def _pairs(alerts: DataFrame) -> DataFrame:
     return A.top_attack_pairs(alerts).withColumn("types_seen", F.array_join("types_seen", ","))
 
 
+def _beside_exact(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """Estimated statistics beside exact distinct counts, and whether the estimates are within three standard errors
+    (and the half that rounding may add)."""
+
+    def close(name: str) -> Column:
+        return F.abs(F.col(name) - F.col(f"exact_{name}")) <= 3 * sketches.relative_error() * F.col(f"exact_{name}") + 0.5
+
+    names, keys = ("unique_src_ips", "unique_dst_ports"), ["interval_start", "host_ip"]
+    both = found.join(exact.select(*keys, *[F.col(n).alias(f"exact_{n}") for n in names]), keys, "left")
+    return both.select(*[c for c in found.columns if c not in names], *[f"exact_{n}" for n in names],
+                       close(names[0]).alias("sources_close"), close(names[1]).alias("ports_close"))
+
+
+def _sketched_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of minutes, stored, and united into hours."""
+    path = scratch_path(spark, "sketches")
+    sketches.store(sketches.host_sketches(T.packets(spark, sf_dir)), path)
+    found = sketches.estimated(sketches.united(sketches.stored(spark, path), seconds=3600))
+    return _beside_exact(found, T.host_stats(spark, sf_dir, seconds=3600))
+
+
 def _hour_map(alerts: DataFrame) -> DataFrame:
     text = F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))
     return A.hourly_type_map(A.alerts_by_hour(alerts)).withColumn("counts", F.array_join(text, ","))
@@ -112,6 +133,7 @@ def batch_queries() -> dict[str, Query]:
         "type_totals": on(al, lambda d: A.type_totals(A.alerts_by_hour(d), types)),
         "host_stats_rollup": on(pk, rollup.host_stats, seconds=60),
         "host_stats_10min": on(pk, rollup.host_stats, seconds=T.STATS_SECONDS),
+        "host_sketch_hours": _sketched_hours,
         "traffic_features": on(pk, rollup.traffic_features, seconds=T.STATS_SECONDS),
         "syn_flood_windows": on(pk, S.syn_flood_windows),
         "syn_flood_windows_60s": on(pk, S.syn_flood_windows, window_seconds=60, threshold=2),
@@ -625,6 +647,13 @@ def _in_order(start: Callable, source: Callable[[SparkSession, str], DataFrame],
     return run
 
 
+def _sketched_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of the minutes of a stream, united into days."""
+    minutes = _in_order(ordered.host_sketches, lambda s, d: T.packets_of(T.stream(s, d, "lineitem")))(spark, sf_dir)
+    found = sketches.estimated(sketches.united(minutes, seconds=86400))
+    return _beside_exact(found, T.host_stats(spark, sf_dir, seconds=86400))
+
+
 def streaming_queries() -> dict[str, Query]:
     al, pk = T.alerts_of, T.packets_of
     return {
@@ -643,6 +672,8 @@ def streaming_queries() -> dict[str, Query]:
         "syn_flood_alert_stream": _streamed(live.syn_flood_alerts, "lineitem", pk, state=True,
                                             window_seconds=60, threshold=2),
         "throttle_stream": _streamed(live.notifications, "events", al, state=True),
+        "throttle_keys_stream": _streamed(keyed.notifications, "events", al, plain=True, by=("alert_type", "src_ip"), ties=("alert_id",)),
+        "host_sketch_stream": _sketched_days,
         "burst_stream": _streamed(live.scan_bursts, "events", al, plain=True, gap_seconds=7200),
         "dashboard_hours_stream": _streamed(live.dashboard_hours, "events", al, keys=("hour_bucket", "alert_type")),
         "dashboard_minutes_stream": _streamed(live.dashboard_minutes, "events", al, keys=("minute_bucket",)),

@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from netsight.functions.timefn import ntz_literal
 from netsight.operators import alerts as alert_ops
-from netsight.operators import hosts, rollup
+from netsight.operators import hosts, rollup, sketches
 from netsight.session import cut_lineage
 from netsight.streaming import core
 
@@ -144,6 +144,16 @@ def host_stats(packets: DataFrame, path: str, state: str, checkpoint: str, *, se
     ).start(packets, path, state, checkpoint, **run)
 
 
+def host_sketches(packets: DataFrame, path: str, state: str, checkpoint: str, *, seconds: int = 60, bits: int = sketches.BITS,
+                  delay_seconds: float = 10, idle_seconds: float | None = 60, **run) -> StreamingQuery:
+    """Sums and sketches per (interval, host), each once its interval has closed or nothing has come for
+    `idle_seconds`. What waits is one row of bounded size per open interval and host, however many flows there are."""
+    return InOrder(
+        "interval_end", lambda rows: rows, "interval_end", narrow=lambda p: sketches.host_sketches(p, seconds=seconds, bits=bits),
+        merge=sketches.merged, delay_seconds=delay_seconds, idle_seconds=idle_seconds,
+    ).start(packets, path, state, checkpoint, **run)
+
+
 def rolling_type_count(alerts: DataFrame, path: str, state: str, checkpoint: str, *, alert_type: str = alert_ops.DDOS,
                        minutes: int = 10, delay_seconds: float = 10, idle_seconds: float | None = 60, **run) -> StreamingQuery:
     """For every alert, how many of one type fell in the minutes up to it. The frame's alerts are carried."""
