@@ -209,14 +209,24 @@ def stream(spark: SparkSession, sf_dir: str, name: str, *, parts: int = 4) -> Da
 
 
 def stream_of(rows: DataFrame, at: Column, name: str, *, parts: int = 4) -> DataFrame:
-    """Rows as such a stream, by a whole number of seconds."""
+    """Rows as such a stream, by a whole number of seconds.
+
+    A part has as many files as the rows have partitions, and a micro-batch takes just as many, so that no task
+    writes or reads a whole part; a part of fewer rows gets empty files.
+    """
     spark = rows.sparkSession
     first, last = rows.agg(F.min(at), F.max(at)).first()
     path, width = scratch_path(spark, f"stream-{name}"), (last - first) // parts + 1
+    files = rows.rdd.getNumPartitions()
     for part in range(parts):
-        inside = (at >= first + part * width) & (at < first + (part + 1) * width)
-        rows.filter(inside).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+        inside = rows.filter((at >= first + part * width) & (at < first + (part + 1) * width))
+        dealt = inside.repartition(files) if files > 1 else inside.coalesce(1)
+        dealt.write.mode("append").parquet(path)
+        written = len(spark.read.schema(rows.schema).parquet(path).inputFiles())
+        for _ in range(written, (part + 1) * files):
+            rows.limit(0).coalesce(1).write.mode("append").parquet(path)
+    taken = {"maxFilesPerTrigger": files, "maxCachedFiles": parts * files}
+    return spark.readStream.schema(rows.schema).options(**taken).parquet(path)
 
 
 def stats_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

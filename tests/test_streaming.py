@@ -9,6 +9,7 @@ from netsight.functions.derive import dissect, valid_ip_rows
 from netsight.ml import registry
 from netsight.operators import alerts as A
 from netsight.operators import detect, rollup, throttle
+from netsight.plans import driver_tables
 from netsight.session import passing_steps
 from netsight.sources.tables import conform
 from netsight.streaming import core, live
@@ -240,3 +241,20 @@ def test_a_replayed_batch_writes_the_same(spark, tmp_path):
     assert carried.before(spark, 0) is None
     carried.store(spark.range(2), 0)
     assert carried.before(spark, 1).count() == 2
+
+
+@pytest.mark.parametrize("skewed", [False, True])
+def test_a_part_of_a_streamed_table_is_several_files_and_one_batch(spark, tmp_path, skewed):
+    at = F.when(F.col("id") == 0, 0).otherwise(399) if skewed else F.col("id") % 400
+    rows = spark.range(0, 4000, numPartitions=6)
+    seen = {}
+
+    def write(batch, number):
+        seen[number] = batch.select("id", at.alias("at"), F.input_file_name().alias("file")).collect()
+
+    stream = driver_tables.stream_of(rows, at, "test")
+    core.start_batches(stream, write, str(tmp_path / "check"), available_now=True).awaitTermination()
+    assert sorted(seen) == [0, 1, 2, 3]
+    assert all(r["at"] // 100 == number for number, found in seen.items() for r in found)
+    assert sorted(r["id"] for found in seen.values() for r in found) == list(range(4000))
+    assert len({r["file"] for r in seen[3]}) == 6
