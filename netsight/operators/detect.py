@@ -64,22 +64,22 @@ def syn_flood_alerts(
 
     `prior` (w, src_ip, syn_count) holds packets already seen in those windows, see the streaming form.
     """
-    syn = syn_packets(packets, window_seconds)
-    if prior is None:
-        floods = syn.groupBy("w", "src_ip").agg(F.count(F.lit(1)).alias("n"), F.lit(0).cast("bigint").alias("seen"))
-    else:
-        counted = syn.groupBy("w", "src_ip").agg(F.count(F.lit(1)).alias("n"))
-        floods = counted.join(prior.withColumnRenamed("syn_count", "seen"), ["w", "src_ip"], "left").fillna(0, ["seen"])
-    floods = floods.filter(F.col("n") + F.col("seen") > threshold).select("w", "src_ip", "seen")
-
     # As many salts as a shuffle has tasks.
     salts = int(packets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key, order, salt = ["w", "src_ip"], ["ts", "dst_ip"], F.pmod(F.xxhash64("ts", "dst_ip"), F.lit(salts))
+    syn = syn_packets(packets, window_seconds).withColumn("_salt", salt)
     # The salt is part of the join key too: a join on the window alone would bring all of a busy
-    # window to one task, and the ranking would then stay there.
-    every_salt = floods.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(salts - 1).cast("bigint"))))
+    # window to one task, and the ranking would then stay there. Only salts that have rows are listed, so that
+    # many small floods do not make more parts than rows.
+    counted = syn.groupBy(*key, "_salt").agg(F.count(F.lit(1)).alias("n"))
+    counted = counted.select(*key, "_salt", F.sum("n").over(Window.partitionBy(*key)).alias("n"))
+    if prior is None:
+        floods = counted.withColumn("seen", F.lit(0).cast("bigint"))
+    else:
+        floods = counted.join(prior.withColumnRenamed("syn_count", "seen"), key, "left").fillna(0, ["seen"])
+    every_salt = floods.filter(F.col("n") + F.col("seen") > threshold).select(*key, "_salt", "seen")
     ranked = (
-        syn.select(*key, *order, salt.alias("_salt"))
+        syn.select(*key, *order, "_salt")
         .join(every_salt, [*key, "_salt"])
         .groupBy(*key, *order, "seen", "_salt")
         .agg(F.count(F.lit(1)).alias("n"))
