@@ -118,7 +118,10 @@ def balanced_weights(rows: DataFrame) -> DataFrame:
 
 def fit_classifier(urls: DataFrame, make: Callable[[int], Classifier], *, vocabulary: int = VOCABULARY) -> PipelineModel:
     """Features, class index, classifier and label lookup as one persistable pipeline."""
+    # A tree's level shuffles the counts of all its nodes from each partition: as many partitions as there are cores.
+    # Fewer would leave cores idle, as rows this short would by their size be one partition.
     known = balanced_weights(urls.filter(F.col("url").isNotNull() & F.col("type").isNotNull()))
+    known = known.repartition(urls.sparkSession.sparkContext.defaultParallelism)
     features = fit_features(known, vocabulary=vocabulary)
     index = StringIndexer(inputCol="type", outputCol="label", stringOrderType="alphabetAsc").fit(known)
     train = index.transform(features.transform(known)).select("features", "label", "weight")

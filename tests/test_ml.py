@@ -219,3 +219,19 @@ def test_names_versions_and_choice(spark, traffic, tmp_path):
     for trees in (3, 5):
         registry.save(spark, root, "IsolationForest", anomaly.IsolationForest(trees=trees).fit(traffic, COLUMNS))
     assert len(registry.load(spark, root, "IsolationForest").forest) == 5
+
+
+def test_training_rows_are_as_many_partitions_as_cores(spark):
+    class Stop(Exception):
+        pass
+
+    class Looks:
+        def fit(self, rows):
+            raise Stop(rows.rdd.getNumPartitions())
+
+    rows = spark.createDataFrame([(f"http://a{k}.org/{k * k}", "ab"[k % 2]) for k in range(40)], "url string, type string")
+    cores = spark.sparkContext.defaultParallelism
+    for given in (rows.coalesce(1), rows.repartition(3 * cores)):
+        with pytest.raises(Stop) as found:
+            urls.fit_classifier(given, lambda n: Looks())
+        assert found.value.args == (cores,)
