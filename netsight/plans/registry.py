@@ -214,7 +214,7 @@ def _csv_folder(spark: SparkSession, sf_dir: str) -> str:
         "alerts": alerts.filter(F.col("alert_id") % 4 != 3).select(*ALERTS.names),
         "lines": alerts.filter(F.col("alert_id") % 4 == 3).withColumn("details", _over_lines()).select(*ALERTS.names),
         "packets": packets.filter(kind > 2),
-        "bad": bad.coalesce(1).sortWithinPartitions(*bad.columns),
+        "bad": bad.repartition(1).sortWithinPartitions(*bad.columns),  # filtered where the rows are
         "gaps": packets.filter(kind == 1).withColumn(
             "src_port", F.when(F.col("pkt_len") % 2 == 0, "NaN").otherwise(F.concat(port, F.lit(".0")))
         ),

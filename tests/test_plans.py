@@ -11,6 +11,7 @@ from netsight.operators import alerts as A
 from netsight.operators import detect, hosts, rollup, throttle, timeline
 from netsight.operators import packets as P
 from netsight.plans import driver_tables as T
+from netsight.plans import registry
 
 SF = "/root/testdata/sf0.001"
 AS_OF = dt.datetime(2024, 1, 30)
@@ -94,3 +95,15 @@ def test_no_cross_joins(spark):
         detect.on_blocklist(T.packets(spark, SF), T.blocklist(spark, SF)),
     ):
         assert not re.search("CartesianProduct|BroadcastNestedLoopJoin", plan(df))
+
+
+def test_small_floods_are_not_spread_over_all_salts(spark):
+    # One explode makes the copies of equal alerts; a list of all salts would be another.
+    assert plan(detect.syn_flood_alerts(T.packets(spark, SF))).split("== Physical Plan ==")[-1].count("Generate explode") == 1
+
+
+def test_the_sorted_csv_file_is_filtered_before_one_task_gets_it(spark, monkeypatch):
+    made = {}
+    monkeypatch.setattr(registry.exports, "write_csv", lambda df, path: made.update({path.rsplit("/", 1)[1]: df}))
+    registry._csv_folder(spark, SF)
+    assert "Coalesce" not in plan(made["bad"]) and made["bad"].rdd.getNumPartitions() == 1
