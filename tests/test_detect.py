@@ -113,3 +113,29 @@ def test_behaviour_labels_that_flag(at):
     assert {(r.alert_type, r.details) for r in got.collect()} == {
         ("Anomalous", "Anomalous behaviour detected (model=Autoencoder)")
     }
+
+
+@pytest.mark.parametrize("with_window", [False, True])
+def test_a_packet_is_judged_once(spark, at, tmp_path, with_window):
+    urls = [None, "", "http://x/?a", "http://y/"]
+    at([(*syn(i, src="abc"[i % 3], flags=["0x0002", "0x0010", None][i % 3]), urls[i % 4]) for i in range(120)], PACKET + ", full_url string") \
+        .write.parquet(str(tmp_path / "p"))
+    packets = spark.read.parquet(str(tmp_path / "p"))
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def label(url):
+        seen.add(1)
+        return "phishing" if "?" in url else "Benign"
+
+    classify = lambda d: d.withColumn("prediction_label", label("url"))
+    if with_window:
+        floods = detect.flood_detector(window_seconds=60, threshold=3)
+        found = detect.run_detectors(packets, [detect.url_detector(classify, "m"), floods]).collect()
+        want = 120
+    else:
+        found, want = detect.url_alerts(packets, classify, "m").collect(), 60
+    assert sorted(at.seconds(r.ts) for r in found if r.model_name == "m") == list(range(2, 120, 4))
+    # Of the 40 SYNs of one source, 20 are in each minute.
+    assert sum(r.model_name == "SynFlood" for r in found) == (34 if with_window else 0)
+    assert seen.value == want
