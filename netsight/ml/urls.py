@@ -13,7 +13,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
     OneVsRest,
-    RandomForestClassifier,
 )
 from pyspark.ml.feature import (
     IDF,
@@ -30,6 +29,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netsight.ml.evaluate import MOST_CLASSES
+from netsight.ml.forest import SparseForestClassifier
 
 # N-gram sizes, vocabulary cap, seed, share of rows held out.
 GRAM_SIZES = (3, 4, 5)
@@ -89,7 +89,7 @@ def decision_tree(**over) -> Classifier:
 
 
 def random_forest(**over) -> Classifier:
-    return RandomForestClassifier(**{
+    return SparseForestClassifier(**{
         "numTrees": 300, "maxDepth": 30, "minInstancesPerNode": 3, "seed": SEED, "maxMemoryInMB": 1024, **over
     })
 

@@ -3,10 +3,12 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
-from netsight.ml import anomaly, evaluate, registry, split, urls
+from netsight.ml import anomaly, evaluate, forest, registry, split, urls
 from netsight.operators import quantile
 
 COLUMNS = ["packet_rate", "unique_port_count", "avg_pkt_size"]
@@ -235,3 +237,105 @@ def test_training_rows_are_as_many_partitions_as_cores(spark):
         with pytest.raises(Stop) as found:
             urls.fit_classifier(given, lambda n: Looks())
         assert found.value.args == (cores,)
+
+
+def sparse_rows(spark, rows, wide, filled, seed=5, classes=3):
+    """(label, features) with a few entries a row; the label is in some of them, but for some noise."""
+    rng, data = np.random.default_rng(seed), []
+    for _ in range(rows):
+        at = np.sort(rng.choice(wide, filled, replace=False))
+        label = (at[0] % classes if rng.random() < 0.9 else rng.integers(classes)).item()
+        data.append((float(label), Vectors.sparse(wide, at.tolist(), rng.random(filled).round(3).tolist())))
+    return spark.createDataFrame(data, ["label", "features"])
+
+
+def trees(model):
+    return [t.toDebugString.split("\n", 1)[1] for t in model.trees]
+
+
+def test_a_tree_of_sparse_rows_is_that_of_spark(spark, monkeypatch):
+    rows = sparse_rows(spark, 700, 60, 9).repartition(3).persist()
+    sure = {"numTrees": 1, "bootstrap": False, "featureSubsetStrategy": "all", "maxDepth": 8, "minInstancesPerNode": 3}
+    ours, theirs = (kind(**sure).fit(rows) for kind in (forest.SparseForestClassifier, RandomForestClassifier))
+    assert ours.totalNumNodes > 30 and trees(ours) == trees(theirs)
+    assert (ours.numClasses, ours.numFeatures, ours.uid[:6]) == (3, 60, "Sparse")
+    probable = [sorted(m.transform(rows).select("features", vector_to_array("probability")).rdd.map(str).collect()) for m in (ours, theirs)]
+    assert probable[0] == probable[1]
+    # Another cut into blocks does not matter, nor do dense vectors, nor the way nodes are counted.
+    monkeypatch.setattr(forest, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(forest, "BLOCK_ENTRIES", 500)
+    dense = rows.rdd.map(lambda r: (r.label, Vectors.dense(r.features.toArray()))).toDF(["label", "features"])
+    for given in (rows, dense):
+        assert trees(forest.SparseForestClassifier(**sure).fit(given)) == trees(ours)
+    entropy = {**sure, "impurity": "entropy", "maxBins": 5, "minInfoGain": 0.01}
+    ours, theirs = (kind(**entropy).fit(rows) for kind in (forest.SparseForestClassifier, RandomForestClassifier))
+    assert trees(ours) == trees(theirs)
+    rows.unpersist()
+
+
+def test_bags_and_drawn_features_of_a_forest(spark):
+    rows = sparse_rows(spark, 3000, 400, 12, classes=2).repartition(2)
+    model = forest.SparseForestClassifier(numTrees=40, maxDepth=12, seed=7).fit(rows)
+    again = forest.SparseForestClassifier(numTrees=40, maxDepth=12, seed=7).fit(rows)
+    other = forest.SparseForestClassifier(numTrees=40, maxDepth=12, seed=8).fit(rows)
+    assert trees(model) == trees(again) != trees(other) and len(set(trees(model))) == 40
+    theirs = RandomForestClassifier(numTrees=40, maxDepth=12, seed=7).fit(rows)
+    assert 0.7 < model.totalNumNodes / theirs.totalNumNodes < 1.4
+    right = [m.transform(rows).filter("label = prediction").count() / 3000 for m in (model, theirs)]
+    assert abs(right[0] - right[1]) < 0.1
+    plan = forest.Plan(300, 2, 20, 32, 1, 1.0, True, False, 1, 0.0, np.zeros(400, np.uint8), np.zeros(400, int))
+    bag = np.concatenate([plan.bag(3, t, 1000) for t in range(20)])
+    assert abs(bag.mean() - 1) < 0.05 and abs((bag == 0).mean() - math.exp(-1)) < 0.02
+    drawn = [plan.features(t, p) for t in range(20) for p in range(40)]
+    assert all(len(set(d)) == 20 for d in drawn) and np.bincount(np.concatenate(drawn), minlength=400).min() > 10
+
+
+@pytest.mark.parametrize("lookup", [1, 700, 10**6])
+def test_nodes_count_by_column_and_by_row(monkeypatch, lookup):
+    monkeypatch.setattr(forest, "_LOOKUP", lookup)
+    rng = np.random.default_rng(2)
+    n, wide = 400, 90
+    bins = np.where(rng.random((n, wide)) < 0.15, rng.integers(1, 6, (n, wide)), 0)
+    feature, row = np.nonzero(bins.T)
+    labels = rng.integers(0, 3, n)
+    block = forest._Rows({
+        "labels": labels.astype("<u2"), "ptr": np.concatenate([[0], np.cumsum((bins > 0).sum(axis=0))]).astype("<i4"),
+        "rows": row.astype("<u2"), "bins": bins[row, feature].astype("u1"),
+    })
+    plan = forest.Plan(4, 3, 10, 6, 9, 1.0, True, False, 1, 0.0, np.zeros(wide, np.uint8), np.full(wide, 5))
+    runs = np.array([300, 0, 2, 5, 90, 1, 40])
+    nodes = np.array([(j % 4, j) for j in range(len(runs))])
+    active = np.concatenate([np.sort(rng.choice(n, k, replace=False)) for k in runs]).astype("<u2")
+    weights = rng.integers(1, 4, len(active)).astype("u1")
+    found = {j.item(): (cells, counts) for j, cells, counts in forest.count_block(plan, block, nodes, active, weights, runs)}
+    assert sorted(found) == [0, 2, 3, 4, 5, 6]
+    ends = np.cumsum(runs)
+    for j, (cells, counts) in found.items():
+        want = np.zeros((10, 6, 3), int)
+        for r, w in zip(active[ends[j] - runs[j] : ends[j]], weights[ends[j] - runs[j] : ends[j]], strict=True):
+            for slot, f in enumerate(plan.features(*nodes[j].tolist())):
+                if bins[r, f]:
+                    want[slot, bins[r, f], labels[r]] += w
+        got = np.zeros(want.size, int)
+        got[cells] = counts
+        assert (got == want.ravel()).all()
+
+
+def test_a_wide_row_takes_what_its_entries_take(spark):
+    wide = 50_000
+    rows = sparse_rows(spark, 600, wide, 30, classes=2).coalesce(1)
+    narrow = rows.select("label", F.unwrap_udt("features").alias("v")).select("label", F.col("v.indices").alias("at"), F.col("v.values").alias("value"))
+    ends = forest.fit_bins(narrow, 600, 31, 1)
+    first = np.concatenate([[0], np.cumsum([len(ends.get(f, ())) for f in range(wide)])])
+    flat = np.concatenate([ends[f] for f in sorted(ends)])
+    made = narrow.mapInArrow(forest._blocks(flat, first, np.zeros(wide, np.uint8), 32_768, 4_000_000), forest._BLOCK).collect()
+    assert len(made) == 1 and len(made[0].labels) == 600 * 2
+    assert 600 * 29 < len(made[0].bins) <= 600 * 30 and len(made[0].rows) == 2 * len(made[0].bins)
+    assert isinstance(urls.random_forest(), forest.SparseForestClassifier)
+
+
+def test_thresholds_lie_between_values():
+    between = forest.thresholds_of(np.array([0.0, 1.0, 4.0]), np.array([5, 1, 1]), 31)
+    assert between.tolist() == [0.5, 2.5]
+    many = forest.thresholds_of(np.arange(1000.0), np.ones(1000, int), 31)
+    assert len(many) == 31 and np.ptp(np.diff(many)) <= 1
