@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 from netsight.session import delete, scratch_path, ship_package
 
 #: Most rows and entries of a block: what a task holds at a time. Rows are numbered in 16 bits.
-BLOCK_ROWS = 32_768
-BLOCK_ENTRIES = 4_000_000
+BLOCK_ROWS = 16_384
+BLOCK_ENTRIES = 2_000_000
 #: Rows that show where a feature's bins end, at least; as in Spark.
 _BIN_ROWS = 10_000
 #: Cells of counts, and nodes, that are summed together at most.
 _CELLS = 2_000_000
 _NODES = 64
-#: Entries of the table that tells for small nodes which features are drawn, and entries looked up in it at a time.
+#: Entries of the table that tells for small nodes which features are drawn; a quarter as many are looked up at a time.
 _LOOKUP = 8_000_000
+#: Rows of a block's trees that are summed up at a time.
+_PIECE = 1_000_000
 
 _BLOCK = "block bigint, labels binary, ptr binary, rows binary, bins binary"
 _STATE = f"{_BLOCK}, active binary, weights binary, runs binary"
@@ -269,7 +271,7 @@ def count_block(plan: Plan, block: _Rows, nodes: np.ndarray, active: np.ndarray,
                 slots = np.full(min(together, len(runs)) * len(plan.zero), -1, np.int32)
             small.append((j, features, mine, its))
             entries += len(mine) * entries_a_row
-            if len(small) == together or entries >= _LOOKUP:
+            if len(small) == together or entries >= _LOOKUP // 4:
                 yield from _count_by_row(plan, block, small, slots)
                 small, entries = [], 0
             continue
@@ -316,9 +318,9 @@ def _level(plan: Plan, nodes: np.ndarray, splits: np.ndarray | None):
 
     def begin(block: _Rows, number: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         bags = [plan.bag(number, t, len(block.labels)) for t in range(plan.trees)]
-        rows = [np.flatnonzero(b) for b in bags]
+        rows = [np.flatnonzero(b).astype("<u2") for b in bags]
         weights = np.concatenate([b[r] for b, r in zip(bags, rows, strict=True)])
-        return np.concatenate(rows).astype("<u2"), weights, np.array([len(r) for r in rows])
+        return np.concatenate(rows), weights, np.array([len(r) for r in rows])
 
     def move(block: _Rows, active: np.ndarray, weights: np.ndarray, runs: np.ndarray):
         moved, kept, sizes, ends = [active[:0]], [weights[:0]], [], np.cumsum(runs)
@@ -335,18 +337,22 @@ def _level(plan: Plan, nodes: np.ndarray, splits: np.ndarray | None):
 
     def counted(block: _Rows, active: np.ndarray, weights: np.ndarray, runs: np.ndarray) -> list[dict]:
         c, size = plan.classes, plan.bucket
-        node = np.repeat(np.arange(len(runs)), runs)
-        totals = np.bincount(node * c + block.labels[active], weights=weights, minlength=len(runs) * c).astype("<i8").reshape(-1, c)
+        cell, sums = np.repeat(np.arange(len(runs), dtype=np.int32) * c, runs), np.zeros(len(runs) * c)
+        cell += block.labels[active]
+        for at in range(0, len(cell), _PIECE):
+            piece = slice(at, at + _PIECE)
+            sums += np.bincount(cell[piece], weights=weights[piece], minlength=len(sums))
+        totals = sums.astype("<i8").reshape(-1, c)
         found: dict[int, tuple[list, list]] = {}
         for j, cells, counts in count_block(plan, block, nodes, active, weights, runs):
-            keys, sums = found.setdefault(int(j) // size, ([], []))
+            keys, numbers = found.setdefault(int(j) // size, ([], []))
             keys.append((cells + (j % size) * plan.cells).astype("<i4"))
-            sums.append(counts.astype("<i4"))
+            numbers.append(counts.astype("<i4"))
         none = ([np.zeros(0, "<i4")],) * 2
         out = []
         for b in np.unique(np.flatnonzero(runs) // size).tolist():
-            keys, sums = (np.concatenate(x).tobytes() for x in found.get(b, none))
-            out.append({"bucket": b, "totals": totals[b * size : (b + 1) * size].tobytes(), "cells": keys, "counts": sums})
+            keys, numbers = (np.concatenate(x).tobytes() for x in found.get(b, none))
+            out.append({"bucket": b, "totals": totals[b * size : (b + 1) * size].tobytes(), "cells": keys, "counts": numbers})
         return out
 
     counts = pa.list_(pa.struct([("bucket", pa.int32()), *[(n, pa.binary()) for n in ("totals", "cells", "counts")]]))
