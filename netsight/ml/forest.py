@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 from netsight.session import delete, scratch_path, ship_package
 
 #: Most rows and entries of a block: what a task holds at a time. Rows are numbered in 16 bits.
-BLOCK_ROWS = 16_384
-BLOCK_ENTRIES = 2_000_000
+BLOCK_ROWS = 8_192
+BLOCK_ENTRIES = 1_000_000
 #: Rows that show where a feature's bins end, at least; as in Spark.
 _BIN_ROWS = 10_000
 #: Cells of counts, and nodes, that are summed together at most.
